@@ -1,12 +1,14 @@
 """Byte-level BPE of whole texts by way of their pre-tokens.
 
 A byte-level tokenizer cuts a text by a fixed pattern and merges inside each piece alone, so the ids of a text are the
-ids of its pieces one after another. Pieces repeat, so each distinct piece goes through the tokenizers library once
-per worker and is then looked up. The table of pieces is cleared when full, so memory stays bounded.
+ids of its pieces one after another. Pieces repeat, so each distinct piece goes through the merges of the tokenizers
+library once per worker and is then looked up. The table is cleared when full, so memory stays bounded.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -15,18 +17,24 @@ _KEPT: dict = {}
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.ids: dict[str, bytes] = {}
         self.limit = limit
 
+    def _learn(self, pieces: set[str]) -> None:
+        for p in pieces:
+            self.ids[p] = array(self.dtype.char, [x.id for x in self.merge(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards the table holds the ids of all of them."""
         out = [self.pattern.findall(x) for x in texts]
@@ -34,25 +42,32 @@ class Encoder:
         if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
             new = set(chain.from_iterable(out))
-        new = list(new)
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.ids[piece] = np.array(e.ids, self.dtype).tobytes()
+        self._learn(new)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian bytes of self.dtype."""
         return [b"".join(map(self.ids.__getitem__, x)) for x in self.pieces(texts)]
 
+    def runs(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        """For each text its pieces, their lengths in characters, and how many tokens each has."""
+        for x in self.pieces(texts):
+            yield x, np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, map(self.ids.__getitem__, x)), np.int64, len(x)) // self.dtype.itemsize
+
     def offsets(self, piece: str) -> list[tuple[int, int]]:
         """Character spans of one piece's tokens."""
         return self.tokenizer.encode(piece, add_special_tokens=False).offsets
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level tokenizers write for each byte: itself if printable, else the next one from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .minhash import op10_minhash
+from .mixing import op1_mix_sources
+from .quality import op7_quality_rules
 from .token_output import op9_token_output
 
-QUERIES = {f.__name__: f for f in (op9_token_output,)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op7_quality_rules, op9_token_output, op10_minhash)}
 ORACLE_SQL: dict[str, str] = {}

@@ -104,8 +104,8 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
     return docs.sparkSession.createDataFrame(rows, MANIFEST)
 
 
-def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
-    """Reads the files back: doc_id, start in the whole stream, n_tokens, and the ids."""
+def read_sequences(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
+    """Reads the files back: doc_id, start in the whole stream, n_tokens, and the ids (or their crc32 as ids_crc32)."""
     base, rows = 0, []
     for r in sorted(manifest.collect(), key=lambda r: r.part):
         rows.append((r.tokens_path, r.index_path, base))
@@ -116,16 +116,17 @@ def read_sequences(manifest: DataFrame, folder: str) -> DataFrame:
             for tokens, index, base in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 system, _ = _file_system(folder)
                 with system.open_input_file(index) as source:
-                    at = pa.ipc.open_file(source).read_all()
+                    at = pa.ipc.open_file(source).read_all().combine_chunks()
                 starts, counts = at["start"].to_numpy(), at["n_tokens"].to_numpy()
                 with SequenceReader(system, tokens) as seqs:
                     for i in range(0, at.num_rows, 128):
                         s, c = starts[i : i + 128], counts[i : i + 128]
-                        ids = [seqs.stream(int(a), int(a + b)).astype("<u4").tobytes() for a, b in zip(s, c, strict=True)]
-                        yield pa.RecordBatch.from_arrays([at["doc_id"].combine_chunks()[i : i + 128], pa.array(s + base), pa.array(c), pa.array(ids, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
+                        ids = (seqs.stream(int(a), int(a + b)).astype("<u4") for a, b in zip(s, c, strict=True))
+                        last = pa.array([zlib.crc32(x) for x in ids], pa.int64()) if digest else pa.array([x.tobytes() for x in ids], pa.binary())
+                        yield pa.RecordBatch.from_arrays([at["doc_id"].chunk(0)[i : i + 128], pa.array(s + base), pa.array(c), last], names=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
     files = manifest.sparkSession.createDataFrame(rows, "tokens_path string, index_path string, base long").repartition(max(1, len(rows)))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 class SequenceReader:
@@ -167,16 +168,7 @@ class SequenceReader:
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.empty(0, np.uint16)
 
 
-def ids_digest(read: DataFrame) -> DataFrame:
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [zlib.crc32(x) for x in column(batch, "ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "sequences")
     manifest = write_sequences(documents(spark, sf_dir), folder, tokenizer_path("byte_bpe_50k.json"))
-    return ids_digest(read_sequences(manifest, folder))
+    return read_sequences(manifest, folder, digest=True)
