@@ -6,10 +6,12 @@ h(i, 2), ... until one is not empty, which keeps each bin's chance to agree equa
 bands of six bins make the buckets. A pair at similarity s shares no bucket with chance (1 - s^6)^42: 3e-6 at 0.8.
 
 Documents with equal shingle sets are one node. Of each bucket the member that shares most buckets is its centre, and
-only the edges from the centre to the others are checked, on full sets. A bucket whose other members then lie in
-different components gets more centres (1, 8, 64, ... a round), with pairs already checked or already connected left
-out, until no bucket has two components that were not compared. So the pairs made stay near the number of members where
-groups are true copies, and no link that shares a bucket is lost where they are not.
+only the edges from the centre to the others are checked, on full sets. Buckets whose other members then lie in different
+components go on. First it is counted how many shingles of each of their sets are in another of them at all: a link
+takes that many common shingles that most sets with words of their own drop out here, without a partner. The rest gets more
+centres (8, 64, ... a round), with pairs already checked or already connected left out, until no bucket has two
+components that were not compared. So the pairs made stay near the number of members, and no link that shares a bucket is
+lost.
 
 Null or blank texts have the empty set and are linked with nothing. Rows that share a doc_id are documents of their own;
 a group's id is the smallest doc_id in it, nulls left out. Extra columns are ignored; an empty table gives no rows.
@@ -97,6 +99,16 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("text").mapInArrow(sets, "key binary, hashes binary")
 
 
+def _sets_of(keys: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """key, hashes: the full set of each key, from one text that has it."""
+    need = staged(keys.join(nodes.select("key", "rep"), "key"), "need")
+    ids = need.select("rep").distinct()
+    if need.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    return staged(shingle_sets(texts, n).join(need.select("key"), "key", "left_semi").dropDuplicates(["key"]), "sets")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set keys whose full sets are similar enough."""
 
@@ -107,18 +119,28 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perc
             keep = [100 * k >= percent * (len(p) + len(q) - k) for p, q, k in zip(x, y, both, strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    need = staged(keys.join(nodes.select("key", "rep"), "key"), "need")
-    ids = need.select("rep").distinct()
-    if need.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = shingle_sets(texts, n).join(need.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    sets = staged(sets, "sets")
+    sets = _sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), nodes, docs, n)
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("xs")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("ys")), "b")
     return joined.select("a", "b", "xs", "ys").mapInArrow(similar, "a binary, b binary")
 
 
+def _common_sizes(sets: DataFrame) -> DataFrame:
+    """key, common: how many of each set's shingles are in another of the sets."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = [np.frombuffer(x, np.int64) for x in column(batch, "hashes").to_pylist()]
+            ids = np.repeat(np.array([int.from_bytes(x[:8], "big", signed=True) for x in column(batch, "key").to_pylist()], np.int64), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(ids)], names=["shingle", "id"])
+
+    rows = sets.mapInArrow(explode, "shingle long, id long")
+    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "often")
+    # an id is half a key: where two keys share it their counts add up, which keeps the bound a bound
+    counts = staged(rows.join(often, "shingle").groupBy("id").agg(F.count("*").alias("common")), "common")
+    half = sets.select("key", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("id"))
+    return half.join(counts, "id").select("key", "common")
+
+
 def components(links: DataFrame) -> DataFrame:
     """The component of each linked key, named by its smallest key: smallest label of the neighbours, then pointer jumping."""
     edges = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
@@ -133,6 +155,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _unresolved(rows: DataFrame) -> DataFrame:
+    """The rows of buckets whose members lie in more than one component."""
+    rows = staged(rows.select("bucket", "key", "n", "weight", "common", "label"), "rest")
+    split = staged(rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "split")
+    return staged(rows.join(split, "bucket", "left_semi"), "alive")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Returns doc_id, n_shingles, key, component_id and kept for each row of docs(doc_id, text)."""
     signed = staged(signatures(docs, n), "signed")
@@ -141,15 +170,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     counts = staged(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "counts")
     shared = staged(rows.join(counts, "bucket"), "shared")
     weights = staged(shared.groupBy("key").agg(F.sum("members").alias("weight")), "weights")
-    alive = staged(shared.select("bucket", "key", "n").join(weights, "key").select("bucket", "key", "n", "weight", F.col("key").alias("label")), "alive")
+    alive = staged(shared.select("bucket", "key", "n").join(weights, "key").select("bucket", "key", "n", "weight", F.col("n").alias("common"), F.col("key").alias("label")), "alive")
 
     links, tested, labels, more = None, None, None, 1
     while not alive.isEmpty():
         order = W.partitionBy("bucket").orderBy(F.desc("weight"), "key")
-        centers = staged(alive.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more).select("bucket", F.col("key").alias("center"), F.col("n").alias("m"), F.col("label").alias("other")), "centers")
+        centers = staged(alive.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more).select("bucket", F.col("key").alias("center"), F.col("n").alias("m"), F.col("common").alias("its"), F.col("label").alias("other")), "centers")
         pairs = (
             alive.join(centers, "bucket")
-            .where("label <> other").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+            .where("label <> other").where(F.least("n", "m", "common", "its") * 100 >= F.greatest("n", "m") * percent).where(F.least("common", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
             .select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct()
         )
         if tested is not None:
@@ -164,9 +193,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         rest = alive.join(centers.select("bucket", F.col("center").alias("key")), ["bucket", "key"], "left_anti")
         if labels is not None:
             rest = rest.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        rest = staged(rest.select("bucket", "key", "n", "weight", "label"), "rest")
-        split = staged(rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "split")
-        alive, more = staged(rest.join(split, "bucket", "left_semi"), "alive"), more * 8
+        alive = _unresolved(rest)
+        if more == 1 and not alive.isEmpty():
+            sizes = _common_sizes(_sets_of(alive.select("key").distinct(), nodes, docs, n))
+            alive = _unresolved(alive.drop("common").join(sizes, "key").where(F.col("common") * 100 >= F.col("n") * percent))
+        more *= 8
 
     groups = nodes.select("key", "rep", "n_docs")
     if labels is None:
