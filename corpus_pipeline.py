@@ -1,8 +1,56 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: quality rules, line dedup, near-dedup, mixing of sources, and encoding to pieces.
 
+Each stage works on all that the one before it kept, written as Parquet and read again. SQL can express neither the trees, the
+draws nor the merges, so there is no SQL for the whole; the stages are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusloom.llm._common import documents, staged
+from corpusloom.llm._pretokens import tokenizer_path
+from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.minhash import keep_one
+from corpusloom.llm.mixing import mix_sources
+from corpusloom.llm.quality import filter_quality, fit_quality
+from corpusloom.llm.sentencepiece_codec import encode_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return filter_quality(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and with them documents of which nothing is left."""
+    out = dedup_lines(docs).where("_lines > _dropped or _dropped = 0").drop("_lines", "_dropped")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    return keep_one(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mix_sources(docs)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_pieces and ids of each document of the mix."""
+    encoded = encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("piece encoding", piece_encoding)]
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

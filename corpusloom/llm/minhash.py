@@ -85,9 +85,9 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 sizes.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
                 bands.append(band_hashes(one_permutation(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "hash"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "hash", "n_shingles", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, "doc_id long, n_shingles long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash"), "text").mapInArrow(sign, "doc_id long, hash long, n_shingles long, key binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _unresolved(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Returns doc_id, n_shingles, key, component_id and kept for each row of docs(doc_id, text)."""
+    """For each row of docs(doc_id, text): doc_id, hash (of the text), n_shingles, group (the component's key), component_id, kept."""
     signed = staged(signatures(docs, n), "signed")
     nodes = staged(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("key", "n", F.explode("bands").alias("bucket"))
@@ -201,15 +201,34 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     groups = nodes.select("key", "rep", "n_docs")
     if labels is None:
-        named = groups.where("n_docs > 1").select("key", F.col("rep").alias("component"))
+        named = groups.where("n_docs > 1").select("key", F.col("key").alias("label"), F.col("rep").alias("component"))
     else:
         whole = groups.join(labels, "key", "left").where("n_docs > 1 or label is not null").withColumn("label", F.coalesce("label", "key"))
         whole = staged(whole, "whole")
-        named = whole.select("key", "label").join(whole.groupBy("label").agg(F.min("rep").alias("component")), "label").select("key", "component")
+        named = whole.select("key", "label").join(whole.groupBy("label").agg(F.min("rep").alias("component")), "label").select("key", "label", "component")
     named = staged(named, "named")
-    out = signed.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", "key", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = signed.select("doc_id", "hash", "n_shingles", "key").join(named, "key", "left")
+    return out.select("doc_id", "hash", "n_shingles", F.coalesce("label", "key").alias("group"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, with all their columns, less all but one of each group: the one with the smallest doc_id, nulls last.
+
+    Rows alike in doc_id and text are one document.
+    """
+    found = staged(near_duplicates(docs, n, percent), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
+    first = staged(found.where("n_shingles > 0").groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    lost = found.join(first, "group").where(row != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_lost")).distinct()
+    lost = staged(lost, "lost")
+    if lost.count() <= BROADCAST_IDS:
+        lost = F.broadcast(lost)
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    kept = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_lost")), "left_anti")
+    if not found.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_hash"])
+    return kept.drop("_hash")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), n=4).drop("key")
+    return near_duplicates(documents(spark, sf_dir), n=4).drop("hash", "group")
