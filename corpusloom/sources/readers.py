@@ -42,7 +42,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Lines carry their byte order through the file's blocks: a file is read by one task here, since a line's number
     needs all lines before it; many files are read in parallel.
     """
-    rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("whole"))
+    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("whole"))
     lines = rows.select("path", F.posexplode(F.split(F.regexp_replace("whole", "\r?\n$", ""), "\r?\n", -1)).alias("n", "value"))
     return lines.select("path", (F.col("n") + 1).alias("line_number"), "value")
 
@@ -82,7 +82,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_binary_chunks(spark: SparkSession, path: str) -> DataFrame:
     """chunk files of row-major little-endian int32, with the settings of the sidecar <path>.meta.json. path names a folder."""
-    meta = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(f"{path}/meta.json").collect()))
+    meta = json.loads("\n".join(r.value for r in spark.read.text(f"{path}/meta.json", wholetext=True).collect()))
     if meta.get("format") != "int32-chunks" or meta.get("dtype") != "int32":
         raise ValueError(f"{path}: format {meta.get('format')!r} of {meta.get('dtype')!r} is not supported")
     block = int(meta["block_size"])
@@ -117,7 +117,7 @@ def read_preferences(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """token, token_id of a JSON object of tokens; ids must run from 0 without gaps or repeats. Small: driver side."""
-    found = json.loads("\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect()).lstrip("﻿"))
+    found = json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()).lstrip("﻿"))
     if sorted(found.values()) != list(range(len(found))):
         raise ValueError(f"{path}: ids must run from 0 without gaps or repeats")
     return spark.createDataFrame(list(found.items()), "token string, token_id int")
