@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, staged
 from corpusloom.llm._pretokens import tokenizer_path
-from corpusloom.llm.line_dedup import dedup_lines
+from corpusloom.llm.line_dedup import DROPPED, LINES, dedup_lines
 from corpusloom.llm.minhash import keep_one
 from corpusloom.llm.mixing import mix_sources
 from corpusloom.llm.quality import filter_quality, fit_quality
@@ -25,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and with them documents of which nothing is left."""
-    out = dedup_lines(docs).where("_lines > _dropped or _dropped = 0").drop("_lines", "_dropped")
+    out = dedup_lines(docs).where((F.col(LINES) > F.col(DROPPED)) | (F.col(DROPPED) == 0)).drop(LINES, DROPPED)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ._common import documents, staged
 
 EDITS, MIN_CHARS = 1, 20
+LINES, DROPPED = "__loom_lines", "__loom_dropped"
 #: Segments at each level; None: one for each character.
 LEVELS = (2, 16, None)
 #: Buckets with more members than this go on to the next level.
@@ -122,18 +123,19 @@ def dropped_lines(docs: DataFrame, crowd: int = CROWD, limit: int | None = None)
 
 
 def dedup_lines(docs: DataFrame, crowd: int = CROWD, limit: int | None = None) -> DataFrame:
-    """The documents with their text less the dropped lines, and two more columns: _lines with a word, _dropped of them."""
-    drops = staged(dropped_lines(docs, crowd, limit), "drops")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    joined = keyed.join(_small(drops, limit), F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("_hash") == F.col("hash")), "left")
+    """The documents with their text less the dropped lines, and two more columns: LINES with a word, DROPPED of them."""
+    drops = dropped_lines(docs.select("doc_id", "text"), crowd, limit).select(*(F.col(c).alias(f"__loom_{c}") for c in ("did", "hash", "n_dropped", "drop")))
+    drops = staged(drops, "drops")
+    same = F.col("doc_id").eqNullSafe(F.col("__loom_did")) & (F.xxhash64("text") == F.col("__loom_hash"))
+    joined = docs.join(_small(drops, limit), same, "left")
     lines = F.expr(r"size(filter(split(text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]'))")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> coalesce(shiftright(get(drop, shiftright(i, 6)), i % 64) & 1, 0L) = 0), '\\n')")
-    columns = [F.when(F.col("drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("_dropped"))
+    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> coalesce(shiftright(get(__loom_drop, shiftright(i, 6)), i % 64) & 1, 0L) = 0), '\\n')")
+    columns = [F.when(F.col("__loom_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return joined.select(*columns, F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias(LINES), F.coalesce("__loom_n_dropped", F.lit(0)).cast("long").alias(DROPPED))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).withColumnsRenamed({"_lines": "n_lines", "_dropped": "n_dropped"})
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).withColumnsRenamed({LINES: "n_lines", DROPPED: "n_dropped"})
 
 
 #: DuckDB counts edits of bytes, so letters outside ASCII are first replaced by control characters, one for one.

@@ -219,15 +219,15 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     found = staged(near_duplicates(docs, n, percent), "groups")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
     first = staged(found.where("n_shingles > 0").groupBy("group").agg(F.min(row).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    lost = found.join(first, "group").where(row != F.col("first")).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_lost")).distinct()
+    lost = found.join(first, "group").where(row != F.col("first")).select(F.col("doc_id").alias("__loom_id"), F.col("hash").alias("__loom_lost")).distinct()
     lost = staged(lost, "lost")
     if lost.count() <= BROADCAST_IDS:
         lost = F.broadcast(lost)
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_lost")), "left_anti")
+    rows = docs.withColumn("__loom_hash", F.xxhash64("text"))
+    kept = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_hash") == F.col("__loom_lost")), "left_anti")
     if not found.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_hash"])
-    return kept.drop("_hash")
+        kept = kept.dropDuplicates(["doc_id", "__loom_hash"])
+    return kept.drop("__loom_hash")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

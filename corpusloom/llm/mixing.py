@@ -120,19 +120,19 @@ def plan_copies(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEI
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    return docs.withColumn("__loom_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken, with its own columns."""
     rows = sized(docs)
-    plan = plan_copies(rows.select(F.col("doc_id").cast("long"), "source", F.col("_size").alias("size")), **options)
-    taken = staged(plan.where("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("copies").alias("_copies")), "taken")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_i")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    return rows.join(taken, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    plan = plan_copies(rows.select(F.col("doc_id").cast("long"), "source", F.col("__loom_size").alias("size")), **options)
+    taken = staged(plan.where("copies > 0").select(F.col("doc_id").alias("__loom_id"), F.col("source").alias("__loom_source"), F.col("size").alias("__loom_sized"), F.col("copies").alias("__loom_copies")), "taken")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__loom_id")) & F.col("source").eqNullSafe(F.col("__loom_source")) & (F.col("__loom_size") == F.col("__loom_sized"))
+    return rows.join(taken, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sized(documents(spark, sf_dir)).select("doc_id", "source", F.col("_size").alias("size"))
+    rows = sized(documents(spark, sf_dir)).select("doc_id", "source", F.col("__loom_size").alias("size"))
     plan = plan_copies(rows).withColumn("taken", F.col("copies") * F.col("size"))
     return plan.select("doc_id", "source", "size", "source_size", "target", "copies", "taken", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row")).drop("row")
