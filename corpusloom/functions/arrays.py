@@ -12,6 +12,11 @@ def atoms(word: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(word, i * 2 - 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
 
 
+def expand_atoms(tokens: Column) -> Column:
+    """Encoded tokens as their atoms, other tokens as they are."""
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("^(?:[A-Za-z][0-9])+$"), atoms(t)).otherwise(F.array(t))))
+
+
 def pack_lines(tokens: Column, most: int) -> Column:
     """Tokens packed greedily into lines of at most `most` characters; a longer token is an error."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("line"))

@@ -58,6 +58,15 @@ def chunk_stream(df: DataFrame, block: int, stride: int | None = None, labels: b
     return chunks.withColumn("labels", F.col("input_ids")) if labels else chunks
 
 
+def split_chunks(df: DataFrame, block: int, stride: int | None = None, split: str = "split", values: tuple[str, ...] = ("train", "validation")) -> DataFrame:
+    """Chunks of each split's own stream, with the split as a column."""
+    parts = [chunk_stream(df.where(F.col(split) == v), block, stride).withColumn(split, F.lit(v)) for v in values]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def chunk_statistics(df: DataFrame, block: int, stride: int | None = None) -> DataFrame:
     """One row in closed form: consumed tokens, examples, dropped tail, largest id."""
     stride = block if stride is None else stride

@@ -24,7 +24,7 @@ def zipped_cases(rows: DataFrame) -> DataFrame:
     """(character, syllable) pairs by place of rows (characters, syllables); the longer array's rest is left out."""
     n = F.least(F.size("characters"), F.size("syllables"))
     pair = F.arrays_zip(F.slice("characters", F.lit(1), n).alias("character"), F.slice("syllables", F.lit(1), n).alias("syllable"))
-    return rows.select(F.explode(pair).alias("p")).select(F.col("p")["0"].alias("character"), F.col("p")["1"].alias("syllable"))
+    return rows.select(F.explode(pair).alias("p")).select("p.character", "p.syllable")
 
 
 def _total(df: DataFrame, count: str = "cnt") -> Column:

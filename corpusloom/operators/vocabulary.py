@@ -169,6 +169,12 @@ def tokenize_items(rows: DataFrame, vocabulary: DataFrame, strict: bool = False)
     return rows.join(pieces, "item", "left").join(known, "item", "left").withColumn("pieces", F.coalesce("pieces", other)).drop("known")
 
 
+def tokens_per_line(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """One row over rows (line, item): lines, pieces of all their items by actual segmentation, and the mean."""
+    made = tokenize_items(rows, vocabulary).agg(F.countDistinct("line").alias("lines"), F.coalesce(F.sum(F.size("pieces").cast("long")), F.lit(0)).alias("pieces"))
+    return made.withColumn("tokens_per_line", F.when(F.col("lines") > 0, F.col("pieces") / F.col("lines")).otherwise(0.0))
+
+
 def encoded_words(df: DataFrame) -> DataFrame:
     """l_orderkey, word: the flags and numbers of an order's lines, in order, as atoms."""
     atom = F.struct("l_linenumber", "l_returnflag")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import maths as M
 from ..functions import text as T
-from ..operators import chunks, codebook, counting, metrics, preferences, tones, vocabulary
+from ..operators import chunks, codebook, counting, metrics, pieces, preferences, sampling, tones, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -364,6 +364,49 @@ def decode_segments(spark, sf_dir):
     return rows.join(pieces, "word").select("l_orderkey", "word", F.array_join("pieces", "").alias("decoded"))
 
 
+@query(f"""WITH RECURSIVE {ENCODED}, {SELECTED}, {VOCAB}, {CANDIDATES}, best AS (SELECT word, start, max(length) AS len FROM found GROUP BY 1, 2), {GREEDY}, n AS (SELECT word, count(*) AS n FROM walk WHERE k > 0 GROUP BY 1)
+SELECT count(DISTINCT l_orderkey % 1000) AS lines, sum(n) AS pieces, sum(n) / count(DISTINCT l_orderkey % 1000) AS tokens_per_line FROM encoded JOIN n USING (word)""")
+def tokens_per_line(spark, sf_dir):
+    rows = encoded(spark, sf_dir).select((F.col("l_orderkey") % 1000).alias("line"), F.col("word").alias("item"))
+    return vocabulary.tokens_per_line(rows, word_vocabulary(spark, sf_dir))
+
+
+@query()
+def piece_round_trip(spark, sf_dir):
+    """Ids of a model file and back; held to the texts by tests. The file is a parameter of the operator."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("ids", pieces.encode(F.col("text"), path))
+    return rows.select("doc_id", F.size("ids").alias("n_pieces"), (pieces.decode(F.col("ids"), path) == F.col("text")).alias("same"))
+
+
+_LOGITS = "logits AS (SELECT vec_id AS step, unnest(range(len(embedding))) AS token, round(CAST(unnest(embedding) AS DOUBLE), 1) AS logit FROM embeddings)"
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the vectors stand in for a model's scores."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("step"), F.posexplode("embedding").alias("token", "logit"))
+    return rows.withColumn("logit", F.round(F.col("logit").cast("double"), 1))
+
+
+@query(f"WITH {_LOGITS} SELECT step, token FROM (SELECT *, row_number() OVER (PARTITION BY step ORDER BY logit DESC, token) AS n FROM logits) WHERE n = 1")
+def greedy_next_token(spark, sf_dir):
+    return sampling.choose(logits(spark, sf_dir), temperature=0.0).select("step", "token")
+
+
+@query(f"""WITH {_LOGITS}, t AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY step ORDER BY logit DESC) AS r FROM logits) WHERE r <= 8), z AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY step)) / 0.7) AS z FROM t)
+SELECT step, token, round(z / sum(z) OVER (PARTITION BY step), 6) AS p FROM z""")
+def next_token_probabilities(spark, sf_dir):
+    return sampling.softmax(logits(spark, sf_dir), 0.7, 8).select("step", "token", F.round("p", 6).alias("p"))
+
+
+@query()
+def sampled_next_token(spark, sf_dir):
+    """Draws by probability: held to their distribution by tests."""
+    return sampling.choose(logits(spark, sf_dir), 0.7, 8, seed=2).select("step", "token")
+
+
 # ---------------------------------------------------------------- chunks and splits
 
 
@@ -413,6 +456,12 @@ def packing_statistics(spark, sf_dir):
     return chunks.packing_statistics(rows, F.col("text"), A.packed(F.col("text"), T.words(F.col("text")), 400))
 
 
+@query(f"""WITH {DOC_IDS}, s AS (SELECT doc_id, pos, id, CASE WHEN CAST(('0x' || substring(md5('0:' || doc_id), 1, 8)) AS UBIGINT) / 4294967296.0 < 0.2 THEN 'validation' ELSE 'train' END AS split FROM ids),
+stream AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY doc_id, pos) - 1 AS g, id FROM s) SELECT split, g // {BLOCK} AS chunk_id, list(id ORDER BY g) AS input_ids FROM stream GROUP BY 1, 2 HAVING count(*) = {BLOCK}""")
+def split_chunks(spark, sf_dir):
+    return chunks.split_chunks(chunks.bernoulli_split(document_ids(spark, sf_dir), 0.2), BLOCK)
+
+
 # ---------------------------------------------------------------- tones
 
 

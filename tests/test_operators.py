@@ -138,3 +138,26 @@ def test_pipeline_steps(spark, capsys):
         p.selected("c", "a")
     assert run_matrix(["x", "y"], ["g"], "m") == [("x", "g", "m-x-g"), ("y", "g", "m-y-g")]
     assert mode_of(" Initial ") == "pinyin-initial"
+
+
+def test_next_tokens(spark):
+    from corpusloom.operators import sampling
+
+    rows = spark.range(600).withColumnRenamed("id", "step").crossJoin(spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 1.0), (3, -9.0)], "token int, logit double"))
+    share = {r.token: r["count"] / 600 for r in sampling.choose(rows, 1.0, 1, seed=1).groupBy("token").count().collect()}
+    assert set(share) == {1, 2} and abs(share[1] - 0.5) < 0.08
+    assert {r.token for r in sampling.choose(rows, 0.0).collect()} == {1}
+
+
+def test_zip_and_atoms(spark):
+    from corpusloom.functions import arrays as A
+
+    rows = spark.createDataFrame([(["a", "b", "c"], ["x1", "y2"])], "characters array<string>, syllables array<string>")
+    assert [tuple(r) for r in tones.zipped_cases(rows).collect()] == [("a", "x1"), ("b", "y2")]
+    assert rows.select(A.expand_atoms(F.array(F.lit("A1B2"), F.lit("ok"))).alias("x")).first().x == ["A1", "B2", "ok"]
+
+
+def test_piece_round_trip(spark, sf_dir):
+    from corpusloom.plans import queries
+
+    assert queries.QUERIES["piece_round_trip"](spark, sf_dir).where("not same").count() == 0

@@ -4,7 +4,7 @@ from compare import rows
 
 from corpusloom.plans import queries
 
-TABLES = ("documents", "labels", "conversations", "benchmark", "pages", "lineitem", "events")
+TABLES = ("documents", "labels", "conversations", "benchmark", "pages", "lineitem", "events", "embeddings")
 
 
 @pytest.fixture(scope="module")
