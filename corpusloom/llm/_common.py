@@ -40,6 +40,11 @@ def discard(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application has staged; results that read them must be written before."""
+    discard(spark, f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}")
+
+
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of each text, b'' for null."""
     at = batch.column(batch.schema.get_field_index(column))
@@ -69,7 +74,7 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words met last; cleared when full, so its memory is bounded."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 
@@ -83,9 +88,23 @@ class WordHashes(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        claim("words", self.clear)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One table for all operators that hash words.
+WORDS = WordHashes()
+_OWNER: list = []
+
+
+def claim(owner: str, clear) -> None:
+    """Workers go from one operator to the next; the tables of the one before are cleared when another one's begin."""
+    if _OWNER and _OWNER[0][0] != owner:
+        _OWNER.pop()[1]()
+    if not _OWNER:
+        _OWNER.append((owner, clear))
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of n hashes, in order."""
     m = len(hashes) - n + 1

@@ -127,7 +127,9 @@ def dedup_lines(docs: DataFrame, crowd: int = CROWD, limit: int | None = None) -
     drops = dropped_lines(docs.select("doc_id", "text"), crowd, limit).select(*(F.col(c).alias(f"__loom_{c}") for c in ("did", "hash", "n_dropped", "drop")))
     drops = staged(drops, "drops")
     same = F.col("doc_id").eqNullSafe(F.col("__loom_did")) & (F.xxhash64("text") == F.col("__loom_hash"))
-    joined = docs.join(_small(drops, limit), same, "left")
+    most = BROADCAST_ROWS if limit is None else limit
+    held = drops.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__loom_drop")), F.lit(0)).alias("longs")).first()
+    joined = docs.join(F.broadcast(drops) if held.n <= most and held.longs <= 5 * most else drops, same, "left")
     lines = F.expr(r"size(filter(split(text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]'))")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> coalesce(shiftright(get(__loom_drop, shiftright(i, 6)), i % 64) & 1, 0L) = 0), '\\n')")
     columns = [F.when(F.col("__loom_drop").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]

@@ -6,12 +6,9 @@ h(i, 2), ... until one is not empty, which keeps each bin's chance to agree equa
 bands of six bins make the buckets. A pair at similarity s shares no bucket with chance (1 - s^6)^42: 3e-6 at 0.8.
 
 Documents with equal shingle sets are one node. Of each bucket the member that shares most buckets is its centre, and
-only the edges from the centre to the others are checked, on full sets. Buckets whose other members then lie in different
-components go on. First it is counted how many shingles of each of their sets are in another of them at all: a link
-takes that many common shingles that most sets with words of their own drop out here, without a partner. The rest gets more
-centres (8, 64, ... a round), with pairs already checked or already connected left out, until no bucket has two
-components that were not compared. So the pairs made stay near the number of members, and no link that shares a bucket is
-lost.
+only the edges from the centre to the others are checked, on full sets. So the pairs made stay near the number of members. Where
+the other members of a bucket then lie in different components, which is where groups are loose, a prefix-filtered join
+over the sets of those members finds every link that is left between the components. No link that shares a bucket is lost.
 
 Null or blank texts have the empty set and are linked with nothing. Rows that share a doc_id are documents of their own;
 a group's id is the smallest doc_id in it, nulls left out. Extra columns are ignored; an empty table gives no rows.
@@ -27,13 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, column, documents, mix64, slices, staged, text_bytes, windows
+from ._common import WORDS, column, documents, mix64, slices, staged, text_bytes, windows
 
 BINS, BANDS, ROWS = 256, 42, 6
 #: Up to so many 8-byte ids are broadcast to fetch texts (2 MB); beyond it the ids are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-_HASHES = WordHashes()
 
 
 def shingle_set(text: bytes, n: int) -> np.ndarray:
@@ -41,7 +37,7 @@ def shingle_set(text: bytes, n: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    return np.unique(windows(_HASHES.of(words), min(n, len(words))))
+    return np.unique(windows(WORDS.of(words), min(n, len(words))))
 
 
 def set_key(hashes: np.ndarray) -> bytes:
@@ -124,21 +120,33 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perc
     return joined.select("a", "b", "xs", "ys").mapInArrow(similar, "a binary, b binary")
 
 
-def _common_sizes(sets: DataFrame) -> DataFrame:
-    """key, common: how many of each set's shingles are in another of the sets."""
+def _prefix_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among rows (key, n, label) that may be similar enough, by prefixes of their sets.
+
+    With each set's shingles in the order of how many of the sets have them, two sets similar enough share one among the first
+    n - ceil(n * percent / 100) + 1 of each; its places tell how many more they can share. Shingles of one set alone come
+    first and meet nothing, so sets with words of their own have short prefixes or none. Of each shingle's rows those
+    outside its commonest component meet all, which is every pair of different components.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [np.frombuffer(x, np.int64) for x in column(batch, "hashes").to_pylist()]
-            ids = np.repeat(np.array([int.from_bytes(x[:8], "big", signed=True) for x in column(batch, "key").to_pylist()], np.int64), list(map(len, found)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(ids)], names=["shingle", "id"])
-
-    rows = sets.mapInArrow(explode, "shingle long, id long")
-    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle"), "often")
-    # an id is half a key: where two keys share it their counts add up, which keeps the bound a bound
-    counts = staged(rows.join(often, "shingle").groupBy("id").agg(F.count("*").alias("common")), "common")
-    half = sets.select("key", F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long").alias("id"))
-    return half.join(counts, "id").select("key", "common")
+            keys, found = column(batch, "key"), [np.frombuffer(x, np.int64) for x in column(batch, "hashes").to_pylist()]
+            places = np.repeat(np.arange(len(found)), list(map(len, found)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), keys.take(pa.array(places))], names=["shingle", "key"])
+
+    rows = sets.mapInArrow(explode, "shingle long, key binary")
+    often = staged(rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1"), "often")
+    shared = rows.join(often, "shingle")
+    place = F.row_number().over(W.partitionBy("key").orderBy("sets", "shingle"))
+    ranked = shared.withColumn("place", place).withColumn("common", F.count("*").over(W.partitionBy("key")))
+    ranked = ranked.join(alive, "key").withColumn("place", F.col("n") - F.col("common") + F.col("place"))
+    prefix = staged(ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("shingle", "key", "place", "n", "label"), "prefix")
+    major = staged(prefix.groupBy("shingle").agg(F.mode("label").alias("major"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("shingle", "major"), "major")
+    minor = staged(prefix.join(major, "shingle").where("label <> major").select("shingle", F.col("key").alias("other"), F.col("place").alias("at"), F.col("n").alias("m"), F.col("label").alias("its")), "minor")
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1
+    near = (F.col("label") != F.col("its")) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    return prefix.join(minor, (prefix["shingle"] == minor["shingle"]) & near).select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -155,13 +163,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _unresolved(rows: DataFrame) -> DataFrame:
-    """The rows of buckets whose members lie in more than one component."""
-    rows = staged(rows.select("bucket", "key", "n", "weight", "common", "label"), "rest")
-    split = staged(rows.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "split")
-    return staged(rows.join(split, "bucket", "left_semi"), "alive")
-
-
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, hash (of the text), n_shingles, group (the component's key), component_id, kept."""
     signed = staged(signatures(docs, n), "signed")
@@ -170,42 +171,31 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     counts = staged(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "counts")
     shared = staged(rows.join(counts, "bucket"), "shared")
     weights = staged(shared.groupBy("key").agg(F.sum("members").alias("weight")), "weights")
-    alive = staged(shared.select("bucket", "key", "n").join(weights, "key").select("bucket", "key", "n", "weight", F.col("n").alias("common"), F.col("key").alias("label")), "alive")
-
-    links, tested, labels, more = None, None, None, 1
-    while not alive.isEmpty():
-        order = W.partitionBy("bucket").orderBy(F.desc("weight"), "key")
-        centers = staged(alive.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= more).select("bucket", F.col("key").alias("center"), F.col("n").alias("m"), F.col("common").alias("its"), F.col("label").alias("other")), "centers")
-        pairs = (
-            alive.join(centers, "bucket")
-            .where("label <> other").where(F.least("n", "m", "common", "its") * 100 >= F.greatest("n", "m") * percent).where(F.least("common", "its") * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
-            .select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        if not pairs.isEmpty():
-            found = staged(_confirmed(pairs, nodes, docs, n, percent), "links")
-            links = found if links is None else links.union(found)
-            if not found.isEmpty():
-                labels = components(links)
-        rest = alive.join(centers.select("bucket", F.col("center").alias("key")), ["bucket", "key"], "left_anti")
-        if labels is not None:
-            rest = rest.drop("label").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        alive = _unresolved(rest)
-        if more == 1 and not alive.isEmpty():
-            sizes = _common_sizes(_sets_of(alive.select("key").distinct(), nodes, docs, n))
-            alive = _unresolved(alive.drop("common").join(sizes, "key").where(F.col("common") * 100 >= F.col("n") * percent))
-        more *= 8
+    members = staged(shared.select("bucket", "key", "n").join(weights, "key").select("bucket", "key", "n", "weight"), "members")
+
+    # stars: from the member of each bucket that shares most buckets to the others
+    best = F.min(F.struct((-F.col("weight")).alias("order"), "key", "n")).alias("c")
+    centers = staged(members.groupBy("bucket").agg(best).select("bucket", F.col("c.key").alias("center"), F.col("c.n").alias("m")), "centers")
+    edges = members.join(centers, "bucket").where("key <> center").where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent)
+    pairs = staged(edges.select(F.least("key", "center").alias("a"), F.greatest("key", "center").alias("b")).distinct(), "pairs")
+    links = staged(_confirmed(pairs, nodes, docs, n, percent), "links")
+    labels = components(links)
+
+    # what the stars leave open: buckets whose other members lie in different components
+    rest = members.join(centers.select("bucket", F.col("center").alias("key")), ["bucket", "key"], "left_anti").join(labels, "key", "left")
+    rest = staged(rest.select("bucket", "key", "n", F.coalesce("label", "key").alias("label")), "rest")
+    split = staged(rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket"), "split")
+    alive = staged(rest.join(split, "bucket", "left_semi").select("key", "n", "label").distinct(), "alive")
+    if not alive.isEmpty():
+        more = _prefix_pairs(alive, _sets_of(alive.select("key"), nodes, docs, n), percent).join(pairs, ["a", "b"], "left_anti")
+        found = staged(_confirmed(staged(more, "more"), nodes, docs, n, percent), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
 
     groups = nodes.select("key", "rep", "n_docs")
-    if labels is None:
-        named = groups.where("n_docs > 1").select("key", F.col("key").alias("label"), F.col("rep").alias("component"))
-    else:
-        whole = groups.join(labels, "key", "left").where("n_docs > 1 or label is not null").withColumn("label", F.coalesce("label", "key"))
-        whole = staged(whole, "whole")
-        named = whole.select("key", "label").join(whole.groupBy("label").agg(F.min("rep").alias("component")), "label").select("key", "label", "component")
+    whole = groups.join(labels, "key", "left").where("n_docs > 1 or label is not null").withColumn("label", F.coalesce("label", "key"))
+    whole = staged(whole, "whole")
+    named = whole.select("key", "label").join(whole.groupBy("label").agg(F.min("rep").alias("component")), "label").select("key", "label", "component")
     named = staged(named, "named")
     out = signed.select("doc_id", "hash", "n_shingles", "key").join(named, "key", "left")
     return out.select("doc_id", "hash", "n_shingles", F.coalesce("label", "key").alias("group"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -232,3 +222,24 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), n=4).drop("hash", "group")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS i FROM worded WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (
+  SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY 1
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(m, doc_id)) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, column, documents, slices, text_bytes, windows
+from ._common import WORDS, column, documents, slices, text_bytes, windows
 
 #: At most so many labelled documents are fitted on: those with the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -35,7 +35,6 @@ _TAIL = bytes(range(0x80, 0xC0))
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS, _DIGITS = bytes(range(65, 91)), b"0123456789"
 _OTHER = bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and x not in b"#*$%&|<>.,!")
-_HASHES = WordHashes()
 
 
 def _count(text: bytes, what: bytes) -> int:
@@ -52,7 +51,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     symbols = _count(text, _SYMBOLS)
     lines = [x for x in text.split(b"\n") if x.strip()]
     dup = len(lines) - len(set(lines))
-    h = _HASHES.of(words)
+    h = WORDS.of(words)
     distinct, counts = np.unique(h, return_counts=True)
     repeat = 0
     if n > 8 and len(distinct) < n:

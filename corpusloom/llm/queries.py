@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, minhash
 from .ann import op2_nearest_neighbours
 from .line_dedup import op4_line_dedup
 from .lm_scoring import op5_lm_scoring
@@ -21,4 +21,4 @@ QUERIES = {
         op6_sentencepiece, op7_quality_rules, op8_toxicity, op9_token_output, op10_minhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.ORACLE_SQL, "op10_minhash": minhash.ORACLE_SQL}
