@@ -87,7 +87,14 @@ class Vocabulary:
 
 def fit_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(head).toArrow()
+    # sixteen bins for each power of two tell from which count on there are enough tokens, so that little more than them is sorted
+    bins = counts.groupBy(F.floor(F.log2(F.col("c")) * 16).alias("bin")).count().orderBy(F.desc("bin")).collect()
+    least, n = 0, 0
+    for b in bins:
+        least, n = b.bin, n + b["count"]
+        if n >= head:
+            break
+    top = counts.where(F.floor(F.log2(F.col("c")) * 16) >= least).orderBy(F.desc("c"), "token").limit(head).toArrow()
     tokens = [bytes(x) for x in top["token"].to_pylist()]
     short = frozenset(tokens[:SHORT])
 
