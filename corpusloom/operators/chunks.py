@@ -110,11 +110,8 @@ def exact_split(df: DataFrame, fraction: float, seed: int = 0, key: str = "doc_i
     if n < 2:
         raise ValueError("At least two rows are needed for a split")
     k = min(n - 1, max(1, int(n * fraction)))
-    # the k smallest keys are found by a bounded top-k and its largest draw parts the rows
-    drawn = df.withColumn("_u", uniform(seed, F.col(key)))
-    edge = drawn.select("_u", F.col(key).alias("_k")).orderBy("_u", "_k").limit(k).agg(F.max(F.struct("_u", "_k")).alias("edge")).first().edge
-    chosen = (F.col("_u") < edge._u) | ((F.col("_u") == edge._u) & (F.col(key) <= edge._k))
-    return drawn.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("_u")
+    placed = prefix_offsets(df.withColumn("_u", uniform(seed, F.col(key))), F.lit(1), "_u", key)
+    return placed.withColumn("split", F.when(F.col("offset") < k, "validation").otherwise("train")).drop("_u", "offset")
 
 
 def shuffled(df: DataFrame, epoch: int, seed: int = 0, key: str = "doc_id") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .counting import first_place, place
+
 
 def restrict(pairs: DataFrame, message: DataFrame) -> DataFrame:
     """Only pairs whose code occurs in the message."""
@@ -14,8 +16,9 @@ def restrict(pairs: DataFrame, message: DataFrame) -> DataFrame:
 
 def codebook(pairs: DataFrame, order: str = "doc_id") -> DataFrame:
     """code, word, cnt and the first place of each pair, from rows (order, pos, code, word)."""
-    made = pairs.groupBy("code", "word").agg(F.count("*").alias("cnt"), F.min(F.struct(order, "pos")).alias("first"))
-    return made.select("code", "word", "cnt", F.col(f"first.{order}").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    made = pairs.groupBy("code", "word").agg(F.count("*").alias("cnt"), F.min(place(order)).alias("first"))
+    doc, pos = first_place("first")
+    return made.select("code", "word", "cnt", doc.alias("first_doc"), pos.alias("first_pos"))
 
 
 def candidates(book: DataFrame, k: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .chunks import prefix_offsets
 
 
 def allow_list(df: DataFrame, **allowed: list | None) -> DataFrame:
@@ -44,11 +45,22 @@ def items(df: DataFrame, tokens: Column, order: str = "doc_id") -> DataFrame:
     return df.select(order, F.posexplode(tokens).alias("pos", "item"))
 
 
+def place(order: str, pos: str = "pos") -> Column:
+    """A row's place as one number, by which a hash aggregate can keep the first; a pair would make it sort all rows."""
+    return F.col(order).cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col(pos).cast("decimal(10,0)")
+
+
+def first_place(column: str) -> tuple[Column, Column]:
+    """The order and the position that a place stands for."""
+    order = F.expr(f"{column} div 4294967296")
+    return order, (F.col(column) - order.cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)")).cast("int")
+
+
 def classified_counts(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     """Class, item, cnt and the first place of each item (first_doc, first_pos), which settles ties by first seen."""
-    place = F.struct(order, "pos")
-    counted = rows.groupBy("item").agg(F.count("*").alias("cnt"), F.min(place).alias("first"))
-    return counted.select(T.item_class(F.col("item")).alias("class"), "item", "cnt", F.col(f"first.{order}").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    counted = rows.groupBy("item").agg(F.count("*").alias("cnt"), F.min(place(order)).alias("first"))
+    doc, pos = first_place("first")
+    return counted.select(T.item_class(F.col("item")).alias("class"), "item", "cnt", doc.alias("first_doc"), pos.alias("first_pos"))
 
 
 def corpus_statistics(counts: DataFrame) -> DataFrame:
@@ -72,9 +84,9 @@ def first_examples(rows: DataFrame, kind: str, n: int, order: str = "doc_id") ->
 
 
 def ordered_distinct(rows: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Items in the order they are first seen; the ordering is over distinct items only."""
-    first = rows.groupBy("item").agg(F.min(F.struct(order, "pos")).alias("first"))
-    return first.select("item", (F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first")) - 1).cast("long").alias("ord"))
+    """item, ord: distinct items numbered from 0 in the order they are first seen."""
+    first = rows.groupBy("item").agg(F.min(place(order)).alias("first"))
+    return prefix_offsets(first, F.lit(1), "first").select("item", F.col("offset").alias("ord"))
 
 
 def head_and_tail(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
