@@ -36,10 +36,12 @@ SAMPLE = 10_000
 #: a likelihood ratio that is not expected by chance among as many features as there are.
 LEAST, ERRORS = 1.5, 1.645
 #: What look-alikes stand for, and characters that may only part letters.
-LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
+LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz", "#": "h"}
 GAPS = frozenset(".-_*~'’·,/\\^")
 N = 27
+SUMMARY = 5
 _SINGLES = re.compile(r"(?:^|\s)\S\s\S\s\S(?:\s|$)")
+_REPEAT = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _EDGES = re.compile(r"^(?:[^\w@$!|+(*#]|([^\w\s])\1+)+|(?:[^\w@$|+*#]|([^\w\s])\2+|[!.,;:?])+$")
 
@@ -83,7 +85,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c in LOOKS:
             options += [(x * k, -0.7 * k) for x in LOOKS[c] for k in {1, run if run < 3 else 1}]
         if c in GAPS or c in "|!":
-            options.append(("", -0.7))
+            options.append(("", -0.7 if c in GAPS else -2.5))
         if letter(c):
             x = chr(96 + letter(c))
             options += [(x, 0.0)] if run == 1 else [(x, -0.7), (x * 2, -0.7 if run > 2 else -0.1)]
@@ -129,7 +131,8 @@ def words_of(text: str) -> list[str]:
                 run.append(w)
                 continue
             if len(run) >= 3:
-                words.append("".join(run))
+                whole = "".join(run)
+                words += [whole, whole[1:], whole[:-1]]  # a word of one letter may stand beside
             run = []
     return words
 
@@ -150,9 +153,11 @@ class Decoder:
 
     def spellings(self, word: str) -> set[str]:
         word = _EDGES.sub("", word)
+        spelled = plain(word)
+        found = {spelled, _REPEAT.sub(r"\1", spelled)}
         if not hidden(word):
-            return {plain(word)}
-        found = {plain(word), viterbi(word, self.common)}
+            return found
+        found.add(viterbi(word, self.common))
         if self.toxic is not None:
             found.add(viterbi(word, self.toxic))
         return found
@@ -166,9 +171,11 @@ class Decoder:
         return e
 
     def summary(self, text: str) -> list[float]:
+        """Of the different words with evidence: the most, its square, how many, the sum, and how many in 200 words (texts under 50 words as 50)."""
         words = words_of(text)
-        hits = [e for e in map(self.evidence, words) if e]
-        return [max(hits, default=0.0), float(np.log1p(len(hits))), min(sum(hits), 50.0) / 10]
+        hits = [self.evidence(w) for w in {w for w in words if self.evidence(w)}]
+        most = max(hits, default=0.0)
+        return [most, most * most / 5, float(np.log1p(len(hits))), min(sum(hits), 50.0) / 10, float(np.log1p(200 * len(hits) / max(50, len(words))))]
 
 
 def _train(doc_id: int | None) -> bool:
@@ -200,11 +207,11 @@ class Toxicity:
     bias: float
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.decoder.summary(t) for t in texts]).reshape(-1, 3)
+        x = np.array([self.decoder.summary(t) for t in texts]).reshape(-1, SUMMARY)
         return 1 / (1 + np.exp(-(x @ self.weights + self.bias)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     x1 = np.column_stack([x, np.ones(len(x))])
     w, penalty = np.zeros(x1.shape[1]), np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(50):
@@ -266,7 +273,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     made = rows.mapInArrow(summarise, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    x = np.array(made["x"].to_pylist()).reshape(-1, 3)
+    x = np.array(made["x"].to_pylist()).reshape(-1, SUMMARY)
     return Toxicity(decoder, *fit_logistic(x, (made["y"].to_numpy() > 0).astype(float)))
 
 
