@@ -494,6 +494,28 @@ def test_near_duplicates(spark, limit):
     assert got == Counter(brute_groups(rows, 4))
 
 
+def test_prefix_join_finds_all_pairs_between_components(spark):
+    draw = np.random.default_rng(3)
+    sets = []
+    for _ in range(12):
+        base = draw.integers(0, 2**63, draw.integers(20, 80)).astype(np.uint64)
+        for _ in range(12):
+            kept = base[draw.random(len(base)) < 0.93]
+            sets.append(np.unique(np.concatenate([kept, draw.integers(0, 2**63, draw.integers(0, 4)).astype(np.uint64)])))
+    keys = [minhash.set_key(s) for s in sets]
+    for labels in (keys, [keys[i // 4 * 4] for i in range(len(keys))]):
+        alive = spark.createDataFrame([(bytearray(k), len(s), bytearray(x)) for k, s, x in zip(keys, sets, labels, strict=True)], "key binary, n long, label binary")
+        full = spark.createDataFrame([(bytearray(k), bytearray(s.tobytes())) for k, s in zip(keys, sets, strict=True)], "key binary, hashes binary")
+        got = {(bytes(r.a), bytes(r.b)) for r in minhash._prefix_pairs(alive, full, 80).collect()}
+        want = 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if labels[i] != labels[j] and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                want += 1
+                assert tuple(sorted((keys[i], keys[j]))) in got
+        assert want > 50 and len(got) < len(sets) * 12
+
+
 def test_near_duplicates_of_the_table(spark, sf_dir, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in queries.QUERIES["op10_minhash"](spark, sf_dir).collect()}
