@@ -169,9 +169,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     nodes = staged(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("key", "n", F.explode("bands").alias("bucket"))
     counts = staged(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "counts")
-    shared = staged(rows.join(counts, "bucket"), "shared")
+    shared = staged(rows.join(counts.hint("merge"), "bucket"), "shared")  # by a shuffle at every size
     weights = staged(shared.groupBy("key").agg(F.sum("members").alias("weight")), "weights")
-    members = staged(shared.select("bucket", "key", "n").join(weights, "key").select("bucket", "key", "n", "weight"), "members")
+    members = staged(shared.select("bucket", "key", "n").join(weights.hint("merge"), "key").select("bucket", "key", "n", "weight"), "members")
 
     # stars: from the member of each bucket that shares most buckets to the others
     best = F.min(F.struct((-F.col("weight")).alias("order"), "key", "n")).alias("c")

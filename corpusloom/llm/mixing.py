@@ -129,7 +129,7 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
     plan = plan_copies(rows.select(F.col("doc_id").cast("long"), "source", F.col("__loom_size").alias("size")), **options)
     taken = staged(plan.where("copies > 0").select(F.col("doc_id").alias("__loom_id"), F.col("source").alias("__loom_source"), F.col("size").alias("__loom_sized"), F.col("copies").alias("__loom_copies")), "taken")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__loom_id")) & F.col("source").eqNullSafe(F.col("__loom_source")) & (F.col("__loom_size") == F.col("__loom_sized"))
-    return rows.join(taken, same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")
+    return rows.join(taken.hint("merge"), same).select(*(rows[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).drop("__loom_copy")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
