@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 2,000 rows where the session has the default of 10,000: whole texts are large, and both sides keep buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -29,6 +39,7 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, which cuts the lineage: lost executors cost nothing that is done."""
+    small_batches(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,7 +85,7 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words met last; cleared when full, so its memory is bounded."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
@@ -105,6 +116,18 @@ def claim(owner: str, clear) -> None:
         _OWNER.append((owner, clear))
 
 
+@contextmanager
+def uncollected():
+    """No cycle collection inside: for loops that fill large tables and make no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of each run of n hashes, in order."""
     m = len(hashes) - n + 1

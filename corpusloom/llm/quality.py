@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WORDS, column, documents, slices, text_bytes, windows
+from ._common import WORDS, column, documents, slices, small_batches, text_bytes, windows
 
 #: At most so many labelled documents are fitted on: those with the smallest hash of doc_id.
 SAMPLE = 20_000
@@ -147,6 +147,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
     """Trees fitted on up to `sample` labelled documents; None if they don't have labels of both kinds."""
+    small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # proven bound: 16 bytes a row of the sample
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
@@ -183,6 +184,7 @@ def filter_quality(docs: DataFrame, model: Trees | None) -> DataFrame:
         for batch in slices(batches):
             yield batch.filter(pa.array(_judge(text_bytes(batch), model)[3]))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 
