@@ -13,11 +13,18 @@ from itertools import chain
 
 import numpy as np
 
+from ._common import claim, uncollected
+
 _KEPT: dict = {}
+#: The letters, numbers and white space up to U+00FF, and the tokenizer's pattern written with them.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \t\n\r\f\v\x85\xa0"
+LATIN_PATTERN = f" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
 
 class Encoder:
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 600_000):
+        import re
+
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
@@ -27,17 +34,31 @@ class Encoder:
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.latin = re.compile(LATIN_PATTERN)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.ids: dict[str, bytes] = {}
         self.limit = limit
 
     def _learn(self, pieces: set[str]) -> None:
         for p in pieces:
-            self.ids[p] = array(self.dtype.char, [x.id for x in self.merge(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            plain = p.replace(" ", self.letters[0x20]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
+            self.ids[p] = array(self.dtype.char, [x.id for x in self.merge(plain)]).tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        """The pattern's pieces; texts that Latin-1 can hold are cut by an equal pattern that names its letters."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern.findall(text)
+        return self.latin.findall(text)
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text; afterwards the table holds the ids of all of them."""
-        out = [self.pattern.findall(x) for x in texts]
+        with uncollected():
+            return self._pieces(texts)
+
+    def _pieces(self, texts: list[str]) -> list[list[str]]:
+        out = list(map(self._cut, texts))
         new = set(chain.from_iterable(out)).difference(self.ids)
         if len(self.ids) + len(new) > self.limit:
             self.ids.clear()
@@ -68,6 +89,7 @@ def byte_letters() -> dict[int, str]:
 
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process."""
+    claim("encoder", _KEPT.clear)
     if path not in _KEPT:
         _KEPT[path] = Encoder(path)
     return _KEPT[path]
