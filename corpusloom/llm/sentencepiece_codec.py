@@ -1,11 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 The pieces and scores come from a merge-type model file. A text gets the leading mark, spaces become marks, and it falls into
-words at marks, since no piece has a mark behind another character. In each word an agenda holds the candidate
+words at marks and line feeds, since no piece has a mark behind another character, or a line feed. In each word an agenda holds the candidate
 merges, best score first and leftmost among equals; a merge that is taken from it is skipped if a hash keyed by seed, word,
 variant, place and piece falls under the rate. With rate 0 this is the model's own encoding. Each occurrence of a word draws
 one of a fixed number of variants by a hash of seed, document and position, so a word is merged once for each variant and
-worker and then looked up; tables are cleared when full.
+worker and then looked up; tables are cleared when full. New words of a batch are merged together, their agendas in step.
 
 Characters without a piece become the bytes of their UTF-8 form, and so does the mark itself where a text has it: decoding
 gives back every text exactly, whatever was skipped. Null texts are empty and have no ids. Equal doc_id and text give
@@ -25,17 +25,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._common import column, documents, mix64, slices
+from ._common import claim, column, documents, mix64, slices, small_batches, uncollected
 from ._pretokens import tokenizer_path
 
 MARK = "▁"
 RATE, SEED, VARIANTS = 0.1, 11, 8
-_WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+FACTOR = 0x01000193
+_WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _KEPT: dict = {}
 
 
+def _slot(pair: np.ndarray, k: int) -> np.ndarray:
+    bits = 20 if k == 0 else 14
+    with np.errstate(over="ignore"):
+        return ((pair.astype(np.uint64) ^ np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Tables by hash: the first holds all keys that come first to their slot, the next ones, smaller, what is left."""
+    tables, held, k = [], [], 0
+    while len(keys):
+        at = _slot(keys, k)
+        _, first = np.unique(at, return_index=True)
+        size = 2 ** (20 if k == 0 else 14)
+        table, value = np.full(size, -2, np.int64), np.zeros(size, np.int32)
+        table[at[first]], value[at[first]] = keys[first], values[first]
+        tables.append(table)
+        held.append(value)
+        left = np.ones(len(keys), bool)
+        left[first] = False
+        keys, values, k = keys[left], values[left], k + 1
+    return tables, held
+
+
+class Slots(dict):
+    """For each word a slot for the ids of each variant, empty at first."""
+
+    def __init__(self, variants: int):
+        super().__init__()
+        self.empty = [None] * variants
+
+    def __missing__(self, word: str) -> list:
+        self[word] = slots = self.empty.copy()
+        return slots
+
+
 class Codec:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, limit: int = 300_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -53,25 +89,50 @@ class Codec:
             else:
                 self.rank[piece] = (-model.get_score(i), i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
-                if MARK in piece.lstrip(MARK):
-                    raise ValueError(f"piece {piece!r} has a mark behind another character")
+                if MARK in piece.lstrip(MARK) or "\n" in piece:
+                    raise ValueError(f"piece {piece!r} has a mark behind another character or a line feed")
         self.rate, self.seed, self.limit = int(rate * 2**32), seed, limit
         self.variants = variants if rate else 1
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held = 0
+        self.table = Slots(self.variants)
         self.escaped = self._bytes(MARK)
+        # for merging many words at once: ids of characters, places of pieces in the order of merging, and all pairs that merge
+        self.letters = np.full(0x10000, -1, np.int64)
+        for piece, (_, i) in self.rank.items():
+            if len(piece) == 1 and ord(piece) < 0x10000:
+                self.letters[ord(piece)] = i
+        self.order = np.zeros(n, np.int32)
+        self.order[[i for _, (_, i) in sorted(self.rank.items(), key=lambda x: x[1])]] = np.arange(len(self.rank))
+        pairs = {self.rank[p[:k]][1] * n + self.rank[p[k:]][1]: r[1] for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank}
+        self.size = n
+        self.pairs, self.merged = _hashed(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+
+    def _found(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces that pairs merge into, and whether they do."""
+        p, fits = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
+        for k in range(len(self.pairs)):
+            at = _slot(pair, k)
+            hit = self.pairs[k][at] == pair
+            p[hit] = self.merged[k][at[hit]]
+            fits |= hit
+        return p, fits
 
     def _bytes(self, text: str) -> bytes:
         return array("H", [self.byte_ids[b] for b in text.encode()]).tobytes()
 
+    def _key(self, word: str, variant: int) -> int:
+        """32 bits that a word's skips hang on; _merge_rows has the same for many words."""
+        total = sum(ord(c) * pow(FACTOR, i + 1, 2**32) for i, c in enumerate(word))
+        return (total ^ (self.seed * 1000003 + variant) * 0x9E3779B1) & 0xFFFFFFFF
+
     def _merge(self, word: str, variant: int) -> bytes:
+        """Ids of one word by an agenda of its own."""
         rank, rate = self.rank.get, self.rate
         parts: list[str | None] = list(word)
         n = len(parts)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(*r, i, 2) for i, r in enumerate(map(rank, map(str.__add__, parts, parts[1:]))) if r]
         heapq.heapify(agenda)
-        key = zlib.crc32(word.encode(), self.seed * 1000003 + variant & 0xFFFFFFFF) if rate else 0
+        key = self._key(word, variant)
         while agenda:
             score, piece, i, size = heapq.heappop(agenda)
             a = parts[i]
@@ -104,37 +165,132 @@ class Codec:
                 out += r[1].to_bytes(2, "little") if r else self._bytes(p)
         return bytes(out)
 
-    def _part(self, text: str, drawn: Iterator[int]) -> bytes:
-        tables, out = self.tables, []
-        for w, v in zip(_WORDS.findall(text), drawn, strict=False):
-            ids = tables[v].get(w)
-            if ids is None:
-                if self.held >= self.limit:
-                    for t in tables:
-                        t.clear()
-                    self.held = 0
-                ids = tables[v][w] = self._merge(w, v)
-                self.held += 1
-            out.append(ids)
-        return b"".join(out)
+    def _merge_many(self, found: list[tuple[str, int, list]]) -> None:
+        """Puts the ids of words into their variants' slots: agendas of words of like length advance in step.
+
+        A row is a word's agenda: for each place the best merge that starts there, or none. Each step takes every row's best,
+        the leftmost among equals, and renews the two places beside it; a merge that its hash skips never enters.
+        """
+        lengths = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
+        order, at = np.argsort(lengths, kind="stable"), 0
+        lengths = lengths[order]
+        while at < len(order):
+            width = int(lengths[at])
+            if width > 48:
+                for k in order[at:]:
+                    w, v, slots = found[k]
+                    slots[v] = self._merge(w, v)
+                return
+            end = min(at + 4096, int(np.searchsorted(lengths, width + 2, "right")))
+            self._merge_rows([found[k] for k in order[at:end].tolist()], lengths[at:end])
+            at = end
+
+    def _merge_rows(self, found: list[tuple[str, int, list]], lengths: np.ndarray) -> None:
+        width = int(lengths[-1])
+        flat = np.frombuffer("".join([x[0] for x in found]).encode("utf-32-le"), np.uint32)
+        inside = np.arange(width) < lengths[:, None]
+        codes = np.zeros(inside.shape, np.uint32)
+        codes[inside] = flat
+        ids = np.where(inside, self.letters[np.where(codes < 0x10000, codes, 0xFFFF)], -1)
+        plain = (ids >= 0).sum(1) == lengths
+        if not plain.all():
+            for k in np.flatnonzero(~plain):
+                w, v, slots = found[k]
+                slots[v] = self._merge(w, v)
+            found = [found[k] for k in np.flatnonzero(plain)]
+            if not found:
+                return
+        ids, lengths, n = ids[plain], lengths[plain], len(found)
+        variants = np.fromiter((x[1] for x in found), np.uint32, n)
+        keys = codes[plain] @ np.array([pow(FACTOR, i + 1, 2**32) for i in range(width)], np.uint32) ^ (np.uint32(self.seed * 1000003 & 0xFFFFFFFF) + variants) * np.uint32(0x9E3779B1)
+        none = np.iinfo(np.int32).max
+        # column `width` stands for no place: behind the last and before the first one
+        ids = np.column_stack([ids, np.full(n, -1)])
+        right = np.tile(np.append(np.arange(1, width + 1), width), (n, 1))
+        right[np.arange(n), lengths - 1] = width
+        left = np.tile(np.append(np.arange(-1, width - 1), width), (n, 1))
+        left[:, 0] = width
+        best, piece = np.full((n, width + 1), none, np.int32), np.zeros((n, width + 1), np.int64)
+
+        def renew(rows: np.ndarray, i: np.ndarray) -> None:
+            a, b = ids[rows, i], ids[rows, right[rows, i]]
+            pair = np.where((a < 0) | (b < 0), -1, a * self.size + b)
+            p, fits = self._found(pair)
+            if self.rate:
+                h = keys[rows] ^ (p.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (i.astype(np.uint32) * np.uint32(0x85EBCA6B))
+                h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+                h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
+                fits &= h ^ (h >> np.uint32(15)) >= self.rate
+            best[rows, i] = np.where(fits, self.order[p], none)
+            piece[rows, i] = p
+
+        every = np.repeat(np.arange(n), width)
+        renew(every, np.tile(np.arange(width), n))
+        rows = np.arange(n)
+        while True:
+            i = best[rows].argmin(1)
+            live = best[rows, i] != none
+            rows, i = rows[live], i[live]
+            if not len(rows):
+                break
+            j = right[rows, i]
+            k = right[rows, j]
+            ids[rows, i], ids[rows, j], best[rows, j] = piece[rows, i], -1, none
+            right[rows, i] = k
+            left[rows, k] = i
+            left[rows, width] = width
+            renew(rows, i)
+            renew(rows, left[rows, i])
+            best[rows, width] = none
+        alive = ids >= 0
+        raw = ids[alive].astype("<u2").tobytes()
+        ends = (np.cumsum(alive.sum(1)) * 2).tolist()
+        start = 0
+        for (_, v, slots), stop in zip(found, ends, strict=True):
+            slots[v] = raw[start:stop]
+            start = stop
+
+    def encode_many(self, texts: list[str], keys: list) -> list[np.ndarray]:
+        """Ids of each text; keys: of their documents."""
+        with uncollected():
+            return self._encode(texts, keys)
+
+    def _encode(self, texts: list[str], keys: list) -> list[np.ndarray]:
+        if len(self.table) > self.limit:
+            self.table.clear()
+        slots_of, cut, new, late = self.table.__getitem__, [], {}, []
+        for text, key in zip(texts, keys, strict=True):
+            parts = text.split(MARK)
+            parts[0] = " " + parts[0]
+            words = [_WORDS.findall(p.replace(" ", MARK)) for p in parts]
+            n = sum(map(len, words))
+            start = np.uint64(zlib.crc32(str(key).encode(), self.seed) << 32)
+            drawn, at, held = (mix64(np.arange(n, dtype=np.uint64) + start) % np.uint64(self.variants)).tolist(), 0, []
+            for w in words:
+                slots, v = list(map(slots_of, w)), drawn[at : at + len(w)]
+                at += len(w)
+                picked = [s[k] for s, k in zip(slots, v, strict=True)]
+                for i in [i for i, p in enumerate(picked) if p is None]:
+                    new[w[i], v[i]] = slots[i]
+                    late.append((picked, i, slots[i], v[i]))
+                held.append(picked)
+            cut.append(held if text else None)
+        self._merge_many([(w, v, slots) for (w, v), slots in new.items()])
+        for picked, i, slots, v in late:
+            picked[i] = slots[v]
+        empty = np.empty(0, np.uint16)
+        return [empty if c is None else np.frombuffer(self.escaped.join(map(b"".join, c)), np.uint16) for c in cut]
 
     def encode(self, text: str, key: int | None = None) -> np.ndarray:
-        """Ids of a text; key: of its document."""
-        if not text:
-            return np.empty(0, np.uint16)
-        n = text.count(" ") + text.count(MARK) + 2
-        start = zlib.crc32(str(key).encode(), self.seed) << 32
-        drawn = iter((mix64(np.arange(n, dtype=np.uint64) + np.uint64(start)) % np.uint64(self.variants)).tolist())
-        parts = text.split(MARK)
-        parts[0] = " " + parts[0]
-        return np.frombuffer(self.escaped.join(self._part(p.replace(" ", MARK), drawn) for p in parts), np.uint16)
+        return self.encode_many([text], [key])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
 def codec(*options) -> Codec:
-    """One codec for each worker and set of options (path, rate, seed, variants)."""
+    """One codec for each worker and set of options (path, rate, seed, variants, limit)."""
+    claim("codec", _KEPT.clear)
     if options not in _KEPT:
         _KEPT[options] = Codec(*options)
     return _KEPT[options]
@@ -146,9 +302,10 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, rate, seed, variants)
         for batch in slices(batches):
-            ids = [c.encode(t or "", i).astype(np.int32) for i, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True)]
+            ids = [x.astype(np.int32) for x in c.encode_many([t or "" for t in column(batch, "text").to_pylist()], column(batch, "doc_id").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(encode, T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
@@ -168,10 +325,10 @@ def codec_digest(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEE
     """Encodes and decodes in one pass: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), lossless."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, rate, seed, variants)
+        c = codec(path, rate, seed, variants, 500_000)  # texts alone pass through here, so the table may be larger
         for batch in slices(batches):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
-            ids = [c.encode(t, i) for i, t in zip(column(batch, "doc_id").to_pylist(), texts, strict=True)]
+            ids = c.encode_many(texts, column(batch, "doc_id").to_pylist())
             crc = pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64())
             same = pa.array([c.decode(x) == t for x, t in zip(ids, texts, strict=True)])
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(map(len, ids), pa.int64()), crc, same], names=["doc_id", "n_pieces", "ids_crc32", "lossless"])
