@@ -105,12 +105,12 @@ def plan_copies(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEI
         folded = grouped.withColumn("units_", F.expr("transform(units_, x -> named_struct('w', x.w, 'id', x.id, 'size', x.size, 'p', x.p))"))
         folded = staged(folded.withColumnRenamed("units", "total").withColumnRenamed("units_", "units").withColumn("f", _folded(seed, level)).select("source", F.col("total").alias("units"), "f"), "folded")
         level += 1
-        last = most_units <= block**level
-        done = folded.select("source", F.explode(_settled() if last else F.col("f.done")).alias("d")).select("source", "d.id", "d.size", "d.up")
+        last = F.col("units") <= F.lit(float(block) ** level)  # the source had one block here
+        done = folded.select("source", F.explode(F.when(last, _settled()).otherwise(F.col("f.done"))).alias("d")).select("source", "d.id", "d.size", "d.up")
         decided = done if decided is None else decided.union(done)
-        if last:
+        if most_units <= block**level:
             break
-        left = folded.where("f.w is not null").select("source", "units", "f.id", "f.size", "f.w", "f.p")
+        left = folded.where(~last & F.col("f.w").isNotNull()).select("source", "units", "f.id", "f.size", "f.w", "f.p")
         decided = decided.union(left.where("p in (0, 1)").select("source", "id", "size", F.col("p").cast("int").alias("up")))
         open_ = left.where("p not in (0, 1)")
 

@@ -91,6 +91,16 @@ def test_mix_over_several_levels(spark):
         check_mix(plan, lambda s, sizes: 50)
 
 
+def test_small_sources_are_settled_in_their_own_last_block(spark):
+    draw = random.Random(3)
+    rows = [(i, "small", int(draw.lognormvariate(5, 1)) + 1) for i in range(100)] + [(100, "small", 20_000)]
+    rows += [(1000 + i, "large", draw.randint(1, 200)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for seed in range(4):
+        plan = mixing.plan_copies(frame, seed=seed).withColumn("taken", F.col("copies") * F.col("size")).collect()
+        check_mix(plan, lambda s, sizes: 50)
+
+
 def test_pivotal_rounding_is_unbiased(spark):
     rows = spark.range(40).selectExpr("id as doc_id", "if(id < 20, 'a', 'b') as source", "id % 5 + 1 as size")
     taken, ratio = Counter(), {}
