@@ -7,6 +7,7 @@ draws nor the merges, so there is no SQL for the whole; the stages are tested ag
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.llm._common import documents, staged
@@ -40,8 +41,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_pieces and ids of each document of the mix."""
-    encoded = encode_documents(docs.select("doc_id", "lang", "source", "text"), tokenizer_path("piece_bpe_32k.model"))
+    """doc_id, lang, source, n_pieces and ids of each document of the mix; copies of one document are numbered and so differ."""
+    equal = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
+    numbered = docs.select("doc_id", "lang", "source", "text", (F.row_number().over(equal) - 1).alias("copy"))
+    encoded = encode_documents(numbered, tokenizer_path("piece_bpe_32k.model"), copy="copy")
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 

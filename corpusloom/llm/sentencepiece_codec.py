@@ -2,14 +2,18 @@
 
 The pieces and scores come from a merge-type model file. A text gets the leading mark, spaces become marks, and it falls into
 words at marks and line feeds, since no piece has a mark behind another character, or a line feed. In each word an agenda holds the candidate
-merges, best score first and leftmost among equals; a merge that is taken from it is skipped if a hash keyed by seed, word,
-variant, place and piece falls under the rate. With rate 0 this is the model's own encoding. Each occurrence of a word draws
-one of a fixed number of variants by a hash of seed, document and position, so a word is merged once for each variant and
-worker and then looked up; tables are cleared when full. New words of a batch are merged together, their agendas in step.
+merges, best score first and leftmost among equals; each merge that is taken from it is skipped with a chance of `rate`, drawn
+by a hash keyed by seed, document, the word's position in it and how many were skipped before. With rate 0 this is the
+model's own encoding. What a word becomes hangs only on which of the merges taken are skipped, so a worker keeps a tree for
+each word: a node holds the ids when no more are skipped and how many merges are taken on that way, a child skips one more
+of them. Each occurrence draws how many merges pass before the next skip and goes down until that is beyond the last one;
+nodes are made when first met, in any number, and trees are cleared when full, so every occurrence has skips of its own and
+common ways are looked up. New nodes of a batch are merged together, their agendas in step.
 
 Characters without a piece become the bytes of their UTF-8 form, and so does the mark itself where a text has it: decoding
 gives back every text exactly, whatever was skipped. Null texts are empty and have no ids. Equal doc_id and text give
-equal ids; a null doc_id is a key like any other. Extra columns are passed through by encode_documents.
+equal ids, unless a column of copy numbers tells copies apart; a null doc_id is a key like any other. Extra columns are
+passed through by encode_documents.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +34,9 @@ from ._common import claim, column, documents, mix64, slices, small_batches, unc
 from ._pretokens import tokenizer_path
 
 MARK = "▁"
-RATE, SEED, VARIANTS = 0.1, 11, 8
-FACTOR = 0x01000193
+RATE, SEED = 0.1, 11
+#: Words of more characters have no tree: each occurrence that skips runs an agenda of its own, once, with its draws inside.
+LONG = 48
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _KEPT: dict = {}
 
@@ -58,20 +64,35 @@ def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], lis
     return tables, held
 
 
-class Slots(dict):
-    """For each word a slot for the ids of each variant, empty at first."""
+class Node:
+    """A word with certain merges skipped, by their numbers among those taken: its ids, how many merges are taken, and its children."""
 
-    def __init__(self, variants: int):
+    __slots__ = ("word", "skips", "ids", "taken", "children")
+
+    def __init__(self, word: str, skips: tuple[int, ...] = ()):
+        self.word, self.skips, self.ids, self.taken, self.children = word, skips, None, 0, {}
+
+
+class Trees(dict):
+    """For each word its node without skips; new ones are listed in `new` until they are merged."""
+
+    def __init__(self):
         super().__init__()
-        self.empty = [None] * variants
+        self.new: list[Node] = []
+        self.nodes = 0
+
+    def __missing__(self, word: str) -> Node:
+        self[word] = node = self.add(Node(word))
+        return node
 
-    def __missing__(self, word: str) -> list:
-        self[word] = slots = self.empty.copy()
-        return slots
+    def add(self, node: Node) -> Node:
+        self.new.append(node)
+        self.nodes += 1
+        return node
 
 
 class Codec:
-    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, limit: int = 200_000):
+    def __init__(self, path: str, rate: float = RATE, seed: int = SEED, limit: int = 200_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -91,9 +112,8 @@ class Codec:
                 self.bytes.append(piece.replace(MARK, " ").encode())
                 if MARK in piece.lstrip(MARK) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} has a mark behind another character or a line feed")
-        self.rate, self.seed, self.limit = int(rate * 2**32), seed, limit
-        self.variants = variants if rate else 1
-        self.table = Slots(self.variants)
+        self.rate, self.seed, self.limit = rate, seed, limit
+        self.trees = Trees()
         self.escaped = self._bytes(MARK)
         # for merging many words at once: ids of characters, places of pieces in the order of merging, and all pairs that merge
         self.letters = np.full(0x10000, -1, np.int64)
@@ -119,32 +139,28 @@ class Codec:
     def _bytes(self, text: str) -> bytes:
         return array("H", [self.byte_ids[b] for b in text.encode()]).tobytes()
 
-    def _key(self, word: str, variant: int) -> int:
-        """32 bits that a word's skips hang on; _merge_rows has the same for many words."""
-        total = sum(ord(c) * pow(FACTOR, i + 1, 2**32) for i, c in enumerate(word))
-        return (total ^ (self.seed * 1000003 + variant) * 0x9E3779B1) & 0xFFFFFFFF
-
-    def _merge(self, word: str, variant: int) -> bytes:
-        """Ids of one word by an agenda of its own."""
-        rank, rate = self.rank.get, self.rate
+    def _merge(self, node: Node, place: np.ndarray | None = None) -> None:
+        """Fills one node by an agenda of its own; with an occurrence's place its skips are drawn on the way."""
+        word, taken, depth = node.word, 0, 0
+        skips = iter(node.skips)
+        skip = next(skips, -1) if place is None else int(self._gaps(place, 0)[0])
+        rank = self.rank.get
         parts: list[str | None] = list(word)
         n = len(parts)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = [(*r, i, 2) for i, r in enumerate(map(rank, map(str.__add__, parts, parts[1:]))) if r]
         heapq.heapify(agenda)
-        key = self._key(word, variant)
         while agenda:
-            score, piece, i, size = heapq.heappop(agenda)
+            _, _, i, size = heapq.heappop(agenda)
             a = parts[i]
             j = right[i]
             if a is None or j >= n or len(a) + len(parts[j]) != size:
                 continue  # one of the two has merged with another
-            if rate:
-                h = (key ^ (piece * 0x9E3779B1) ^ (i * 0x85EBCA6B)) & 0xFFFFFFFF
-                h = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
-                h = (h ^ (h >> 12)) * 0x297A2D39 & 0xFFFFFFFF
-                if h ^ (h >> 15) < rate:
-                    continue
+            taken += 1
+            if taken - 1 == skip:
+                depth += 1
+                skip = next(skips, -1) if place is None else skip + 1 + int(self._gaps(place, depth)[0])
+                continue
             parts[i] = a = a + parts[j]
             parts[j] = None
             right[i] = k = right[j]
@@ -163,31 +179,30 @@ class Codec:
             if p is not None:
                 r = rank(p)
                 out += r[1].to_bytes(2, "little") if r else self._bytes(p)
-        return bytes(out)
+        node.ids, node.taken = bytes(out), taken
 
-    def _merge_many(self, found: list[tuple[str, int, list]]) -> None:
-        """Puts the ids of words into their variants' slots: agendas of words of like length advance in step.
+    def _merge_many(self, found: list[Node]) -> None:
+        """Fills nodes: agendas of words of like length advance in step.
 
         A row is a word's agenda: for each place the best merge that starts there, or none. Each step takes every row's best,
-        the leftmost among equals, and renews the two places beside it; a merge that its hash skips never enters.
+        the leftmost among equals, and renews the two places beside it; where the row skips that step, the merge is only struck out.
         """
-        lengths = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
+        lengths = np.fromiter((len(x.word) for x in found), np.int64, len(found))
         order, at = np.argsort(lengths, kind="stable"), 0
         lengths = lengths[order]
         while at < len(order):
             width = int(lengths[at])
-            if width > 48:
+            if width > LONG:
                 for k in order[at:]:
-                    w, v, slots = found[k]
-                    slots[v] = self._merge(w, v)
+                    self._merge(found[k])
                 return
             end = min(at + 4096, int(np.searchsorted(lengths, width + 2, "right")))
             self._merge_rows([found[k] for k in order[at:end].tolist()], lengths[at:end])
             at = end
 
-    def _merge_rows(self, found: list[tuple[str, int, list]], lengths: np.ndarray) -> None:
+    def _merge_rows(self, found: list[Node], lengths: np.ndarray) -> None:
         width = int(lengths[-1])
-        flat = np.frombuffer("".join([x[0] for x in found]).encode("utf-32-le"), np.uint32)
+        flat = np.frombuffer("".join([x.word for x in found]).encode("utf-32-le"), np.uint32)
         inside = np.arange(width) < lengths[:, None]
         codes = np.zeros(inside.shape, np.uint32)
         codes[inside] = flat
@@ -195,14 +210,16 @@ class Codec:
         plain = (ids >= 0).sum(1) == lengths
         if not plain.all():
             for k in np.flatnonzero(~plain):
-                w, v, slots = found[k]
-                slots[v] = self._merge(w, v)
+                self._merge(found[k])
             found = [found[k] for k in np.flatnonzero(plain)]
             if not found:
                 return
         ids, lengths, n = ids[plain], lengths[plain], len(found)
-        variants = np.fromiter((x[1] for x in found), np.uint32, n)
-        keys = codes[plain] @ np.array([pow(FACTOR, i + 1, 2**32) for i in range(width)], np.uint32) ^ (np.uint32(self.seed * 1000003 & 0xFFFFFFFF) + variants) * np.uint32(0x9E3779B1)
+        skipped = np.zeros((n, max((x.skips[-1] + 2 for x in found if x.skips), default=1)), bool)
+        for r, x in enumerate(found):
+            if x.skips:
+                skipped[r, list(x.skips)] = True
+        taken, step = np.zeros(n, np.int64), 0
         none = np.iinfo(np.int32).max
         # column `width` stands for no place: behind the last and before the first one
         ids = np.column_stack([ids, np.full(n, -1)])
@@ -216,11 +233,6 @@ class Codec:
             a, b = ids[rows, i], ids[rows, right[rows, i]]
             pair = np.where((a < 0) | (b < 0), -1, a * self.size + b)
             p, fits = self._found(pair)
-            if self.rate:
-                h = keys[rows] ^ (p.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (i.astype(np.uint32) * np.uint32(0x85EBCA6B))
-                h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-                h = (h ^ (h >> np.uint32(12))) * np.uint32(0x297A2D39)
-                fits &= h ^ (h >> np.uint32(15)) >= self.rate
             best[rows, i] = np.where(fits, self.order[p], none)
             piece[rows, i] = p
 
@@ -233,21 +245,29 @@ class Codec:
             rows, i = rows[live], i[live]
             if not len(rows):
                 break
-            j = right[rows, i]
-            k = right[rows, j]
-            ids[rows, i], ids[rows, j], best[rows, j] = piece[rows, i], -1, none
-            right[rows, i] = k
-            left[rows, k] = i
-            left[rows, width] = width
-            renew(rows, i)
-            renew(rows, left[rows, i])
-            best[rows, width] = none
+            taken[rows] += 1
+            if step < skipped.shape[1]:
+                out = skipped[rows, step]
+                best[rows[out], i[out]] = none
+                at, i = rows[~out], i[~out]
+            else:
+                at = rows
+            step += 1
+            j = right[at, i]
+            k = right[at, j]
+            ids[at, i], ids[at, j], best[at, j] = piece[at, i], -1, none
+            right[at, i] = k
+            left[at, k] = i
+            left[at, width] = width
+            renew(at, i)
+            renew(at, left[at, i])
+            best[at, width] = none
         alive = ids >= 0
         raw = ids[alive].astype("<u2").tobytes()
         ends = (np.cumsum(alive.sum(1)) * 2).tolist()
         start = 0
-        for (_, v, slots), stop in zip(found, ends, strict=True):
-            slots[v] = raw[start:stop]
+        for x, stop, m in zip(found, ends, taken.tolist(), strict=True):
+            x.ids, x.taken = raw[start:stop], m
             start = stop
 
     def encode_many(self, texts: list[str], keys: list) -> list[np.ndarray]:
@@ -255,31 +275,68 @@ class Codec:
         with uncollected():
             return self._encode(texts, keys)
 
+    def _fill(self) -> None:
+        new, self.trees.new = self.trees.new, []
+        self._merge_many(new)
+
+    def _gaps(self, places: np.ndarray, depth: int) -> np.ndarray:
+        """How many merges of each occurrence pass before the next skip, after `depth` skips: geometric at the rate."""
+        u = ((mix64(places, depth + 1) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+        return (np.log(u) / np.log1p(-self.rate)).clip(0, 2**31).astype(np.int64) if self.rate < 1 else np.zeros(len(places), np.int64)
+
     def _encode(self, texts: list[str], keys: list) -> list[np.ndarray]:
-        if len(self.table) > self.limit:
-            self.table.clear()
-        slots_of, cut, new, late = self.table.__getitem__, [], {}, []
+        if self.trees.nodes > self.limit:
+            self.trees.clear()
+            self.trees.nodes = 0
+        root, nodes, places, cut = self.trees.__getitem__, [], [], []
         for text, key in zip(texts, keys, strict=True):
             parts = text.split(MARK)
             parts[0] = " " + parts[0]
             words = [_WORDS.findall(p.replace(" ", MARK)) for p in parts]
             n = sum(map(len, words))
             start = np.uint64(zlib.crc32(str(key).encode(), self.seed) << 32)
-            drawn, at, held = (mix64(np.arange(n, dtype=np.uint64) + start) % np.uint64(self.variants)).tolist(), 0, []
+            places.append(mix64(np.arange(n, dtype=np.uint64) + start))
             for w in words:
-                slots, v = list(map(slots_of, w)), drawn[at : at + len(w)]
-                at += len(w)
-                picked = [s[k] for s, k in zip(slots, v, strict=True)]
-                for i in [i for i, p in enumerate(picked) if p is None]:
-                    new[w[i], v[i]] = slots[i]
-                    late.append((picked, i, slots[i], v[i]))
-                held.append(picked)
-            cut.append(held if text else None)
-        self._merge_many([(w, v, slots) for (w, v), slots in new.items()])
-        for picked, i, slots, v in late:
-            picked[i] = slots[v]
-        empty = np.empty(0, np.uint16)
-        return [empty if c is None else np.frombuffer(self.escaped.join(map(b"".join, c)), np.uint16) for c in cut]
+                nodes.extend(map(root, w))
+            cut.append(list(map(len, words)) if text else None)
+            if not text:
+                del nodes[len(nodes) - n :]
+                places.pop()
+        self._fill()
+        if self.rate and nodes:
+            place, depth = np.concatenate(places), 0
+            at = np.arange(len(nodes))
+            taken = np.fromiter(map(attrgetter("taken"), nodes), np.int64, len(nodes))
+            skip = self._gaps(place, 0)
+            while True:
+                some = skip < taken
+                at, skip = at[some], skip[some]
+                if not len(at):
+                    break
+                for i, t in zip(at.tolist(), skip.tolist(), strict=True):
+                    node = nodes[i]
+                    if len(node.word) > LONG:
+                        nodes[i] = Node(node.word)
+                        self._merge(nodes[i], place[i : i + 1])
+                        continue
+                    child = node.children.get(t)
+                    if child is None:
+                        child = node.children[t] = self.trees.add(Node(node.word, (*node.skips, t)))
+                    nodes[i] = child
+                self._fill()
+                depth += 1
+                at = at[np.fromiter((len(nodes[i].word) <= LONG for i in at.tolist()), bool, len(at))]
+                skip = np.fromiter((nodes[i].skips[-1] for i in at.tolist()), np.int64, len(at))
+                taken = np.fromiter((nodes[i].taken for i in at.tolist()), np.int64, len(at))
+                skip = skip + 1 + self._gaps(place[at], depth)
+        ids, start, out = list(map(attrgetter("ids"), nodes)), 0, []
+        for lengths in cut:
+            held = []
+            for n in lengths or ():
+                held.append(b"".join(ids[start : start + n]))
+                start += n
+            out.append(np.frombuffer(self.escaped.join(held), np.uint16) if lengths is not None else np.empty(0, np.uint16))
+        return out
 
     def encode(self, text: str, key: int | None = None) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -289,20 +346,23 @@ class Codec:
 
 
 def codec(*options) -> Codec:
-    """One codec for each worker and set of options (path, rate, seed, variants, limit)."""
+    """One codec for each worker and set of options (path, rate, seed, limit)."""
     claim("codec", _KEPT.clear)
     if options not in _KEPT:
         _KEPT[options] = Codec(*options)
     return _KEPT[options]
 
 
-def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
-    """The documents with one more column, ids."""
+def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """The documents with one more column, ids; copy: a column that numbers copies from 0, which then have skips of their own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, rate, seed, variants)
+        c = codec(path, rate, seed)
         for batch in slices(batches):
-            ids = [x.astype(np.int32) for x in c.encode_many([t or "" for t in column(batch, "text").to_pylist()], column(batch, "doc_id").to_pylist())]
+            keys = column(batch, "doc_id").to_pylist()
+            if copy is not None:
+                keys = [f"{k}/{n}" if n else k for k, n in zip(keys, column(batch, copy).to_pylist(), strict=True)]
+            ids = [x.astype(np.int32) for x in c.encode_many([t or "" for t in column(batch, "text").to_pylist()], keys)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     small_batches(docs.sparkSession)
@@ -313,7 +373,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """The rows with one more column, decoded: the text that their ids stand for."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, RATE, SEED, VARIANTS)
+        c = codec(path, RATE, SEED)
         for batch in slices(batches):
             texts = [c.decode(np.array(x or [], np.uint16)) for x in column(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
@@ -321,11 +381,11 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.mapInArrow(decode, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def codec_digest(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def codec_digest(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEED) -> DataFrame:
     """Encodes and decodes in one pass: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), lossless."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, rate, seed, variants, 500_000)  # texts alone pass through here, so the table may be larger
+        c = codec(path, rate, seed, 500_000)  # texts alone pass through here, so the table may be larger
         for batch in slices(batches):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             ids = c.encode_many(texts, column(batch, "doc_id").to_pylist())

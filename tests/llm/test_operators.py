@@ -336,6 +336,75 @@ def test_codec_is_lossless_seeded_and_varied():
     assert plain < len(codec.encode(text, 3)) < 2 * plain
 
 
+def naive_merges(codec, word, skips):
+    """Ids of a word whose merges are skipped by their number among those taken, and how many are taken."""
+    parts, out, struck, n = list(word), [], set(), 0
+    while True:
+        spans = list(itertools.accumulate(map(len, parts), initial=0))
+        best = min(((*codec.rank[a + b], s, k) for k, (a, b, s) in enumerate(zip(parts, parts[1:], spans)) if a + b in codec.rank and (s, a, b) not in struck), default=None)
+        if best is None:
+            break
+        k, n = best[3], n + 1
+        if n - 1 in skips:
+            struck.add((spans[k], parts[k], parts[k + 1]))
+        else:
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    for p in parts:
+        out += [codec.rank[p][1]] if p in codec.rank else [codec.byte_ids[b] for b in p.encode()]
+    return out, n
+
+
+def test_each_occurrence_has_skips_of_its_own():
+    codec = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
+    text = " ".join(["the internationalisation é日本"] * 20_000)
+    codec.encode(text, 3)
+    for word in ("▁the", "▁internationalisation", "▁é日本"):
+        todo = [codec.trees[word]]
+        while todo:
+            node = todo.pop()
+            assert (np.frombuffer(node.ids, np.uint16).tolist(), node.taken) == naive_merges(codec, word, node.skips)
+            todo += node.children.values()
+    one = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
+    whole, n = naive_merges(one, "▁the", ())
+    ids, many = one.encode("the " * 20_000, 5).tolist(), one.encode("internationalisation " * 20_000, 5).tolist()
+    assert len(whole) == 1 and ids.count(whole[0]) / 20_000 == pytest.approx(sum(p for p, x in ways(one, "▁the") if x == whole), abs=0.015)
+    start = one.rank["▁"][1]
+    assert start in ids and len({node for node in walk(one.trees["▁internationalisation"])}) > 100 and len(many) > 20_000
+
+
+def test_long_words_run_once_and_equal_their_trees(monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    text = " ".join(["internationalisation" * 5, "the", "x" * 60] * 5)
+    by_run = sentencepiece_codec.Codec(path).encode(text, 3).tolist()
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 10_000)
+    assert by_run == sentencepiece_codec.Codec(path).encode(text, 3).tolist()
+    monkeypatch.undo()
+    codec, long = sentencepiece_codec.Codec(path), "internationalisation" * 1_000
+    assert codec.decode(codec.encode(long, 3)) == long and codec.trees.nodes == 1
+
+
+def walk(node):
+    yield node
+    for x in node.children.values():
+        yield from walk(x)
+
+
+def ways(codec, word, skips=(), start=0, p=1.0):
+    """What a word can become, with the chances that independent skips at rate 0.1 give."""
+    ids, n = naive_merges(codec, word, skips)
+    yield p * 0.9 ** (n - start), ids
+    for t in range(start, n):
+        yield from ways(codec, word, (*skips, t), t + 1, p * 0.9 ** (t - start) * 0.1)
+
+
+def test_copies_have_skips_of_their_own(spark):
+    import corpus_pipeline
+
+    rows = spark.createDataFrame([(1, "internationalisation of tokenizers " * 40, "en", "a")] * 2, SCHEMA)
+    out = corpus_pipeline.piece_encoding(spark, rows, "").collect()
+    assert len(out) == 2 and out[0].ids != out[1].ids
+
+
 def test_codec_frames(hostile, empty):
     path = tokenizer_path("piece_bpe_32k.model")
     extra = hostile.drop("ids")
