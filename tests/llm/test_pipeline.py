@@ -3,7 +3,7 @@
 from collections import Counter
 
 import numpy as np
-from test_operators import brute_groups, brute_lines, brute_quality, words
+from test_llm_operators import brute_groups, brute_lines, brute_quality, words
 
 import corpus_pipeline
 from corpusloom.llm._pretokens import tokenizer_path
