@@ -23,7 +23,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,59 +36,90 @@ MARK = "▁"
 RATE, SEED = 0.1, 11
 #: Words of more characters have no tree: each occurrence that skips runs an agenda of its own, once, with its draws inside.
 LONG = 48
+#: Fewer words than this are merged one by one.
+FEW = 64
+#: More than the merges that can be taken in a word with a tree: a merge is of a span of it, and taken or skipped once.
+DEEP = 4_096
 _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _KEPT: dict = {}
 
 
-def _slot(pair: np.ndarray, k: int) -> np.ndarray:
-    bits = 20 if k == 0 else 14
+def _slot(pair: np.ndarray, odd: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return ((pair.astype(np.uint64) ^ np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        return (pair.view(np.uint64) * np.uint64(odd) >> np.uint64(44)).view(np.int64)
 
 
-def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Tables by hash: the first holds all keys that come first to their slot, the next ones, smaller, what is left."""
-    tables, held, k = [], [], 0
+def _hashed(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Tables by hash, each a multiplier, keys and values: the first holds all keys that come first to their slot, the next what is left.
+
+    The multiplier of a table is the one of a few that leaves the fewest keys."""
+    tables, draw = [], np.random.default_rng(1)
     while len(keys):
-        at = _slot(keys, k)
+        tried = []
+        for _ in range(40 if tables else 4):
+            odd = int(draw.integers(2**63, 2**64, dtype=np.uint64)) | 1
+            tried.append((len(keys) - len(np.unique(_slot(keys, odd))), odd))
+        odd = min(tried)[1]
+        at = _slot(keys, odd)
         _, first = np.unique(at, return_index=True)
-        size = 2 ** (20 if k == 0 else 14)
-        table, value = np.full(size, -2, np.int64), np.zeros(size, np.int32)
+        table, value = np.full(2**20, -2, np.int64), np.zeros(2**20, np.int32)
         table[at[first]], value[at[first]] = keys[first], values[first]
-        tables.append(table)
-        held.append(value)
+        tables.append((odd, table, value))
         left = np.ones(len(keys), bool)
         left[first] = False
-        keys, values, k = keys[left], values[left], k + 1
-    return tables, held
+        keys, values = keys[left], values[left]
+    return tables
 
 
-class Node:
-    """A word with certain merges skipped, by their numbers among those taken: its ids, how many merges are taken, and its children."""
+class Roots(dict):
+    """The node without skips of each word, made when first met."""
 
-    __slots__ = ("word", "skips", "ids", "taken", "children")
+    def __init__(self, add):
+        super().__init__()
+        self.add = add
 
-    def __init__(self, word: str, skips: tuple[int, ...] = ()):
-        self.word, self.skips, self.ids, self.taken, self.children = word, skips, None, 0, {}
+    def __missing__(self, word: str) -> int:
+        self[word] = node = self.add(word)
+        return node
 
 
-class Trees(dict):
-    """For each word its node without skips; new ones are listed in `new` until they are merged."""
+class Trees:
+    """Numbered nodes: a word with certain merges skipped, by their numbers among those taken. For each its ids and how many merges
+    are taken; a child, by node * DEEP + number, skips one more. New nodes are listed until they are merged."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[Node] = []
-        self.nodes = 0
-
-    def __missing__(self, word: str) -> Node:
-        self[word] = node = self.add(Node(word))
-        return node
-
-    def add(self, node: Node) -> Node:
+        self.roots, self.children = Roots(self.add), {}
+        self.words: list[str] = []
+        self.skips: list[tuple[int, ...]] = []
+        self.ids: list[bytes] = []
+        self.new: list[int] = []
+        self.taken, self.long = np.zeros(1024, np.int64), np.zeros(1024, bool)
+
+    def add(self, word: str, skips: tuple[int, ...] = ()) -> int:
+        node = len(self.words)
+        self.words.append(word)
+        self.skips.append(skips)
+        self.ids.append(b"")
         self.new.append(node)
-        self.nodes += 1
         return node
 
+    def room(self) -> None:
+        while len(self.taken) < len(self.words):
+            self.taken, self.long = np.append(self.taken, np.zeros_like(self.taken)), np.append(self.long, np.zeros_like(self.long))
+
+    def step(self, keys: list[int]) -> np.ndarray:
+        """The children that keys name; new ones are made."""
+        found = list(map(self.children.get, keys))
+        if None in found:
+            for k, (key, node) in enumerate(zip(keys, found, strict=True)):
+                if node is None:
+                    node = self.children.get(key)
+                    if node is None:
+                        parent, t = divmod(key, DEEP)
+                        node = self.children[key] = self.add(self.words[parent], (*self.skips[parent], t))
+                    found[k] = node
+        return np.array(found, np.int64)
+
 
 class Codec:
     def __init__(self, path: str, rate: float = RATE, seed: int = SEED, limit: int = 200_000):
@@ -97,6 +127,8 @@ class Codec:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
+        if n > 65536:
+            raise ValueError(f"the model has {n} pieces; ids are kept in 16 bits")
         self.rank: dict[str, tuple[float, int]] = {}
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
@@ -112,6 +144,7 @@ class Codec:
                 self.bytes.append(piece.replace(MARK, " ").encode())
                 if MARK in piece.lstrip(MARK) or "\n" in piece:
                     raise ValueError(f"piece {piece!r} has a mark behind another character or a line feed")
+        self.model, self.known = model, frozenset(p for p in self.rank if len(p) == 1)
         self.rate, self.seed, self.limit = rate, seed, limit
         self.trees = Trees()
         self.escaped = self._bytes(MARK)
@@ -124,26 +157,25 @@ class Codec:
         self.order[[i for _, (_, i) in sorted(self.rank.items(), key=lambda x: x[1])]] = np.arange(len(self.rank))
         pairs = {self.rank[p[:k]][1] * n + self.rank[p[k:]][1]: r[1] for p, r in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank}
         self.size = n
-        self.pairs, self.merged = _hashed(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
+        self.pairs = _hashed(np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64))
 
     def _found(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that pairs merge into, and whether they do."""
         p, fits = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
-        for k in range(len(self.pairs)):
-            at = _slot(pair, k)
-            hit = self.pairs[k][at] == pair
-            p[hit] = self.merged[k][at[hit]]
+        for odd, keys, merged in self.pairs:
+            at = _slot(pair, odd)
+            hit = keys[at] == pair
+            p += merged[at] * hit
             fits |= hit
         return p, fits
 
     def _bytes(self, text: str) -> bytes:
         return array("H", [self.byte_ids[b] for b in text.encode()]).tobytes()
 
-    def _merge(self, node: Node, place: np.ndarray | None = None) -> None:
-        """Fills one node by an agenda of its own; with an occurrence's place its skips are drawn on the way."""
-        word, taken, depth = node.word, 0, 0
-        skips = iter(node.skips)
-        skip = next(skips, -1) if place is None else int(self._gaps(place, 0)[0])
+    def _merge(self, word: str, skips: tuple[int, ...] = (), place: np.ndarray | None = None) -> tuple[bytes, int]:
+        """Ids of a word by an agenda of its own, and how many merges are taken; with an occurrence's place its skips are drawn on the way."""
+        taken, depth, left_out = 0, 0, iter(skips)
+        skip = next(left_out, -1) if place is None else int(self._gaps(place, 0)[0])
         rank = self.rank.get
         parts: list[str | None] = list(word)
         n = len(parts)
@@ -159,7 +191,7 @@ class Codec:
             taken += 1
             if taken - 1 == skip:
                 depth += 1
-                skip = next(skips, -1) if place is None else skip + 1 + int(self._gaps(place, depth)[0])
+                skip = next(left_out, -1) if place is None else skip + 1 + int(self._gaps(place, depth)[0])
                 continue
             parts[i] = a = a + parts[j]
             parts[j] = None
@@ -179,30 +211,42 @@ class Codec:
             if p is not None:
                 r = rank(p)
                 out += r[1].to_bytes(2, "little") if r else self._bytes(p)
-        node.ids, node.taken = bytes(out), taken
+        return bytes(out), taken
+
+    def _alone(self, node: int) -> None:
+        t = self.trees
+        t.ids[node], t.taken[node] = self._merge(t.words[node], t.skips[node])
 
-    def _merge_many(self, found: list[Node]) -> None:
+    def _merge_many(self, found: list[int]) -> None:
         """Fills nodes: agendas of words of like length advance in step.
 
         A row is a word's agenda: for each place the best merge that starts there, or none. Each step takes every row's best,
         the leftmost among equals, and renews the two places beside it; where the row skips that step, the merge is only struck out.
         """
-        lengths = np.fromiter((len(x.word) for x in found), np.int64, len(found))
+        words = self.trees.words
+        lengths = np.fromiter((len(words[x]) for x in found), np.int64, len(found))
         order, at = np.argsort(lengths, kind="stable"), 0
         lengths = lengths[order]
         while at < len(order):
             width = int(lengths[at])
             if width > LONG:
                 for k in order[at:]:
-                    self._merge(found[k])
+                    self.trees.long[found[k]] = True
+                    self._alone(found[k])
                 return
-            end = min(at + 4096, int(np.searchsorted(lengths, width + 2, "right")))
+            end = min(at + 4096, int(np.searchsorted(lengths, width + max(2, width // 4), "right")))
+            if end - at < FEW:
+                for k in order[at:end]:
+                    self._alone(found[k])
+                at = end
+                continue
             self._merge_rows([found[k] for k in order[at:end].tolist()], lengths[at:end])
             at = end
 
-    def _merge_rows(self, found: list[Node], lengths: np.ndarray) -> None:
+    def _merge_rows(self, found: list[int], lengths: np.ndarray) -> None:
+        trees = self.trees
         width = int(lengths[-1])
-        flat = np.frombuffer("".join([x.word for x in found]).encode("utf-32-le"), np.uint32)
+        flat = np.frombuffer("".join([trees.words[x] for x in found]).encode("utf-32-le"), np.uint32)
         inside = np.arange(width) < lengths[:, None]
         codes = np.zeros(inside.shape, np.uint32)
         codes[inside] = flat
@@ -210,15 +254,16 @@ class Codec:
         plain = (ids >= 0).sum(1) == lengths
         if not plain.all():
             for k in np.flatnonzero(~plain):
-                self._merge(found[k])
+                self._alone(found[k])
             found = [found[k] for k in np.flatnonzero(plain)]
             if not found:
                 return
         ids, lengths, n = ids[plain], lengths[plain], len(found)
-        skipped = np.zeros((n, max((x.skips[-1] + 2 for x in found if x.skips), default=1)), bool)
-        for r, x in enumerate(found):
-            if x.skips:
-                skipped[r, list(x.skips)] = True
+        skips = [trees.skips[x] for x in found]
+        skipped = np.zeros((n, max((x[-1] + 2 for x in skips if x), default=1)), bool)
+        for r, x in enumerate(skips):
+            if x:
+                skipped[r, list(x)] = True
         taken, step = np.zeros(n, np.int64), 0
         none = np.iinfo(np.int32).max
         # column `width` stands for no place: behind the last and before the first one
@@ -266,9 +311,10 @@ class Codec:
         raw = ids[alive].astype("<u2").tobytes()
         ends = (np.cumsum(alive.sum(1)) * 2).tolist()
         start = 0
-        for x, stop, m in zip(found, ends, taken.tolist(), strict=True):
-            x.ids, x.taken = raw[start:stop], m
+        for x, stop in zip(found, ends, strict=True):
+            trees.ids[x] = raw[start:stop]
             start = stop
+        trees.taken[found] = taken
 
     def encode_many(self, texts: list[str], keys: list) -> list[np.ndarray]:
         """Ids of each text; keys: of their documents."""
@@ -276,8 +322,21 @@ class Codec:
             return self._encode(texts, keys)
 
     def _fill(self) -> None:
-        new, self.trees.new = self.trees.new, []
-        self._merge_many(new)
+        trees = self.trees
+        new, trees.new = trees.new, []
+        if not new:
+            return
+        trees.room()
+        rest, plain = [], []
+        for x in new:
+            word = trees.words[x]
+            (plain if not trees.skips[x] and len(word) <= LONG and word[0] == MARK != word[-1] and word.count(MARK) == 1 and self.known.issuperset(word) else rest).append(x)
+        # without skips and bytes the agenda's result is the library's own, and each merge taken leaves one part less
+        words = [trees.words[x] for x in plain]
+        for x, word, ids in zip(plain, words, self.model.encode([w[1:] for w in words], num_threads=1) if words else (), strict=True):
+            trees.ids[x] = array("H", ids).tobytes()
+            trees.taken[x] = len(word) - len(ids)
+        self._merge_many(rest)
 
     def _gaps(self, places: np.ndarray, depth: int) -> np.ndarray:
         """How many merges of each occurrence pass before the next skip, after `depth` skips: geometric at the rate."""
@@ -285,51 +344,44 @@ class Codec:
         return (np.log(u) / np.log1p(-self.rate)).clip(0, 2**31).astype(np.int64) if self.rate < 1 else np.zeros(len(places), np.int64)
 
     def _encode(self, texts: list[str], keys: list) -> list[np.ndarray]:
-        if self.trees.nodes > self.limit:
-            self.trees.clear()
-            self.trees.nodes = 0
-        root, nodes, places, cut = self.trees.__getitem__, [], [], []
+        if len(self.trees.words) > self.limit:
+            self.trees = Trees()
+        trees, occurrences, places, cut = self.trees, [], [], []
+        root = trees.roots.__getitem__
         for text, key in zip(texts, keys, strict=True):
+            if not text:
+                cut.append(None)
+                continue
             parts = text.split(MARK)
             parts[0] = " " + parts[0]
             words = [_WORDS.findall(p.replace(" ", MARK)) for p in parts]
-            n = sum(map(len, words))
-            start = np.uint64(zlib.crc32(str(key).encode(), self.seed) << 32)
-            places.append(mix64(np.arange(n, dtype=np.uint64) + start))
+            lengths = list(map(len, words))
             for w in words:
-                nodes.extend(map(root, w))
-            cut.append(list(map(len, words)) if text else None)
-            if not text:
-                del nodes[len(nodes) - n :]
-                places.pop()
+                occurrences.extend(map(root, w))
+            cut.append(lengths)
+            start = np.uint64(zlib.crc32(str(key).encode(), self.seed) << 32)
+            places.append(np.arange(sum(lengths), dtype=np.uint64) + start)
         self._fill()
-        if self.rate and nodes:
-            place, depth = np.concatenate(places), 0
-            at = np.arange(len(nodes))
-            taken = np.fromiter(map(attrgetter("taken"), nodes), np.int64, len(nodes))
+        nodes, apart = np.array(occurrences, np.int64), {}
+        if self.rate and len(nodes):
+            place, depth, at = mix64(np.concatenate(places)), 0, np.arange(len(nodes))
             skip = self._gaps(place, 0)
             while True:
-                some = skip < taken
+                some = skip < trees.taken[nodes[at]]
                 at, skip = at[some], skip[some]
+                long = trees.long[nodes[at]]
+                for i in at[long].tolist():
+                    apart[i] = self._merge(trees.words[nodes[i]], place=place[i : i + 1])[0]
+                at, skip = at[~long], skip[~long]
                 if not len(at):
                     break
-                for i, t in zip(at.tolist(), skip.tolist(), strict=True):
-                    node = nodes[i]
-                    if len(node.word) > LONG:
-                        nodes[i] = Node(node.word)
-                        self._merge(nodes[i], place[i : i + 1])
-                        continue
-                    child = node.children.get(t)
-                    if child is None:
-                        child = node.children[t] = self.trees.add(Node(node.word, (*node.skips, t)))
-                    nodes[i] = child
+                nodes[at] = trees.step((nodes[at] * DEEP + skip).tolist())
                 self._fill()
                 depth += 1
-                at = at[np.fromiter((len(nodes[i].word) <= LONG for i in at.tolist()), bool, len(at))]
-                skip = np.fromiter((nodes[i].skips[-1] for i in at.tolist()), np.int64, len(at))
-                taken = np.fromiter((nodes[i].taken for i in at.tolist()), np.int64, len(at))
-                skip = skip + 1 + self._gaps(place[at], depth)
-        ids, start, out = list(map(attrgetter("ids"), nodes)), 0, []
+                skip += 1 + self._gaps(place[at], depth)
+        ids, start, out = list(map(trees.ids.__getitem__, nodes.tolist())), 0, []
+        for i, x in apart.items():
+            ids[i] = x
         for lengths in cut:
             held = []
             for n in lengths or ():
@@ -385,7 +437,7 @@ def codec_digest(docs: DataFrame, path: str, rate: float = RATE, seed: int = SEE
     """Encodes and decodes in one pass: doc_id, n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids), lossless."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, rate, seed, 500_000)  # texts alone pass through here, so the table may be larger
+        c = codec(path, rate, seed, 1_000_000)  # texts alone pass through here, so the table may be larger
         for batch in slices(batches):
             texts = [t or "" for t in column(batch, "text").to_pylist()]
             ids = c.encode_many(texts, column(batch, "doc_id").to_pylist())

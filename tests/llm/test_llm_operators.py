@@ -359,17 +359,14 @@ def test_each_occurrence_has_skips_of_its_own():
     text = " ".join(["the internationalisation é日本"] * 20_000)
     codec.encode(text, 3)
     for word in ("▁the", "▁internationalisation", "▁é日本"):
-        todo = [codec.trees[word]]
-        while todo:
-            node = todo.pop()
-            assert (np.frombuffer(node.ids, np.uint16).tolist(), node.taken) == naive_merges(codec, word, node.skips)
-            todo += node.children.values()
+        for node in nodes_of(codec, word):
+            assert (np.frombuffer(codec.trees.ids[node], np.uint16).tolist(), codec.trees.taken[node]) == naive_merges(codec, word, codec.trees.skips[node])
     one = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model"))
     whole, n = naive_merges(one, "▁the", ())
     ids, many = one.encode("the " * 20_000, 5).tolist(), one.encode("internationalisation " * 20_000, 5).tolist()
     assert len(whole) == 1 and ids.count(whole[0]) / 20_000 == pytest.approx(sum(p for p, x in ways(one, "▁the") if x == whole), abs=0.015)
     start = one.rank["▁"][1]
-    assert start in ids and len({node for node in walk(one.trees["▁internationalisation"])}) > 100 and len(many) > 20_000
+    assert start in ids and len(nodes_of(one, "▁internationalisation")) > 100 and len(many) > 20_000
 
 
 def test_long_words_run_once_and_equal_their_trees(monkeypatch):
@@ -380,13 +377,11 @@ def test_long_words_run_once_and_equal_their_trees(monkeypatch):
     assert by_run == sentencepiece_codec.Codec(path).encode(text, 3).tolist()
     monkeypatch.undo()
     codec, long = sentencepiece_codec.Codec(path), "internationalisation" * 1_000
-    assert codec.decode(codec.encode(long, 3)) == long and codec.trees.nodes == 1
+    assert codec.decode(codec.encode(long, 3)) == long and len(codec.trees.words) == 1
 
 
-def walk(node):
-    yield node
-    for x in node.children.values():
-        yield from walk(x)
+def nodes_of(codec, word):
+    return [k for k, w in enumerate(codec.trees.words) if w == word]
 
 
 def ways(codec, word, skips=(), start=0, p=1.0):
@@ -397,6 +392,30 @@ def ways(codec, word, skips=(), start=0, p=1.0):
         yield from ways(codec, word, (*skips, t), t + 1, p * 0.9 ** (t - start) * 0.1)
 
 
+def test_variety_grows_with_occurrences():
+    """One word over more and more documents: the different segmentations grow as those of independent draws do."""
+    codec, word = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model")), "internationalisation"
+    found = {n: len({x.tobytes() for x in codec.encode_many([word] * n, list(range(n)))}) for n in (8, 200, 2_000)}
+    draw, free, seen = random.Random(4), {}, set()
+    for k in range(1, 2_001):
+        seen.add(tuple(naive_merges(codec, "▁" + word, {t for t in range(60) if draw.random() < 0.1})[0]))
+        free[k] = len(seen)
+    assert found[8] < found[200] < found[2_000]
+    assert all(abs(found[n] - free[n]) <= max(4, 0.25 * free[n]) for n in found), (found, free)
+
+
+def test_batches_equal_single_words():
+    """Many words merged together give what each word's own agenda gives, with and without skips."""
+    codec, draw = sentencepiece_codec.Codec(tokenizer_path("piece_bpe_32k.model")), random.Random(1)
+    text = " ".join("".join(draw.choice("etaoinshrdlcuméß") for _ in range(draw.randint(1, 14))) for _ in range(3_000))
+    ids = codec.encode(text, 7)
+    assert codec.decode(ids) == text
+    for node in draw.sample(range(len(codec.trees.words)), 500):
+        word, skips = codec.trees.words[node], codec.trees.skips[node]
+        assert (codec.trees.ids[node], codec.trees.taken[node]) == codec._merge(word, skips)
+        assert (np.frombuffer(codec.trees.ids[node], np.uint16).tolist(), codec.trees.taken[node]) == naive_merges(codec, word, skips)
+
+
 def test_copies_have_skips_of_their_own(spark):
     import corpus_pipeline
 
