@@ -19,6 +19,12 @@ ENCODED_WORD = "(?:[A-Za-z][0-9])+"
 MARKER = "<[A-Z_]+>"
 TOKEN = f"(?U)({MARKER}|[{HANZI}]+|{LATIN_WORD}|\\S)"
 MALFORMED = "[�⁇]"
+TONE_MARKS = ["\u0304", "\u0301", "\u030c", "\u0300"]
+URL = r"(?iuU)\b(?:https?://\S*|www\.\S+)"
+LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+# By rule: digits as the isdigit of Python strings has them, the decimal ones and those of other kinds such as superscripts.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and unicodedata.category(c) != "Nd")
+NUMBER = f"[\\p{{Nd}}{OTHER_DIGITS}]+"
 
 
 def _nfkc(text: pd.Series) -> pd.Series:
@@ -31,7 +37,7 @@ def nfkc(text: Column) -> Column:
 
 
 def mark_urls(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?iuU)\b(?:https?://\S*|www\.\S+)", " <URL> ")
+    return F.regexp_replace(text, URL, " <URL> ")
 
 
 def mark_math(text: Column) -> Column:
@@ -119,17 +125,20 @@ def atom_count(token: Column) -> Column:
 
 
 def latin_case(token: Column) -> Column:
-    return F.when(F.upper(token).isin("A", "B", "C", "D"), F.upper(token)).otherwise(F.lower(token))
+    return F.when((F.length(token) == 1) & F.upper(token).isin("A", "B", "C", "D"), F.upper(token)).otherwise(F.lower(token))
 
 
 def route(token: Column, hanzi: Column | None = None) -> Column:
-    """What a lexed token becomes; null drops it. hanzi: what a run of Hanzi becomes, itself if not given."""
+    """What a lexed token becomes; null drops it. hanzi: what a run of Hanzi becomes, itself if not given.
+
+    The kinds share no token, so their order is free; the commonest one is tested first.
+    """
     return (
         F.when(token.startswith("<") & token.endswith(">") & (F.length(token) > 1), token)
-        .when(is_hanzi(token), token if hanzi is None else hanzi)
-        .when(is_punctuation(token), token)
         .when(is_latin_word(token), latin_case(token))
-        .when(token.rlike(r"^\p{Nd}+$"), "<NUM>")
+        .when(is_punctuation(token), token)
+        .when(is_hanzi(token), token if hanzi is None else hanzi)
+        .when(token.rlike(f"^{NUMBER}$"), "<NUM>")
         .when(is_visible(token), F.lower(token))
     )
 
@@ -176,8 +185,7 @@ def clip(text: Column, most: int = 180) -> Column:
 
 def latex(text: Column) -> Column:
     """Each special character escaped once, in one pass over the characters."""
-    special = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
-    table = F.create_map(*[F.lit(x) for pair in special.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in LATEX.items() for x in pair])
     return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), "")
 
 
@@ -203,6 +211,17 @@ def syllable_initial(syllable: Column) -> Column:
     return F.lower(F.substring(syllable_plain(syllable), 1, 1))
 
 
+def tone_marked(syllable: Column) -> Column:
+    """The syllable with a mark on the vowel that carries its tone: a or e if there is one, the o of ou, else the last vowel."""
+    plain, tone = syllable_plain(syllable), syllable_tone(syllable)
+    at = F.when(plain.contains("a"), F.instr(plain, "a")).when(plain.contains("e"), F.instr(plain, "e")).when(plain.contains("ou"), F.instr(plain, "o"))
+    at = F.coalesce(at, F.length(F.regexp_extract(plain, "^(.*[iouüv])", 1)))
+    mark = F.element_at(F.array(*(F.lit(m) for m in TONE_MARKS)), F.least(tone, F.lit(4)))
+    vowel = F.when(F.substring(plain, at, F.lit(1)) == "v", "ü").otherwise(F.substring(plain, at, F.lit(1)))
+    made = F.concat(F.substring(plain, F.lit(1), at - 1), vowel, mark, F.substring(plain, at + 1, F.length(plain)))
+    return F.when((tone == 5) | (at == 0), plain).otherwise(made)
+
+
 def word_code(syllables: Column, mode: str = "pinyin-code") -> Column:
     """The code of a word from its array of syllables."""
     one = {"pinyin-code": syllable_atom, "pinyin-initial": syllable_initial}[mode]

@@ -12,9 +12,9 @@ from ..plans.staging import stage
 
 def check_chunk_arguments(block: int, stride: int) -> None:
     if block < 1:
-        raise ValueError("--block-size must be at least 1")
+        raise ValueError("block must be at least 1")
     if not 1 <= stride <= block:
-        raise ValueError("--stride must be from 1 to the block size")
+        raise ValueError("stride must be from 1 to block")
 
 
 def prefix_offsets(df: DataFrame, length: Column, *order: str) -> DataFrame:
@@ -87,9 +87,9 @@ def check_compatible(chunks: DataFrame, vocab_size: int, block_size: int) -> Non
     if r.min_length != r.max_length:
         raise ValueError("the dataset's examples differ in length")
     if r.max_token_id >= vocab_size:
-        raise ValueError(f"--vocab-size {vocab_size} does not hold token id {r.max_token_id}")
+        raise ValueError(f"vocab_size {vocab_size} does not hold token id {r.max_token_id}")
     if r.max_length > block_size:
-        raise ValueError(f"--block-size {block_size} is less than the examples' length {r.max_length}")
+        raise ValueError(f"block_size {block_size} is less than the examples' length {r.max_length}")
 
 
 def bernoulli_split(df: DataFrame, fraction: float = 0.05, seed: int = 0, key: str = "doc_id") -> DataFrame:

@@ -27,6 +27,13 @@ def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_kept(df: DataFrame, n: int, keep: Column, *order: str) -> tuple[DataFrame, DataFrame]:
+    """Of the first n rows those that are kept, and one row of counts: seen, kept, skipped. Skipped rows count towards n."""
+    seen = first_n(df, n, *order)
+    counts = seen.agg(F.count("*").alias("seen"), F.count(F.when(keep, 1)).alias("kept"))
+    return seen.where(keep), counts.withColumn("skipped", F.col("seen") - F.col("kept"))
+
+
 def first_non_blank(*columns: Column) -> Column:
     return F.coalesce(*(F.when(~T.is_blank(c), c) for c in columns))
 
@@ -59,10 +66,37 @@ def first_place(column: str) -> tuple[Column, Column]:
 def classified_counts(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     """Class, item, cnt and the first place of each item (first_doc, first_pos), which settles ties by first seen."""
     counted = rows.groupBy("item").agg(F.count("*").alias("cnt"), F.min(place(order)).alias("first"))
+    return _classified(counted)
+
+
+def _classified(counted: DataFrame) -> DataFrame:
     doc, pos = first_place("first")
     return counted.select(T.item_class(F.col("item")).alias("class"), "item", "cnt", doc.alias("first_doc"), pos.alias("first_pos"))
 
 
+def routed_counts(raw: DataFrame, order: str = "doc_id") -> DataFrame:
+    """classified_counts of what lexed tokens (order, pos, item) become.
+
+    What a token becomes hangs on its spelling alone, so tokens are counted as they stand, and only the different ones are
+    routed and classified. first_pos is the place among all lexed tokens, which orders items as the place among the kept ones does.
+    """
+    counted = raw.groupBy("item").agg(F.count("*").alias("cnt"), F.min(place(order)).alias("first"))
+    routed = counted.select(T.route(F.col("item")).alias("item"), "cnt", "first").where("item is not null")
+    return _classified(routed.groupBy("item").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")))
+
+
+def kept_positions(counts: DataFrame, raw: DataFrame, order: str = "doc_id") -> DataFrame:
+    """routed_counts with first_pos as the place among the kept tokens: less the dropped ones before it in its document.
+
+    A token of visible ASCII characters alone is never dropped, so that only the others are routed here.
+    """
+    dropped = raw.where(~F.col("item").rlike("^[!-~]+$") & T.route(F.col("item")).isNull()).select(F.col(order).alias("first_doc"), F.col("pos").alias("first_pos"), F.lit(None).cast("string").alias("item"))
+    marked = counts.unionByName(dropped, allowMissingColumns=True)
+    before = W.partitionBy("first_doc").orderBy("first_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lost = F.count(F.when(F.col("item").isNull(), 1)).over(before)
+    return marked.withColumn("first_pos", (F.col("first_pos") - lost).cast("int")).where("item is not null")
+
+
 def corpus_statistics(counts: DataFrame) -> DataFrame:
     """One row: items in all, distinct and by class, and distinct encoded words of several atoms."""
     kinds = ("special", "encoded", "preserved", "invalid")
@@ -85,15 +119,19 @@ def first_examples(rows: DataFrame, kind: str, n: int, order: str = "doc_id") ->
 
 def ordered_distinct(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     """item, ord: distinct items numbered from 0 in the order they are first seen."""
-    first = rows.groupBy("item").agg(F.min(place(order)).alias("first"))
-    return prefix_offsets(first, F.lit(1), "first").select("item", F.col("offset").alias("ord"))
+    return numbered(rows.groupBy("item").agg(F.min(place(order)).alias("first")), "first")
+
+
+def numbered(items_: DataFrame, *order: str) -> DataFrame:
+    """item, ord: rows numbered from 0 in an order."""
+    return prefix_offsets(items_, F.lit(1), *order).select("item", F.col("offset").alias("ord"))
 
 
-def head_and_tail(ranked: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k and the last k rows of a ranking, with end telling which."""
-    first = ranked.orderBy(*order).limit(k).withColumn("end", F.lit("head"))
-    back = [F.col(c).desc() if isinstance(c, str) else c for c in order]
-    return first.unionByName(ranked.orderBy(*back).limit(k).withColumn("end", F.lit("tail")))
+def head_and_tail(ranked: DataFrame, k: int, *order: tuple[str, bool]) -> DataFrame:
+    """The first k and the last k rows of a ranking by (column, ascending) pairs, with end telling which."""
+    by = lambda turned: [F.asc(c) if up != turned else F.desc(c) for c, up in order]
+    ends = [ranked.orderBy(*by(turned)).limit(k).withColumn("end", F.lit(end)) for end, turned in (("head", False), ("tail", True))]
+    return ends[0].unionByName(ends[1])
 
 
 def top_with_ties(df: DataFrame, k: int, by: str, *partition: str) -> DataFrame:

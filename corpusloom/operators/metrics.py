@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,5 +54,10 @@ def mean_or_zero(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"), F.count(value).alias("batches"))
 
 
+def parameter_count(shapes: list[tuple[int, ...]]) -> int:
+    """How many numbers tensors of these shapes hold."""
+    return sum(math.prod(s) for s in shapes)
+
+
 def steps_per_epoch(batches: int, accumulation: int) -> int:
     return -(-batches // accumulation)

@@ -78,6 +78,20 @@ def matrix_payload(cells: DataFrame, value: str = "estimate") -> DataFrame:
     return made.withColumn("percentage", F.round(F.col("probability") * 100, 4))
 
 
+def payload(tones: DataFrame, lengths: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """tone_bucket, length_bucket, value, probability, percentage: counted exactly where there are cases, else the estimate from the
+    two histograms."""
+    if cases is None:
+        return matrix_payload(independence(tones, lengths).withColumnRenamed("estimate", "value"), "value")
+    return matrix_payload(unpivoted(tone_length_matrix(cases)).withColumnRenamed("cnt", "value"), "value")
+
+
+def printed(matrix: DataFrame, width: int = 16) -> str:
+    """The matrix of tone_length_matrix as lines of columns of one width: four rows at most."""
+    rows = [("tone", *LENGTH_BUCKETS), *sorted((r.tone_bucket, *(r[c] for c in LENGTH_BUCKETS)) for r in matrix.collect())]
+    return "\n".join("".join(f"{x!s:>{width}}" if n else f"{x!s:<{width}}" for n, x in enumerate(r)) for r in rows)
+
+
 def unpivoted(matrix: DataFrame) -> DataFrame:
     return matrix.unpivot("tone_bucket", list(LENGTH_BUCKETS), "length_bucket", "cnt")
 

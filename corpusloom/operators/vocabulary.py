@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import text as T
 from ..functions.maths import candidate_score, uniform
+from ..plans.staging import scoped, stage
+from .chunks import prefix_offsets
 
 # Fixed values.
 FIXED_TOKENS = ["<pad>", "<unk>", "<s>", "</s>", "<mask>"]
@@ -44,47 +46,49 @@ def require_valid(counts: DataFrame, examples: int = 5) -> None:
         raise ValueError("invalid items: " + ", ".join(f"{r.item!r} (document {r.first_doc}, position {r.first_pos})" for r in bad))
 
 
+@scoped
 def build_vocabulary(spark: SparkSession, counts: DataFrame, size: int, least: int = 20, atomic_only: bool = False) -> DataFrame:
     """token, token_id, score: fixed and special tokens, preserved ones in order, atoms, then the most frequent words that fit.
 
-    counts has class, item and cnt. The result is bounded by size and the preserved tokens; ids are places in the order.
+    counts has class, item and cnt. Ids are places in the order; counts and the vocabulary are staged, so that joins with it
+    don't count again.
     """
+    counts = stage(counts.where("class in ('preserved', 'encoded')").select("class", "item", F.col("cnt").cast("long").alias("cnt")), "counts")
     fixed = FIXED_TOKENS + T.SPECIAL_TOKENS
-    head = spark.createDataFrame([(0, i, t) for i, t in enumerate(fixed)] + [(2, i, t) for i, t in enumerate(atomic_tokens())], "part int, n int, token string")
-    preserved = counts.where("class = 'preserved'").select(F.lit(1).alias("part"), F.lit(0).alias("n"), F.col("item").alias("token"))
+    head = spark.createDataFrame([(0, i, t) for i, t in enumerate(fixed)] + [(2, i, t) for i, t in enumerate(atomic_tokens())], "part int, n long, token string")
+    preserved = counts.where("class = 'preserved'").select(F.lit(1).alias("part"), F.lit(0).cast("long").alias("n"), F.col("item").alias("token"))
     base = head.unionByName(preserved).groupBy("token").agg(F.min(F.struct("part", "n")).alias("at")).select(F.col("at.part").alias("part"), F.col("at.n").alias("n"), "token", F.lit(None).cast("double").alias("score"))
     n_base = base.count()
     if n_base > size and not atomic_only:
         raise ValueError(f"the base vocabulary of {n_base} tokens exceeds the size {size}")
     budget = 0 if atomic_only else size - n_base
-    chosen = selected_words(counts, budget, least).select(F.lit(3).alias("part"), F.col("rank").alias("n"), F.col("item").alias("token"), F.col("cnt").cast("double").alias("score"))
-    ordered = W.partitionBy(F.lit(0)).orderBy("part", "n", "token")
-    return base.unionByName(chosen).select("token", (F.row_number().over(ordered) - 1).cast("int").alias("token_id"), "score")
+    chosen = selected_words(counts, budget, least).select(F.lit(3).alias("part"), (-F.col("cnt")).alias("n"), F.col("item").alias("token"), F.col("cnt").cast("double").alias("score"))
+    ordered = prefix_offsets(base.unionByName(chosen), F.lit(1), "part", "n", "token")
+    return stage(ordered.select("token", F.col("offset").cast("int").alias("token_id"), "score"), "vocabulary")
 
 
 def selected_words(counts: DataFrame, budget: int, least: int) -> DataFrame:
     """Encoded words of several atoms and enough frequency, most frequent first, ties by code point, as many as the budget."""
     fit = counts.where((F.col("class") == "encoded") & (T.atom_count(F.col("item")) > 1) & (F.col("cnt") >= least))
-    best = fit.orderBy(F.desc("cnt"), "item").limit(max(0, budget))
-    return best.select("item", "cnt", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("cnt"), "item")).alias("rank"))
+    return fit.orderBy(F.desc("cnt"), "item").limit(max(0, budget)).select("item", "cnt")
 
 
 def to_ids(rows: DataFrame, vocabulary: DataFrame, unknown: int = UNKNOWN) -> DataFrame:
-    """Adds token_id to rows with a column item; vocabularies are bounded by their size, so they are broadcast."""
-    known = F.broadcast(vocabulary.select(F.col("token").alias("item"), "token_id"))
+    """Adds token_id to rows with a column item. Adaptive execution broadcasts the vocabulary if its measured size is small."""
+    known = vocabulary.select(F.col("token").alias("item"), "token_id")
     return rows.join(known, "item", "left").withColumn("token_id", F.coalesce("token_id", F.lit(unknown)))
 
 
 def to_tokens(rows: DataFrame, vocabulary: DataFrame, unknown: str = "<unk>") -> DataFrame:
     """Adds item to rows with a column token_id."""
-    known = F.broadcast(vocabulary.select("token_id", F.col("token").alias("item")))
+    known = vocabulary.select("token_id", F.col("token").alias("item"))
     return rows.join(known, "token_id", "left").withColumn("item", F.coalesce("item", F.lit(unknown)))
 
 
 def coverage(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One row over rows (word): occurrences, whole-word hits, fallbacks and mean pieces per word; 0 where nothing is there."""
     encoded = words.where(T.is_encoded(F.col("word")))
-    whole = F.broadcast(vocabulary.where(T.is_encoded(F.col("token")) & (T.atom_count(F.col("token")) > 1)).select(F.col("token").alias("word"), F.lit(True).alias("whole")))
+    whole = vocabulary.where(T.is_encoded(F.col("token")) & (T.atom_count(F.col("token")) > 1)).select(F.col("token").alias("word"), F.lit(True).alias("whole"))
     n = T.atom_count(F.col("word"))
     hit = F.col("whole").isNotNull() | (n == 1)
     sums = encoded.join(whole, "word", "left").agg(F.count("*").alias("occurrences"), F.count(F.when(hit, 1)).alias("hits"), F.coalesce(F.sum(F.when(hit, 1).otherwise(n)), F.lit(0)).alias("pieces"))
@@ -101,7 +105,7 @@ def candidates(words: DataFrame, vocabulary: DataFrame, span: int) -> DataFrame:
     starts = words.select("word").where(T.is_encoded(F.col("word"))).select("word", n.alias("atoms"), F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
     spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(span), F.col("atoms") - F.col("start")))).alias("length"))
     pieces = spans.withColumn("token", F.expr("substring(word, 2 * start + 1, 2 * length)"))
-    return pieces.join(F.broadcast(vocabulary.select("token", "token_id", F.coalesce("score", F.lit(0.0)).alias("frequency"))), "token")
+    return pieces.join(vocabulary.select("token", "token_id", F.coalesce("score", F.lit(0.0)).alias("frequency")), "token")
 
 
 def longest_span(vocabulary: DataFrame) -> int:
@@ -146,8 +150,8 @@ def segment_greedy(words: DataFrame, vocabulary: DataFrame, strict: bool = False
     return _lengths(found.drop("frequency", "token", "token_id"), words).select("word", _walk(longest, strict, "greedy").alias("pieces"))
 
 
-def segment_softmax(words: DataFrame, vocabulary: DataFrame, seed: int, alpha: float = 1.0, beta: float = 0.0, temperature: float = 1.0, epsilon: float = 1e-8, strict: bool = False) -> DataFrame:
-    """id, word, pieces of rows (id, word): candidates drawn by their probabilities, with a draw keyed by seed, id and position."""
+def segment_softmax(words: DataFrame, vocabulary: DataFrame, seed: int, alpha: float = 1.0, beta: float = 0.0, temperature: float = 1.0, epsilon: float = 1e-8, strict: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, word, pieces (and the columns to keep) of rows (id, word): candidates drawn by their probabilities, with a draw keyed by seed, id and position."""
     found = probabilities(candidates(words.select("word").distinct(), vocabulary, longest_span(vocabulary)), alpha, beta, temperature, epsilon)
     by_word = _lengths(found, words)
 
@@ -157,16 +161,30 @@ def segment_softmax(words: DataFrame, vocabulary: DataFrame, seed: int, alpha: f
         fold = lambda s, o: F.struct((s["sum"] + o["p"]).alias("sum"), F.when(s["length"].isNull() & (u < s["sum"] + o["p"]), o["length"]).otherwise(s["length"]).alias("length"))
         return F.coalesce(F.aggregate(options, start, fold, lambda s: s["length"]), F.element_at(options, -1)["length"])
 
-    return words.where(T.is_encoded(F.col("word"))).join(by_word, "word").select("id", "word", _walk(draw, strict, "softmax").alias("pieces"))
+    return words.where(T.is_encoded(F.col("word"))).join(by_word, "word").select("id", "word", *keep, _walk(draw, strict, "softmax").alias("pieces"))
 
 
-def tokenize_items(rows: DataFrame, vocabulary: DataFrame, strict: bool = False) -> DataFrame:
-    """Rows (.., item) with pieces: encoded words are segmented, known items stay, others are errors or unknown."""
-    pieces = segment_greedy(rows.select(F.col("item").alias("word")), vocabulary, strict).withColumnRenamed("word", "item")
-    known = F.broadcast(vocabulary.select(F.col("token").alias("item"), F.lit(True).alias("known")))
+def tokenize_items(
+    rows: DataFrame, vocabulary: DataFrame, strict: bool = False, mode: str = "greedy", key: str = "doc_id", seed: int = 0,
+    alpha: float = 1.0, beta: float = 0.0, temperature: float = 1.0, epsilon: float = 1e-8,
+) -> DataFrame:
+    """Rows (.., item) with pieces: encoded words are segmented, known items stay, others are errors or unknown.
+
+    In mode softmax each occurrence, told by key and pos, has draws of its own.
+    """
+    mode = check_parameters(mode, alpha, beta, temperature, epsilon)
+    known = vocabulary.select(F.col("token").alias("item"), F.lit(True).alias("known"))
     lost = F.raise_error(F.concat(F.lit("unknown item "), F.col("item"))).cast("string") if strict else F.lit("<unk>")
     other = F.array(F.when(F.col("known"), F.col("item")).otherwise(lost))
-    return rows.join(pieces, "item", "left").join(known, "item", "left").withColumn("pieces", F.coalesce("pieces", other)).drop("known")
+    if mode == "greedy":
+        pieces = segment_greedy(rows.select(F.col("item").alias("word")), vocabulary, strict).withColumnRenamed("word", "item")
+        made = rows.join(pieces, "item", "left")
+    else:
+        place = F.concat_ws("/", F.col(key).cast("string"), F.col("pos").cast("string"))
+        words = rows.select(F.struct(key, "pos").alias("at"), place.alias("id"), F.col("item").alias("word"))
+        pieces = segment_softmax(words, vocabulary, seed, alpha, beta, temperature, epsilon, strict, keep=("at",))
+        made = rows.withColumn("at", F.struct(key, "pos")).join(pieces.select("at", "pieces"), "at", "left").drop("at")
+    return made.join(known, "item", "left").withColumn("pieces", F.coalesce("pieces", other)).drop("known")
 
 
 def tokens_per_line(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -6,9 +6,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-TOKENIZERS = {"code": "pinyin-code", "pinyin-code": "pinyin-code", "initial": "pinyin-initial", "pinyin-initial": "pinyin-initial", "hanzi": "hanzi"}
+from ..sources.readers import exists
+
+# The names that each mode goes by.
+TOKENIZERS = {
+    "code": "pinyin-code", "codes": "pinyin-code", "pinyin-code": "pinyin-code", "initial": "pinyin-initial", "initials": "pinyin-initial",
+    "pinyin-initial": "pinyin-initial", "hanzi": "hanzi",
+}
 
 
 def mode_of(name: str) -> str:
@@ -21,10 +27,26 @@ def mode_of(name: str) -> str:
 
 @dataclass
 class Pipeline:
-    """Steps (name, key, function of the last result). A step whose (name, key) has run before gives its result again."""
+    """Steps (name, key, function of the last result). A step whose (name, key) has run before gives its result again.
+
+    folder: where results are written as tables; a step whose table is there whole is not run but read, so that a
+    run that has ended early is taken up again.
+    """
 
     steps: list[tuple[str, str, Callable[[DataFrame | None], DataFrame]]]
     done: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    folder: str | None = None
+
+    def result(self, name: str, key: str, step: Callable[[DataFrame | None], DataFrame], last: DataFrame | None) -> DataFrame:
+        if (name, key) not in self.done:
+            self.done[name, key] = step(last) if self.folder is None else self.written(f"{self.folder}/{name}-{key}", step, last)
+        return self.done[name, key]
+
+    def written(self, path: str, step: Callable[[DataFrame | None], DataFrame], last: DataFrame | None) -> DataFrame:
+        spark = SparkSession.active()
+        if not exists(spark, f"{path}/_SUCCESS"):
+            step(last).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
 
     def selected(self, start_at: str | None = None, stop_after: str | None = None) -> list[str]:
         names = [s[0] for s in self.steps]
@@ -45,7 +67,7 @@ class Pipeline:
             if dry_run:
                 print(f"{name} ({key})")
             else:
-                result = self.done[name, key] = self.done.get((name, key)) or step(result)
+                result = self.result(name, key, step, result)
         return result
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import maths as M
 from ..functions import text as T
-from ..operators import chunks, codebook, counting, metrics, pieces, preferences, sampling, tones, vocabulary
+from ..operators import chunks, codebook, counting, hanzi, metrics, pieces, preferences, sampling, tones, vocabulary
+from ..operators.tokenizer import Tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,7 +46,7 @@ ROUTED = rf"""routed AS (SELECT doc_id, n, CASE
     WHEN regexp_full_match(token, '[{T.HANZI}]+') THEN token
     WHEN token IN {_PUNCT} THEN token
     WHEN regexp_full_match(token, '{_LATIN}') THEN CASE WHEN upper(token) IN ('A', 'B', 'C', 'D') THEN upper(token) ELSE lower(token) END
-    WHEN regexp_full_match(token, '\p{{Nd}}+') THEN '<NUM>'
+    WHEN regexp_full_match(token, '{T.NUMBER}') THEN '<NUM>'
     WHEN token <> '�' AND regexp_full_match(token, '[\p{{L}}\p{{P}}\p{{S}}]*') THEN lower(token) END AS item FROM lexed)"""
 ITEMS = "items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS pos, item FROM routed WHERE item IS NOT NULL)"
 CLASS = rf"""CASE WHEN item IN {_SPECIAL} THEN 'special' WHEN regexp_full_match(item, '{T.ENCODED_WORD}') THEN 'encoded'
@@ -90,6 +91,12 @@ records AS (SELECT a.conv_id, a.turn, prompt, chosen, rejected FROM asked a LEFT
 FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 
 
+#: Digits' characters, their readings and codes; they stand in for letters a to j, since the tables have no Hanzi.
+READINGS = [("一", "yi1", "Y1"), ("二", "er4", "e6"), ("三", "san1", "S2"), ("四", "si4", "s6"), ("五", "wu3", "W6"), ("六", "liu4", "l7"), ("七", "qi1", "Q1"), ("八", "ba1", "B1"), ("九", "jiu3", "J7")]
+HANZI_TEXTS = f"""readings AS (SELECT unnest({[r[0] for r in READINGS]}) AS character, unnest({[r[1] for r in READINGS]}) AS syllable, unnest({[r[2] for r in READINGS]}) AS code),
+hanzi AS (SELECT doc_id, translate(text, 'abcdefghij', '一二三四五六七八九十') AS text FROM documents)"""
+
+
 def flat(x: str) -> str:
     return FLAT.format(x)
 
@@ -97,13 +104,26 @@ def flat(x: str) -> str:
 # ---------------------------------------------------------------- rows shared by queries
 
 
+def hanzi_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "abcdefghij", "一二三四五六七八九十").alias("text"))
+
+
+def readings(spark: SparkSession) -> DataFrame:
+    """One character of the ten has none."""
+    return spark.createDataFrame([r[:2] for r in READINGS], "character string, syllable string")
+
+
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.items(table(spark, sf_dir, "documents"), T.words(F.col("text")))
 
 
 def lexed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = F.filter(F.transform(T.lex(F.col("text")), lambda t: T.route(t)), lambda x: x.isNotNull())
-    return counting.items(table(spark, sf_dir, "documents"), kept)
+    """All lexed tokens as they stand."""
+    return counting.items(table(spark, sf_dir, "documents"), T.lex(F.col("text")))
+
+
+def lexed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.routed_counts(lexed_items(spark, sf_dir))
 
 
 def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,7 +237,8 @@ def process_documents(spark, sf_dir):
 @query(f"WITH {LEXED}, {ROUTED} SELECT doc_id, string_agg(item, ' ' ORDER BY n) AS tokens FROM routed WHERE item IS NOT NULL GROUP BY 1")
 def lex_and_route(spark, sf_dir):
     kept = F.filter(F.transform(T.lex(F.col("text")), lambda t: T.route(t)), lambda x: x.isNotNull())
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(kept, " ").alias("tokens")).where("tokens <> ''")
+    # made by a generator, so that the filter isn't pushed below it and the tokens are made once
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.array_join(kept, " "))).alias("tokens")).where("tokens <> ''")
 
 
 @query(rf"SELECT conv_id, turn, CASE WHEN length({flat('text')}) > 180 THEN substring({flat('text')}, 1, 177) || '...' ELSE {flat('text')} END AS clipped FROM conversations")
@@ -247,10 +268,29 @@ def syllable_codes(spark, sf_dir):
     return syllables(spark, sf_dir).select("syllable").distinct().select("syllable", T.syllable_plain(s).alias("plain"), T.syllable_tone(s).alias("tone"), T.syllable_initial(s).alias("initial"), T.syllable_atom(s).alias("atom"))
 
 
-@query()
+@query(f"WITH {HANZI_TEXTS} SELECT doc_id, unnest(regexp_extract_all(text, '[{T.HANZI}]+')) AS span FROM hanzi")
 def hanzi_spans(spark, sf_dir):
-    """The tables have no Hanzi; spans are tested on fixtures."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.hanzi_spans(F.col("text"))).alias("span"))
+    return hanzi_texts(spark, sf_dir).select("doc_id", F.explode(T.hanzi_spans(F.col("text"))).alias("span"))
+
+
+_CODED = f"""{HANZI_TEXTS}, {LEXED.replace("FROM documents", "FROM hanzi")}, {ROUTED}, parted AS (SELECT doc_id, n, i, CASE WHEN regexp_full_match(token, '[{T.HANZI}]+') THEN (SELECT §code FROM readings WHERE character = c) ELSE item END AS item
+  FROM (SELECT doc_id, n, token, item, unnest(CASE WHEN regexp_full_match(token, '[{T.HANZI}]+') THEN string_split(token, '') ELSE [token] END) AS c, unnest(range(CASE WHEN regexp_full_match(token, '[{T.HANZI}]+') THEN len(token) ELSE 1 END)) AS i FROM routed JOIN lexed USING (doc_id, n)))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, i) - 1 AS pos, item FROM parted WHERE item IS NOT NULL"""
+
+
+@query("WITH " + _CODED.replace("§code", "code"))
+def hanzi_codes(spark, sf_dir):
+    return hanzi.encode(hanzi_texts(spark, sf_dir), readings(spark), normal=False)
+
+
+@query("WITH " + _CODED.replace("§code", "left(syllable, 1)"))
+def hanzi_initials(spark, sf_dir):
+    return hanzi.encode(hanzi_texts(spark, sf_dir), readings(spark), mode="pinyin-initial", normal=False)
+
+
+@query(f"WITH {HANZI_TEXTS}, seen AS (SELECT DISTINCT unnest(string_split(text, '')) AS character FROM hanzi) SELECT character, syllable AS pinyin, right(syllable, 1) AS tone, CAST(length(syllable) - 1 AS INT) AS length FROM seen JOIN readings USING (character)")
+def hanzi_cases(spark, sf_dir):
+    return tones.cases(hanzi.syllable_cases(hanzi_texts(spark, sf_dir), readings(spark)))
 
 
 # ---------------------------------------------------------------- counting
@@ -263,18 +303,18 @@ def token_total(spark, sf_dir):
 
 @query(f"WITH {LEXED}, {ROUTED}, {ITEMS}, {COUNTS} SELECT class, item, cnt, f.d AS first_doc, f.p AS first_pos FROM counts")
 def classified_counts(spark, sf_dir):
-    return counting.classified_counts(lexed_items(spark, sf_dir))
+    return counting.kept_positions(lexed_counts(spark, sf_dir), lexed_items(spark, sf_dir))
 
 
 @query(f"""WITH {LEXED}, {ROUTED}, {ITEMS}, {COUNTS} SELECT sum(cnt) AS total_items, count(*) AS unique_items, {", ".join(f"coalesce(sum(cnt) FILTER (class = '{k}'), 0) AS {k}_occurrences, count(*) FILTER (class = '{k}') AS {k}_unique" for k in ("special", "encoded", "preserved", "invalid"))},
   count(*) FILTER (class = 'encoded' AND length(item) > 3) AS multi_atom_unique FROM counts""")
 def corpus_statistics(spark, sf_dir):
-    return counting.corpus_statistics(counting.classified_counts(lexed_items(spark, sf_dir)))
+    return counting.corpus_statistics(lexed_counts(spark, sf_dir))
 
 
 @query(f"WITH {LEXED}, {ROUTED}, {ITEMS}, {COUNTS} SELECT item, cnt FROM counts WHERE class = 'preserved' ORDER BY cnt DESC, f LIMIT 50")
 def preserved_top50(spark, sf_dir):
-    counts = counting.classified_counts(lexed_items(spark, sf_dir))
+    counts = lexed_counts(spark, sf_dir)
     return counting.most_common(counts.where("class = 'preserved'"), 50).select("item", "cnt")
 
 
@@ -285,14 +325,12 @@ def invalid_examples(spark, sf_dir):
 
 @query(f"WITH {LEXED}, {ROUTED}, {ITEMS} SELECT item, row_number() OVER (ORDER BY min(struct_pack(d := doc_id, p := pos))) - 1 AS ord FROM items GROUP BY item")
 def ordered_dedupe(spark, sf_dir):
-    return counting.ordered_distinct(lexed_items(spark, sf_dir))
+    return counting.numbered(lexed_counts(spark, sf_dir).select("item", "first_doc", "first_pos"), "first_doc", "first_pos")
 
 
 @query(f"""WITH {LEXED}, {ROUTED}, {ITEMS}, {COUNTS} SELECT * FROM (SELECT item, cnt, 'head' AS "end" FROM counts ORDER BY cnt DESC, item LIMIT 10) UNION ALL SELECT * FROM (SELECT item, cnt, 'tail' FROM counts ORDER BY cnt, item DESC LIMIT 10)""")
 def head_and_tail(spark, sf_dir):
-    counts = counting.classified_counts(lexed_items(spark, sf_dir)).select("item", "cnt")
-    head = counts.orderBy(F.desc("cnt"), "item").limit(10).withColumn("end", F.lit("head"))
-    return head.unionByName(counts.orderBy("cnt", F.desc("item")).limit(10).withColumn("end", F.lit("tail")))
+    return counting.head_and_tail(lexed_counts(spark, sf_dir).select("item", "cnt"), 10, ("cnt", False), ("item", True))
 
 
 @query("SELECT event_type, event_id, value, rank FROM (SELECT *, rank() OVER (PARTITION BY event_type ORDER BY value DESC) AS rank FROM (SELECT event_type, event_id, round(value) AS value FROM events)) WHERE rank <= 5")
@@ -350,18 +388,46 @@ def segment_softmax(spark, sf_dir):
     return vocabulary.segment_softmax(rows, word_vocabulary(spark, sf_dir), seed=1, alpha=0.5, temperature=5.0).select("id", "word", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query(f"WITH {WORDS} SELECT doc_id, count(*) AS tokens, count(*) FILTER ({CLASS} = 'encoded') AS encoded FROM words GROUP BY 1")
+_GREEDY_WALK = f"{ENCODED}, {SELECTED}, {VOCAB}, {CANDIDATES}, best AS (SELECT word, start, max(length) AS len FROM found GROUP BY 1, 2), {GREEDY}"
+
+
+@query(f"""WITH RECURSIVE {_GREEDY_WALK}, p AS (SELECT word AS item, string_agg(piece, ' ' ORDER BY k) AS pieces FROM walk WHERE k > 0 GROUP BY 1), o AS (SELECT DISTINCT unnest([l_returnflag, CASE l_linestatus WHEN 'F' THEN '<NUM>' ELSE '<unk>' END]) AS item FROM lineitem)
+SELECT item, pieces FROM p UNION ALL SELECT item, CASE WHEN item IN (SELECT token FROM vocab) THEN item ELSE '<unk>' END FROM o""")
 def item_dispatch(spark, sf_dir):
-    rows = words_of(spark, sf_dir)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count(F.when(T.item_class(F.col("item")) == "encoded", 1)).alias("encoded"))
+    """Encoded words are segmented, known items stay, others are unknown."""
+    other = table(spark, sf_dir, "lineitem").select(F.explode(F.array("l_returnflag", F.when(F.col("l_linestatus") == "F", "<NUM>").otherwise("<unk>"))).alias("item"))
+    rows = encoded(spark, sf_dir).select(F.col("word").alias("item")).union(other).distinct()
+    return vocabulary.tokenize_items(rows, word_vocabulary(spark, sf_dir)).select("item", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query(f"WITH {ENCODED}, {SELECTED}, {VOCAB}, {CANDIDATES} SELECT l_orderkey, word, word AS decoded FROM encoded")
+@query(f"""WITH RECURSIVE {_GREEDY_WALK}, gaps AS (SELECT word, k, piece, CASE WHEN k = 1 OR (length(piece) = 2 AND lag(length(piece)) OVER (PARTITION BY word ORDER BY k) = 2) THEN '' ELSE ' ' END AS gap FROM walk WHERE k > 0),
+text AS (SELECT word, string_agg(gap || piece, '' ORDER BY k) AS decoded FROM gaps GROUP BY 1) SELECT l_orderkey, word, decoded FROM encoded JOIN text USING (word)""")
 def decode_segments(spark, sf_dir):
-    """Segments of encoded words joined again: greedy pieces cover the word."""
+    """Segments of encoded words joined again: neighbouring atoms are written together, longer pieces apart."""
     rows = encoded(spark, sf_dir)
-    pieces = vocabulary.segment_greedy(rows, word_vocabulary(spark, sf_dir))
-    return rows.join(pieces, "word").select("l_orderkey", "word", F.array_join("pieces", "").alias("decoded"))
+    pieces = vocabulary.decode(vocabulary.segment_greedy(rows, word_vocabulary(spark, sf_dir)))
+    return rows.join(pieces, "word").select("l_orderkey", "word", F.col("text").alias("decoded"))
+
+
+_ENCODE = f"""{_GREEDY_WALK}, pieced AS (SELECT l_orderkey, k, token_id AS id FROM encoded JOIN walk USING (word) JOIN vocab ON token = piece WHERE k > 0 UNION ALL SELECT l_orderkey, 1000000, 1 FROM encoded),
+whole AS (SELECT l_orderkey, list(id ORDER BY k) AS ids, count(*) AS n FROM pieced GROUP BY 1), sized AS (SELECT l_orderkey, ids, n, length(word) + 4 AS l FROM whole JOIN encoded USING (l_orderkey))"""
+
+
+@query(f"""WITH RECURSIVE {_ENCODE} SELECT l_orderkey, list_concat([2], ids, [3]) AS input_ids, list_concat([1], list_transform(ids, lambda x: 0), [1]) AS special,
+  array_to_string(list_concat(['0-0'], list_transform(range(n), lambda i: CAST(i * l // n AS VARCHAR) || '-' || CAST(CAST(ceil((i + 1) * l / n) AS BIGINT) AS VARCHAR)), ['0-0']), ' ') AS offsets FROM sized""")
+def tokenizer_call(spark, sf_dir):
+    """Texts of an encoded word and an unknown one: ids with start and end, the mask of what was added, and offsets."""
+    texts = encoded(spark, sf_dir).select("l_orderkey", F.concat("word", F.lit(" ???")).alias("text"))
+    made = Tokenizer(word_vocabulary(spark, sf_dir), add_bos=True, add_eos=True).encode(texts, key="l_orderkey", raw=False)
+    spans = F.transform("offsets", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    return made.select("l_orderkey", "input_ids", F.col("special_tokens_mask").alias("special"), F.array_join(spans, " ").alias("offsets"))
+
+
+@query(f"""WITH RECURSIVE {_ENCODE} SELECT a.l_orderkey, list_concat(a.ids, b.ids) AS input_ids FROM sized a JOIN sized b USING (l_orderkey)""")
+def tokenizer_pairs(spark, sf_dir):
+    texts = encoded(spark, sf_dir).select("l_orderkey", F.concat("word", F.lit(" ???")).alias("text"))
+    made = Tokenizer(word_vocabulary(spark, sf_dir)).encode(texts, pair="text", key="l_orderkey", raw=False)
+    return made.select("l_orderkey", "input_ids")
 
 
 @query(f"""WITH RECURSIVE {ENCODED}, {SELECTED}, {VOCAB}, {CANDIDATES}, best AS (SELECT word, start, max(length) AS len FROM found GROUP BY 1, 2), {GREEDY}, n AS (SELECT word, count(*) AS n FROM walk WHERE k > 0 GROUP BY 1)
@@ -667,6 +733,6 @@ def vocabulary_check(spark, sf_dir):
 @query(f"WITH {LEXED}, {ROUTED}, {ITEMS}, {COUNTS} SELECT CAST(row_number() OVER (ORDER BY cnt DESC, item) - 1 AS INT) AS token_id, class, item, cnt FROM counts WHERE class <> 'invalid' ORDER BY cnt DESC, item LIMIT 1000")
 def token_classes(spark, sf_dir):
     """The flagship: lexed and routed tokens, their classes and counts, and the most frequent of them with ids."""
-    counts = counting.classified_counts(lexed_items(spark, sf_dir)).where("class <> 'invalid'")
+    counts = lexed_counts(spark, sf_dir).where("class <> 'invalid'")
     best = counts.orderBy(F.desc("cnt"), "item").limit(1000)
     return best.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("cnt"), "item")) - 1).cast("int").alias("token_id"), "class", "item", "cnt")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 from collections.abc import Iterator
+from dataclasses import fields
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.pieces import PieceTokenizer
+from ..operators.tokenizer import Tokenizer
 
 RAW = "`doc-id` string, text string, category string, script string, language string"
-SAMPLE = "text string, source_hanzi string, hanzi string, content string, prompt string"
+TEXT_FIELDS = ("text", "source_hanzi", "hanzi", "content", "prompt")
 PREFERENCES = "prompt string, chosen string, rejected string, source_hanzi string, prompt_ids array<int>, chosen_ids array<int>, rejected_ids array<int>"
 CHUNKS = "input_ids array<int>, labels array<int>"
 METRICS = "event string, epoch int, step bigint, training_tokens_seen bigint, train_loss double, learning_rate double, tokens_per_second double, validation_loss double, best_loss double, checkpoint_token_target bigint, checkpoint_name string, path string"
@@ -58,17 +61,44 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataF
     return spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", False).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def list_folder(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
+    """path, length of the files of one folder, in the order of their paths."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", False).load(path)
+    return files.select("path", "length").orderBy("path")
+
+
+def union_in_order(frames: list[DataFrame]) -> DataFrame:
+    """All rows of several tables with the table's place as part, by which they can be put in order."""
+    placed = [df.withColumn("part", F.lit(n)) for n, df in enumerate(frames)]
+    out = placed[0]
+    for df in placed[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_items(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, line_number, pos, item."""
     return read_lines(spark, paths).select("path", "line_number", F.posexplode(T.words(F.col("value"))).alias("pos", "item"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """text of each sample: of .jsonl objects the first text field that is not blank, of other files the lines."""
-    if path.endswith(".jsonl"):
-        fields = [F.when(~T.is_blank(F.col(c)), F.col(c)) for c in ("text", "source_hanzi", "hanzi", "content", "prompt")]
-        return read_jsonl(spark, path, SAMPLE).select(F.coalesce(*fields).alias("text"))
-    return read_documents(spark, path).select("text")
+    """text of each sample, trimmed: of .jsonl objects the first of the text fields that is not blank, else the first string that is not
+    blank in the order of the object's keys; of other files the lines. Samples without text are left out; a line that is
+    no object is an error."""
+    if not path.endswith(".jsonl"):
+        return read_documents(spark, path).select("text")
+    lines = read_lines(spark, path).where(~T.is_blank(F.col("value")))
+    held = F.expr("from_json(value, 'map<string,variant>', map('mode', 'FAILFAST'))")
+    texts = F.expr("transform(filter(map_entries(held), e -> schema_of_variant(e.value) = 'STRING'), e -> struct(e.key AS key, CAST(e.value AS string) AS value))")
+    rows = lines.select(held.alias("held")).select(F.filter(texts, lambda e: ~T.is_blank(e["value"])).alias("found"))
+    named = [F.element_at(F.filter("found", lambda e, c=c: e["key"] == c), 1)["value"] for c in TEXT_FIELDS]
+    text = F.coalesce(*named, F.element_at("found", 1)["value"])
+    return rows.where(F.size("found") > 0).select(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +133,10 @@ def read_binary_chunks(spark: SparkSession, path: str) -> DataFrame:
     return files.select(first, "content").mapInPandas(split, "chunk_id long, input_ids array<int>")
 
 
-def read_token_dataset(spark: SparkSession, path: str, binary: bool) -> DataFrame:
+def read_token_dataset(spark: SparkSession, path: str, binary: bool | None = None) -> DataFrame:
+    """binary: whether the chunks are; if not given, they are where there is a sidecar."""
+    if binary is None:
+        binary = exists(spark, f"{path}/meta.json")
     return read_binary_chunks(spark, path) if binary else read_chunks(spark, path)
 
 
@@ -132,5 +165,30 @@ def resolve_scores(given: dict | None, stored: dict | None, listed: list | None)
     return {x["token"]: float(x["frequency"]) for x in listed or []}
 
 
+def _json(spark: SparkSession, path: str):
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()).lstrip("\ufeff"))
+
+
+def read_tokenizer(spark: SparkSession, path: str, **settings) -> Tokenizer | PieceTokenizer:
+    """A directory or its vocab.json gives a tokenizer of codes, any other file one of pieces. settings replace stored ones, and a
+    tokenizer of pieces, which has one segmentation, ignores them."""
+    folder = path.removesuffix("/vocab.json")
+    if not exists(spark, f"{folder}/vocab.json"):
+        return PieceTokenizer(path)
+    stored = _json(spark, f"{folder}/tokenizer_config.json") if exists(spark, f"{folder}/tokenizer_config.json") else {}
+    scores = _json(spark, f"{folder}/token_scores.json") if exists(spark, f"{folder}/token_scores.json") else None
+    listed = _json(spark, f"{folder}/metadata.json").get("selected") if exists(spark, f"{folder}/metadata.json") else None
+    scored = spark.createDataFrame(list(resolve_scores(settings.pop("scores", None), scores, listed).items()), "token string, score double")
+    known = read_vocabulary(spark, f"{folder}/vocab.json").join(scored, "token", "left").select("token", "token_id", "score")
+    readings = spark.read.schema("character string, syllable string").json(f"{folder}/readings") if exists(spark, f"{folder}/readings") else None
+    names = {f.name for f in fields(Tokenizer)} - {"vocabulary", "readings"}
+    return Tokenizer(known, readings, **({k: x for k, x in stored.items() if k in names} | settings))
+
+
+def vocabulary_size(spark: SparkSession, folder: str, wanted: int) -> int:
+    """The size of a directory's vocabulary where there is one, else the size that was asked for."""
+    return len(_json(spark, f"{folder}/vocab.json")) if exists(spark, f"{folder}/vocab.json") else wanted
+
+
 if sys.byteorder != "little":
     raise ImportError("binary chunks are little-endian")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from dataclasses import fields
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.chunks import prefix_offsets
+from ..operators.tokenizer import Tokenizer
+from ..plans.staging import arrow_uri
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -52,6 +55,29 @@ def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
     write_json(vocabulary, f"{path}/token_scores.json", {r.token: r.score for r in rows if r.score is not None})
 
 
+METADATA = "metadata.json"
+# Which of the fixed tokens has which part.
+SPECIAL_PARTS = {"pad_token": "<pad>", "unk_token": "<unk>", "bos_token": "<s>", "eos_token": "</s>", "mask_token": "<mask>"}
+
+
+def write_tokenizer(tokenizer: Tokenizer, path: str, **metadata) -> None:
+    """A tokenizer's directory: vocabulary, scores, special tokens, settings and metadata, each one file; read by read_tokenizer."""
+    v = tokenizer.vocabulary
+    write_vocabulary(v, path)
+    write_json(v, f"{path}/special_tokens_map.json", SPECIAL_PARTS)
+    settings = {f.name: getattr(tokenizer, f.name) for f in fields(tokenizer) if f.name not in ("vocabulary", "readings")}
+    write_json(v, f"{path}/tokenizer_config.json", settings | SPECIAL_PARTS)
+    write_json(v, f"{path}/{METADATA}", {"vocab_size": v.count(), **metadata})
+    if tokenizer.readings is not None:
+        tokenizer.readings.select("character", "syllable").write.json(f"{path}/readings")
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Distinct cases as JSON lines in the order of character, pinyin and tone."""
+    order = ("character", "pinyin", "tone")
+    write_lines(cases.withColumn("_line", F.to_json(F.struct(*cases.columns))), path, "_line", *order)
+
+
 def write_binary_chunks(chunks: DataFrame, path: str, block: int, stride: int, **settings) -> dict:
     """chunk_id, input_ids as .bin files named by their first chunk, in row-major little-endian int32, and meta.json.
 
@@ -59,6 +85,7 @@ def write_binary_chunks(chunks: DataFrame, path: str, block: int, stride: int, *
     driver, so a lost or repeated task leaves nothing behind.
     """
     spark, made = chunks.sparkSession, f"_parts-{uuid.uuid4().hex}"
+    target = arrow_uri(spark, path)
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -69,14 +96,14 @@ def write_binary_chunks(chunks: DataFrame, path: str, block: int, stride: int, *
             if not len(frame):
                 continue
             if out is None:
-                system, base = fs.FileSystem.from_uri(path)
+                system, base = fs.FileSystem.from_uri(target)
                 system.create_dir(f"{base}/{made}", recursive=True)
                 first, n, top = int(frame["offset"].iloc[0]), 0, -1
                 name = f"{made}/{first}-{TaskContext.get().taskAttemptId()}.bin"
                 out = system.open_output_stream(f"{base}/{name}")
             ids = np.stack(frame["input_ids"].to_numpy())
-            if ids.min() < -(2**31) or ids.max() >= 2**31:
-                raise ValueError("an id is out of the range of int32")
+            if ids.min() < 0 or ids.max() >= 2**31:
+                raise ValueError("an id is out of the range from 0 to 2**31 - 1")
             out.write(ids.astype("<i4").tobytes())
             n, top = n + len(ids), max(top, int(ids.max()))
         if out is not None:

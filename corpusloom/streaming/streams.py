@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,17 +39,17 @@ def chunk_stream(stream: DataFrame, block: int, stride: int | None = None, key:
     check_chunk_arguments(block, stride)
 
     def cut(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, n = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for row in pd.concat(list(frames)).sort_values("doc_id").itertuples():
-            buffer.extend(int(x) for x in row.ids)
-            out = []
-            while len(buffer) >= block:
-                out.append(buffer[:block])
-                del buffer[:stride]
-            if out:
-                yield pd.DataFrame({key: group[0], "chunk_id": range(n, n + len(out)), "input_ids": out})
-                n += len(out)
-        state.update((buffer, n))
+        buffer, n = (np.array(state.get[0], np.int32), state.get[1]) if state.exists else (np.empty(0, np.int32), 0)
+        # a key's rows of one batch are held as arrays, since their order is only known when all are there
+        rows = sorted(((d, x) for f in frames for d, x in zip(f["doc_id"], f["ids"], strict=True)), key=itemgetter(0))
+        for at in range(0, len(rows), 256):
+            buffer = np.concatenate([buffer, *(np.asarray(x, np.int32) for _, x in rows[at : at + 256])])
+            many = max(0, (len(buffer) - block) // stride + 1)
+            if many:
+                out = np.lib.stride_tricks.sliding_window_view(buffer, block)[: (many - 1) * stride + 1 : stride]
+                yield pd.DataFrame({key: group[0], "chunk_id": range(n, n + many), "input_ids": list(out)})
+                buffer, n = buffer[many * stride :], n + many
+        state.update((buffer.tolist(), n))
 
     kind = dict(stream.dtypes)[key]
     return stream.groupBy(key).applyInPandasWithState(cut, f"{key} {kind}, chunk_id long, input_ids array<int>", "buffer array<int>, n long", "append", GroupStateTimeout.NoTimeout)
