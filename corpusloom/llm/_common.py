@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.staging import arrow_uri, fresh_path, release, scoped, stage  # noqa: F401
+
 #: Words are maximal runs of anything but ASCII white space; ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,33 +28,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return (named or "file:///tmp/checkpoints").rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back, which cuts the lineage: lost executors cost nothing that is done."""
     small_batches(df.sparkSession)
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Deletes all tables that this application has staged; results that read them must be written before."""
-    discard(spark, f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}")
+    return stage(df, name)
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

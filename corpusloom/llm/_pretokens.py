@@ -1,8 +1,9 @@
 """Byte-level BPE of whole texts by way of their pre-tokens.
 
-A byte-level tokenizer cuts a text by a fixed pattern and merges inside each piece alone, so the ids of a text are the
-ids of its pieces one after another. Pieces repeat, so each distinct piece goes through the merges of the tokenizers
-library once per worker and is then looked up. The table is cleared when full, so memory stays bounded.
+A byte-level tokenizer takes its added tokens out of a text, as <|endoftext|>, cuts what lies between them by a fixed pattern
+and merges inside each piece alone, so the ids of a text are the ids of its pieces one after another. Pieces repeat, so
+each distinct piece goes through the merges of the tokenizers library once per worker and is then looked up. The table
+is cleared when full, so memory stays bounded.
 """
 
 from __future__ import annotations
@@ -30,7 +31,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = {t.content: (i, t) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if any(t.lstrip or t.rstrip or t.single_word for _, t in added.values()):
+            raise ValueError("added tokens that take neighbouring characters with them, or are whole words only, are not supported")
+        self.added = {content: i for content, (i, _) in added.items()}
+        longest = sorted(map(re.escape, self.added), key=lambda x: (-len(x), x))
+        self.apart = re.compile(f"({'|'.join(longest)})") if longest else None
         self.merge = self.tokenizer.model.tokenize
         self.letters = byte_letters()
         self.pattern = regex.compile(public_tokenizers.PATTERN)
@@ -41,10 +47,19 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         for p in pieces:
+            if p in self.added:
+                self.ids[p] = array(self.dtype.char, [self.added[p]]).tobytes()
+                continue
             plain = p.replace(" ", self.letters[0x20]) if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters)
             self.ids[p] = array(self.dtype.char, [x.id for x in self.merge(plain)]).tobytes()
 
     def _cut(self, text: str) -> list[str]:
+        """Added tokens, and the pattern's pieces of what lies between them."""
+        if self.apart and any(t in text for t in self.added):
+            return list(chain.from_iterable([x] if x in self.added else self._cut_plain(x) for x in self.apart.split(text) if x))
+        return self._cut_plain(text)
+
+    def _cut_plain(self, text: str) -> list[str]:
         """The pattern's pieces; texts that Latin-1 can hold are cut by an equal pattern that names its letters."""
         try:
             text.encode("latin-1")

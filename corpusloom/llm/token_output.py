@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, documents, fresh_path, slices
+from ._common import arrow_uri, column, documents, fresh_path, slices
 from ._pretokens import encoder, tokenizer_path
 
 MANIFEST = "part int, tokens_path string, index_path string, n_docs long, n_tokens long"
@@ -68,7 +68,11 @@ def _file_system(folder: str):
 
 
 def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int = 1024, end_id: int = END_ID) -> DataFrame:
-    """Encodes and writes all documents; returns a row for each pair of files, in the order of the stream."""
+    """Encodes and writes all documents; returns a row for each pair of files, in the order of the stream.
+
+    folder is any that Spark can name: without a scheme it is in Spark's default store, and it is shared by all executors.
+    """
+    folder = arrow_uri(docs.sparkSession, folder)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,7 +110,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, length: int =
 
 def read_sequences(manifest: DataFrame, folder: str, digest: bool = False) -> DataFrame:
     """Reads the files back: doc_id, start in the whole stream, n_tokens, and the ids (or their crc32 as ids_crc32)."""
-    base, rows = 0, []
+    folder, base, rows = arrow_uri(manifest.sparkSession, folder), 0, []
     for r in sorted(manifest.collect(), key=lambda r: r.part):
         rows.append((r.tokens_path, r.index_path, base))
         base += r.n_tokens
