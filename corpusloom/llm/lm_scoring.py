@@ -1,22 +1,29 @@
 """Language-model scores from a log-bilinear model trained with noise-contrastive estimation.
 
-Token counts cover all training documents. The most frequent tokens are classes of their own; every other token belongs to
-one of a fixed number of classes by the end of its spelling. The model predicts the class of the next token: the vectors
-of the two classes before it, each times a matrix, add up to a predicted vector, whose products with all class vectors
-plus biases are normalised into log-probabilities. A token of a shared class then has its smoothed share of the class, with
-one slot for unknown tokens, so that the probabilities of all known tokens and the unknown slots add up to one.
-
-Training is data-parallel over all training documents: in each round every partition runs noise-contrastive steps
-in numpy over its own documents, from the same start, and Spark averages the parameters by tokens. Scoring multiplies
-batches of contexts with all classes; the normaliser of a context is computed once per worker and kept.
-
-Counts of the most frequent tokens (a fixed number) go to the workers; those of the others stay a table and are joined, so
-nothing that grows with the vocabulary is broadcast. Null texts are empty and score their end token alone. Rows that
-share a doc_id are scored each by itself; a null doc_id trains. Without training documents score and base_score agree.
+Token counts cover all training documents. The most frequent tokens, in a number that grows with the corpus, have vectors of their
+own, as context and as target; the others share one of each by the end of their spelling. A token's probability has two
+factors, so that normalising stays cheap: the most frequent ones are classes of one token, every other token belongs to a
+class by the end of its spelling, and P(token | context) = P(class | context) * P(token | class, context). The vectors of
+the two tokens before and the mean of the last few, each times a matrix, add up to a predicted vector; its products with
+the vectors of all classes, and then of all members of the class, plus biases, are normalised into log-probabilities. The tokens of a
+class without a vector and its unknown ones are one member together, in which each has its smoothed share of counts,
+so that the probabilities of all known tokens and the unknown slots add up to one.
+
+Training is data-parallel over all training documents and does not hang on partitioning: documents are dealt into shards by a
+hash of their id and text and stand in the order of another one. In each round every shard runs noise-contrastive steps
+in numpy from the same start, with the AdaGrad sums of the round before, and the parameters are averaged row by row, by how
+often a shard has changed them, in a tree over the shards. Scores agree for any partitioning up to the rounding of
+32-bit sums.
+
+Counts of the most frequent tokens go to the workers; those of the others stay a table and are joined, so nothing that grows
+like the whole vocabulary is broadcast: what is sent grows as the 0.4th power of the corpus (`own_tokens`). Null
+texts are empty and score their end token alone. Rows that share a doc_id are scored each by itself; a null doc_id
+trains. Without training documents score and base_score agree.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -28,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import column, documents, slices, staged, text_bytes
+from ._common import column, documents, scoped, slices, staged, text_bytes
 
-#: Tokens whose counts are sent to the workers; classes of one token; classes that the other tokens share.
-HEAD, SHORT, SHARED = 150_000, 1_024, 64
-#: Vector size, rounds of averaging, batch size, noise samples per batch and their weight in samples per token.
-SIZE, ROUNDS, BATCH, NOISE, RATIO = 16, 2, 4_096, 32, 8
+#: At least so many tokens' counts are sent to the workers; classes of one token.
+HEAD, SINGLE = 150_000, 256
+#: Vector size, tokens before that are averaged, batch size, noise classes per batch, noise members per token, weight of the noise, rate.
+SIZE, WINDOW, BATCH, NOISE, MEMBERS, RATIO, RATE = 32, 8, 4_096, 32, 4, 8, 0.1
+#: A shard has so many training tokens for each token with a vector; small corpora are gone through up to PASSES times, while under ENOUGH tokens.
+SHARD, PASSES, ENOUGH = 64, 4, 1_200_000
+#: Rows of parameters sent together; shards averaged together.
+BLOCK, FAN = 1_024, 64
 END = b"\n"
 
 
@@ -41,8 +52,9 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
 
-def shared_class(token: bytes) -> int:
-    return SHORT + zlib.crc32(token[-2:]) % SHARED
+def own_tokens(total: int) -> int:
+    """How many tokens have vectors of their own, at most, in a corpus of so many."""
+    return int(20_000 + 30 * total**0.4)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -65,13 +77,15 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """What the workers need of the counts: the head's tokens, most frequent first, and the weight of each shared class."""
+    """What the workers need of the counts: the head's tokens, most frequent first, how many of them have vectors, and the weight
+    of the tokens of each spelled class that have none."""
 
     tokens: list[bytes]
     counts: np.ndarray
+    own: int
     total: int
     distinct: int
-    shared: np.ndarray
+    rest: np.ndarray
     ids: dict = field(default_factory=dict, repr=False)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
@@ -79,14 +93,16 @@ class Vocabulary:
     def weight(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def noise(self) -> np.ndarray:
-        """The share of each class in the training tokens."""
-        p = np.concatenate([np.pad(self.counts[:SHORT] + 0.5, (0, max(0, SHORT - len(self.counts))), constant_values=0.5), self.shared])
-        return p / p.sum()
 
+def spelled(token: bytes, groups: int) -> int:
+    return zlib.crc32(token[-3:]) % groups
 
-def fit_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+
+def fit_vocabulary(counts: DataFrame, head: int | None = None) -> Vocabulary:
+    """head: how many tokens' counts are sent, instead of HEAD or all that have vectors."""
+    whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count(F.when(F.col("c") > 1, 1)).alias("often")).first()
+    own = min(whole.often, own_tokens(whole.n))
+    head = max(own, HEAD) if head is None else head
     # sixteen bins for each power of two tell from which count on there are enough tokens, so that little more than them is sorted
     bins = counts.groupBy(F.floor(F.log2(F.col("c")) * 16).alias("bin")).count().orderBy(F.desc("bin")).collect()
     least, n = 0, 0
@@ -96,20 +112,55 @@ def fit_vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
             break
     top = counts.where(F.floor(F.log2(F.col("c")) * 16) >= least).orderBy(F.desc("c"), "token").limit(head).toArrow()
     tokens = [bytes(x) for x in top["token"].to_pylist()]
-    short = frozenset(tokens[:SHORT])
+    own = min(own, len(tokens))
+    groups = max(1, round(math.sqrt(own)))
+    given = counts.sparkSession.sparkContext.broadcast(frozenset(tokens[:own]))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SHARED)
+        sums, known = np.zeros(groups), given.value
         for batch in batches:
             for t, c in zip(column(batch, "token").to_pylist(), column(batch, "c").to_pylist(), strict=True):
-                if t not in short:
-                    sums[shared_class(t) - SHORT] += c + 0.5
-        yield pa.RecordBatch.from_arrays([pa.array(range(SHARED), pa.int32()), pa.array(sums)], names=["k", "w"])
+                if t not in known:
+                    sums[spelled(t, groups)] += c + 0.5
+        yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array(sums)], names=["k", "w"])
 
-    sums = np.full(SHARED, 0.5)
+    rest = np.full(groups, 0.5)
     for r in counts.mapInArrow(weigh, "k int, w double").groupBy("k").agg(F.sum("w").alias("w")).collect():
-        sums[r.k] += r.w
-    return Vocabulary(tokens, top["c"].to_numpy().astype(np.int64), whole.n, whole.v, sums)
+        rest[r.k] += r.w
+    given.unpersist()
+    return Vocabulary(tokens, top["c"].to_numpy().astype(np.int64), own, whole.n, whole.v, rest)
+
+
+class Layout:
+    """Codes, classes and members. A code is the place of a token with a vector, or own + its spelled class, or `begin`."""
+
+    def __init__(self, v: Vocabulary):
+        self.own, self.groups, self.single = v.own, len(v.rest), min(SINGLE, v.own)
+        self.begin, self.classes = v.own + self.groups, self.single + self.groups
+        weights = v.counts[: v.own] + 0.5
+        group = np.fromiter((spelled(t, self.groups) for t in v.tokens[self.single : v.own]), np.int64, v.own - self.single)
+        # members stand by class; the first of a class is what has no vector
+        of = np.concatenate([np.arange(self.groups), group])
+        order = np.argsort(of, kind="stable")
+        row = np.empty(len(of), np.int64)
+        row[order] = np.arange(len(of))
+        self.members, self.first = len(of), np.concatenate([[0], np.cumsum(np.bincount(of, minlength=self.groups))])
+        self.member_of = np.concatenate([np.full(self.single, -1), row[self.groups :], row[: self.groups]])
+        self.class_of = np.concatenate([np.arange(self.single), self.single + group, self.single + np.arange(self.groups)])
+        w = np.concatenate([v.rest, weights[self.single :]])[order]
+        sums = np.add.reduceat(w, self.first[:-1])
+        self.class_share = np.concatenate([weights[: self.single], sums])
+        self.class_share /= self.class_share.sum()
+        self.member_share = w / np.repeat(sums, np.diff(self.first))
+
+    def places(self) -> np.ndarray:
+        """For each member its class and the share of the members up to it, added: where class + uniform falls draws a member."""
+        out = np.empty(self.members)
+        for g in range(self.groups):
+            a, b = self.first[g], self.first[g + 1]
+            out[a:b] = g + np.minimum(np.cumsum(self.member_share[a:b]), 1)
+            out[b - 1] = g + 1
+        return out
 
 
 _READY: dict = {}
@@ -125,186 +176,323 @@ def _ready(shared) -> Vocabulary:
     return _READY[v.name]
 
 
-ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_log double, short_log double, classes binary, tail array<struct<token: binary, tf: long>>"
+ENCODED = "row long, doc_id long, deal long, held_out boolean, n_tokens long, head_known long, head_log double, own_log double, rest_log double, codes binary, tail array<struct<token: binary, tf: long>>"
 
 
 def encoded(docs: DataFrame, vocabulary) -> DataFrame:
-    """Each document's classes, what its head tokens add to the scores, and its other tokens, from a broadcast vocabulary."""
+    """Each document's codes, what its head tokens add to the scores, and its other tokens, from a broadcast vocabulary."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         v, row = _ready(vocabulary), TaskContext.get().partitionId() << 33
-        logs, get = np.log10(v.counts + 0.5), v.ids.get
-        classes = np.array([i if i < SHORT else shared_class(t) for i, t in enumerate(v.tokens)], np.uint16)
+        logs, get, own, groups, rest = np.log10(v.counts + 0.5), v.ids.get, v.own, len(v.rest), np.log10(v.rest)
+        codes = np.array([i if i < own else own + spelled(t, groups) for i, t in enumerate(v.tokens)], np.uint32)
         for batch in slices(batches):
-            out: dict[str, list] = {k.split()[0]: [] for k in ENCODED.split(", ")[:8]}
+            out: dict[str, list] = {k.split()[0]: [] for k in ENCODED.split(", ")[:10]}
             tails = []
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), text_bytes(batch), strict=True):
+            for doc_id, deal, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "deal").to_pylist(), text_bytes(batch), strict=True):
                 words = text.lower().split()
                 words.append(END)
                 ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
                 known, tail = ids[ids >= 0], np.flatnonzero(ids < 0)
-                of = np.empty(len(ids), np.uint16)
-                of[ids >= 0] = classes[known]
-                rest = [words[i] for i in tail.tolist()]
-                of[tail] = [shared_class(w) for w in rest]
-                for k, x in zip(out, (row, doc_id, is_held_out(doc_id), len(ids), len(known), float(logs[known].sum()), float(logs[known[known < SHORT]].sum()), of.tobytes()), strict=True):
+                of = np.empty(len(ids), np.uint32)
+                of[ids >= 0] = codes[known]
+                unknown = [words[i] for i in tail.tolist()]
+                of[tail] = [own + spelled(w, groups) for w in unknown]
+                shared = rest[of[of >= own].astype(np.int64) - own].sum()
+                for k, x in zip(out, (row, doc_id, deal, is_held_out(doc_id), len(ids), len(known), float(logs[known].sum()), float(logs[known[known < own]].sum()), float(shared), of.tobytes()), strict=True):
                     out[k].append(x)
-                tails.append([{"token": t, "tf": n} for t, n in Counter(rest).items()])
+                tails.append([{"token": t, "tf": n} for t, n in Counter(unknown).items()])
                 row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
             arrays = [pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails, pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))], names=[*out, "tail"])
 
-    return docs.mapInArrow(encode, ENCODED)
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text").mapInArrow(encode, ENCODED)
 
 
-CLASSES, BEGIN = SHORT + SHARED, SHORT + SHARED
+class Contexts:
+    """What stands before each token of a run of documents: the codes one and two places back, and where the window starts."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, begin: int):
+        place = np.arange(len(codes))
+        self.codes, self.place = codes, place
+        self.one = np.where(place - 1 >= starts, np.roll(codes, 1), begin)
+        self.two = np.where(place - 2 >= starts, np.roll(codes, 2), begin)
+        self.low = np.maximum(starts, place - WINDOW)
+        self.many = np.maximum(1, place - self.low).astype(np.float32)[:, None]
+
+
+def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different places among `at`, and the sums of the rows of each."""
+    order = np.argsort(at, kind="stable")
+    placed = at[order]
+    first = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
+    return placed[first], np.add.reduceat(rows[order], first)
 
 
 @dataclass
 class LogBilinear:
-    """context: vectors of classes as context, the last for the start; target and bias: of classes as predicted; first, second:
-    matrices for the class one and two places back."""
+    """context: vectors of codes as context; target: of classes, and member: of members, each with a bias behind; mix: matrices
+    for the code one and two places back and the window's mean. sums: of each row's squared gradients, on average."""
 
     context: np.ndarray
     target: np.ndarray
-    bias: np.ndarray
-    first: np.ndarray
-    second: np.ndarray
+    member: np.ndarray
+    mix: np.ndarray
+    sums: list[np.ndarray]
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @classmethod
-    def start(cls, noise: np.ndarray, size: int = SIZE, seed: int = 5) -> LogBilinear:
+    def start(cls, layout: Layout, size: int = SIZE, seed: int = 5) -> LogBilinear:
         draw = np.random.default_rng(seed)
+        small = lambda n: draw.normal(0, 0.1, (n, size)).astype(np.float32)
+        bias = lambda share: np.log(share).astype(np.float32)
         eye = np.eye(size, dtype=np.float32)
-        small = lambda *shape: draw.normal(0, 0.1, shape).astype(np.float32)
-        return cls(small(CLASSES + 1, size), small(CLASSES, size), np.log(noise).astype(np.float32), eye.copy(), 0.5 * eye)
+        parts = [small(layout.begin + 1), np.column_stack([small(layout.classes), bias(layout.class_share)]), np.column_stack([np.zeros((layout.members, size), np.float32), bias(layout.member_share)]), np.concatenate([eye, 0.5 * eye, eye])]
+        return cls(*parts, [np.full(len(p), 0.1, np.float32) for p in parts])
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias[:, None], self.first, self.second]
-
-    def train(self, target: np.ndarray, one: np.ndarray, two: np.ndarray, noise: np.ndarray, draw: np.random.Generator, state: list[np.ndarray], rate: float = 0.1) -> None:
-        """One noise-contrastive step on a batch, with noise samples that its tokens share; state: sums of squared gradients."""
-        sample = np.searchsorted(np.cumsum(noise), draw.random(NOISE)).clip(0, CLASSES - 1)
-        level = np.log(noise * RATIO).astype(np.float32)
-        a, b = self.context[one], self.context[two]
-        q, n = a @ self.first + b @ self.second, np.float32(1 / len(target))
-        good = (q * self.target[target]).sum(1) + self.bias[target] - level[target]
-        bad = q @ self.target[sample].T + self.bias[sample] - level[sample]
-        dg = (-n / (1 + np.exp(good))).astype(np.float32)
-        db = (n * RATIO / NOISE / (1 + np.exp(-bad))).astype(np.float32)
-        dq = dg[:, None] * self.target[target] + db @ self.target[sample]
-        grads = [np.zeros_like(self.context), np.zeros_like(self.target), np.zeros_like(self.bias[:, None]), a.T @ dq, b.T @ dq]
-        _scatter(grads[0], one, dq @ self.first.T)
-        _scatter(grads[0], two, dq @ self.second.T)
-        _scatter(grads[1], target, dg[:, None] * q)
-        np.add.at(grads[1], sample, db.T @ q)
-        grads[2][:, 0] = np.bincount(target, dg, CLASSES)
-        np.add.at(grads[2][:, 0], sample, db.sum(0))
-        for p, g, s in zip([self.context, self.target, self.bias[:, None], self.first, self.second], grads, state, strict=True):
-            s += g * g
-            p -= rate * g / np.sqrt(s + 1e-10)
-
-    def log_normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        s = (self.context[one] @ self.first + self.context[two] @ self.second) @ self.target.T + self.bias
-        top = s.max(1)
-        return top + np.log(np.exp(s - top[:, None]).sum(1))
-
-
-def _scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Adds rows to out at places that repeat."""
-    order = np.argsort(at, kind="stable")
-    places, first = np.unique(at[order], return_index=True)
-    out[places] += np.add.reduceat(rows[order], first)
-
-
-def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The classes of all sequences, and the classes one and two places before each."""
-    whole = np.concatenate(sequences).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in sequences])[:-1]])
-    one, two = np.roll(whole, 1), np.roll(whole, 2)
-    one[starts] = two[starts] = BEGIN
-    second = starts + 1
-    two[second[second < len(two)]] = BEGIN
-    return whole, one, two
-
-
-def fit_model(rows: DataFrame, noise: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
-    """Trains on the classes of all training documents; each round takes its share of them."""
-    spark, model = rows.sparkSession, LogBilinear.start(noise)
-    width = SIZE
+        return [self.context, self.target, self.member, self.mix]
+
+    def matrices(self) -> np.ndarray:
+        return self.mix.reshape(3, -1, self.mix.shape[1])
+
+    def predicted(self, c: Contexts) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The predicted vector of each place, and the three that it is made of."""
+        run = np.zeros((len(c.codes) + 1, self.mix.shape[1]))
+        np.cumsum(self.context[c.codes], axis=0, dtype=np.float64, out=run[1:])
+        made = [self.context[c.one], self.context[c.two], ((run[c.place] - run[c.low]) / c.many).astype(np.float32)]
+        return sum(x @ m for x, m in zip(made, self.matrices(), strict=True)), made
+
+    def log_probabilities(self, codes: np.ndarray, starts: np.ndarray, layout: Layout) -> np.ndarray:
+        """Natural logarithms for each place; those of a shared member are of the member as a whole."""
+        size = self.mix.shape[1]
+        q, _ = self.predicted(Contexts(codes, starts, layout.begin))
+        classes, members = layout.class_of[codes], layout.member_of[codes]
+        out, across, bias = np.empty(len(q)), np.ascontiguousarray(self.target[:, :size].T), self.target[:, size]
+        for at in range(0, len(q), 1024):
+            s = q[at : at + 1024] @ across
+            s += bias
+            out[at : at + 1024] = _normalised(s, classes[at : at + 1024])
+        within = np.flatnonzero(members >= 0)
+        within = within[np.argsort(classes[within], kind="stable")]
+        group = classes[within] - layout.single
+        cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            first, last, at = layout.first[group[a]], layout.first[group[a] + 1], within[a:b]
+            s = q[at] @ self.member[first:last, :size].T
+            s += self.member[first:last, size]
+            out[at] += _normalised(s, members[at] - first)
+        return out
+
+
+def _normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row of s at one column; s is overwritten."""
+    own, top = s[np.arange(len(s)), at], s.max(1)
+    s -= top[:, None]
+    np.exp(s, out=s)
+    return own - top - np.log(s.sum(1))
+
+
+class Trainer:
+    """Noise-contrastive steps on a model of its own; counts how often each row of a part has changed."""
+
+    def __init__(self, model: LogBilinear, layout: Layout, seed: int):
+        self.model = LogBilinear(*(p.copy() for p in model.parts()), [])
+        self.layout, self.draw = layout, np.random.default_rng(seed)
+        self.state = [np.repeat(s[:, None], p.shape[1], 1) for s, p in zip(model.sums, model.parts(), strict=True)]
+        self.touched = [np.zeros(len(p), np.int64) for p in model.parts()]
+        self.class_level = np.log(layout.class_share * RATIO).astype(np.float32)
+        self.member_level = np.log(layout.member_share * RATIO).astype(np.float32)
+        self.class_places, self.member_places = np.cumsum(layout.class_share), layout.places()
+
+    def _change(self, part: int, at: np.ndarray, g: np.ndarray, rate: float = RATE) -> None:
+        s = self.state[part][at]
+        s += g * g
+        self.state[part][at] = s
+        self.model.parts()[part][at] -= np.float32(rate) * g / np.sqrt(s + np.float32(1e-8))
+        self.touched[part][at] += 1
+
+    def step(self, codes: np.ndarray, starts: np.ndarray) -> None:
+        m, lay, n = self.model, self.layout, len(codes)
+        size = m.mix.shape[1]
+        c = Contexts(codes, starts, lay.begin)
+        q, made = m.predicted(c)
+        q = np.column_stack([q, np.ones(n, np.float32)])
+        classes, members = lay.class_of[codes], lay.member_of[codes]
+        # classes against noise classes that the batch shares
+        noise = np.searchsorted(self.class_places, self.draw.random(NOISE)).clip(0, lay.classes - 1)
+        own, other = m.target[classes], m.target[noise]
+        good = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - self.class_level[classes]))
+        bad = RATIO / NOISE / (1 + np.exp(self.class_level[noise] - q @ other.T))
+        dq = good[:, None] * own + bad @ other
+        target = _scatter(np.concatenate([classes, noise]), np.concatenate([good[:, None] * q, bad.T @ q]))
+        # members against noise members of the same class
+        at = np.flatnonzero(members >= 0)
+        if len(at):
+            right, x = members[at], q[at]
+            noise = np.searchsorted(self.member_places, (classes[at] - lay.single)[:, None] + self.draw.random((len(at), MEMBERS))).clip(0, lay.members - 1)
+            own, other = m.member[right], m.member[noise]
+            good = -1 / (1 + np.exp(np.einsum("ij,ij->i", x, own) - self.member_level[right]))
+            bad = RATIO / MEMBERS / (1 + np.exp(self.member_level[noise] - np.matmul(other, x[:, :, None])[:, :, 0]))
+            dq[at] += good[:, None] * own + np.matmul(bad[:, None, :], other)[:, 0]
+            rows = np.concatenate([good[:, None] * x, (bad[:, :, None] * x[:, None, :]).reshape(-1, size + 1)])
+            member = _scatter(np.concatenate([right, noise.ravel()]), rows)
+        dq = dq[:, :size]
+        first, second, mean = m.matrices()
+        mix = np.concatenate([x.T @ dq for x in made])
+        # each code's vector stands one and two places back of the next ones, and in their windows
+        one, two, window = dq @ first.T, dq @ second.T, dq @ mean.T / c.many
+        begin = one[c.one == lay.begin].sum(0) + two[c.two == lay.begin].sum(0)
+        one[c.one == lay.begin] = 0
+        two[c.two == lay.begin] = 0
+        edge = -window
+        lows = np.flatnonzero(np.append(True, c.low[1:] != c.low[:-1]))
+        edge[c.low[lows]] += np.add.reduceat(window, lows)
+        dx = np.cumsum(edge, axis=0)
+        dx[:-1] += one[1:]
+        dx[:-2] += two[2:]
+        self._change(0, *_scatter(np.append(codes, lay.begin), np.concatenate([dx, begin[None]])))
+        self._change(1, *target)
+        if len(at):
+            self._change(2, *member)
+        self._change(3, np.arange(len(mix)), mix, RATE / 10)
+
+    def train(self, documents: Iterator[np.ndarray]) -> int:
+        """Batches of one size over all documents one after another, and the rest; returns the tokens."""
+        held, starts, n, total = [], [], 0, 0
+
+        def run(least: int) -> None:
+            nonlocal held, starts, n
+            codes, begins, at = np.concatenate(held).astype(np.int64), np.concatenate(starts), 0
+            while n - at >= least:
+                part = slice(at, at + BATCH)
+                self.step(codes[part], np.maximum(begins[part] - at, 0))
+                at = min(n, at + BATCH)
+            held, starts, n = [codes[at:]], [np.maximum(begins[at:] - at, 0)], n - at
+
+        for codes in documents:
+            held.append(codes)
+            starts.append(np.full(len(codes), n))
+            n += len(codes)
+            total += len(codes)
+            if n >= 16 * BATCH:
+                run(BATCH)
+        if n:
+            run(1)
+        return total
+
+
+PIECES = "block int, part int, places binary, weights binary, rows binary"
+
+
+def _pieces(trainer: Trainer, shard: int) -> Iterator[pa.RecordBatch]:
+    """The changed rows: parameters, bias (or 0) and mean of the AdaGrad sums, by blocks of all parts' rows one after another."""
+    size, start = trainer.model.mix.shape[1], 0
+    for p, s, n in zip(trainer.model.parts(), trainer.state, trainer.touched, strict=True):
+        at = np.flatnonzero(n)
+        rows = np.zeros((len(at), size + 2), np.float32)
+        rows[:, : p.shape[1]], rows[:, -1] = p[at], s[at].mean(1)
+        at = at + start
+        start += len(p)
+        cut = np.flatnonzero(np.concatenate([[True], at[1:] // BLOCK != at[:-1] // BLOCK, [True]])) if len(at) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            values = [int(at[a]) // BLOCK], [shard], [at[a:b].tobytes()], [n[at[a:b] - start + len(p)].astype(np.float64).tobytes()], [rows[a:b].tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "part", "places", "weights", "rows"])
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """One block's rows of up to FAN shards as one, averaged by weight; the order of the shards settles the rounding."""
+    found = sorted(zip(*(table[c].to_pylist() for c in ("part", "places", "weights", "rows")), strict=True), key=lambda x: (x[0], x[1]))
+    at, w = (np.concatenate([np.frombuffer(x[k], t) for x in found]) for k, t in ((1, np.int64), (2, np.float64)))
+    rows = np.concatenate([np.frombuffer(x[3], np.float32).reshape(len(x[1]) // 8, -1) for x in found])
+    places, sums = _scatter(at, np.column_stack([w, w[:, None] * rows]))
+    values = [table["block"][0].as_py()], [found[0][0] // FAN], [places.tobytes()], [sums[:, 0].tobytes()], [(sums[:, 1:] / sums[:, :1]).astype(np.float32).tobytes()]
+    return pa.table(dict(zip(("block", "part", "places", "weights", "rows"), (pa.array(x, t) for x, t in zip(values, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)), strict=True)))
+
+
+def fit_model(rows: DataFrame, vocabulary, rounds: int | None = None) -> LogBilinear:
+    """Trains on the codes of all training documents: once through in two rounds of averaging, small corpora more often."""
+    context, v = rows.sparkSession.sparkContext, vocabulary.value
+    layout = Layout(v)
+    model, shards = LogBilinear.start(layout), max(1, round(v.total / (SHARD * max(1, v.own))))
+    passes = min(PASSES, max(1, math.ceil(ENOUGH / max(1, v.total))))
+    rounds, of = rounds or max(2, passes), 1 if passes > 1 or rounds == 1 else 2
+    shard, order = F.pmod("deal", F.lit(shards)).cast("int"), F.xxhash64(F.lit(1), "deal")
     for k in range(rounds):
-        given = spark.sparkContext.broadcast(model)
+        given = context.broadcast(model)
 
         def fit(batches: Iterator[pa.RecordBatch], k=k, given=given) -> Iterator[pa.RecordBatch]:
-            import copy
-
-            own, draw, tokens = copy.deepcopy(given.value), np.random.default_rng(17 + k), 0
-            state = [np.zeros_like(p) for p in own.parts()]
-            for batch in slices(batches):
-                seqs = [np.frombuffer(x, np.uint16) for r, x in zip(column(batch, "row").to_pylist(), column(batch, "classes").to_pylist(), strict=True) if r % rounds == k]
-                if not seqs:
-                    continue
-                target, one, two = contexts(seqs)
-                order = draw.permutation(len(target))
-                for at in range(0, len(order), BATCH):
-                    i = order[at : at + BATCH]
-                    if len(i) >= BATCH // 8 or not tokens:
-                        own.train(target[i], one[i], two[i], noise, draw, state)
-                        tokens += len(i)
-            if tokens:
-                flat = np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in own.parts()])
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(flat)), pa.int32()), pa.array([float(tokens)] * len(flat)), pa.array(list(flat.astype(np.float64)), pa.list_(pa.float64()))], names=["k", "w", "v"])
-
-        fitted = rows.where("not held_out").select("row", "classes").mapInArrow(fit, "k int, w double, v array<double>")
-        sums = fitted.groupBy("k").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.col("v")[j]).alias(f"v{j}") for j in range(width)))
-        mean = sums.orderBy("k").collect()  # as many rows as the model has
+            trainer, mine = None, 0
+
+            def documents() -> Iterator[np.ndarray]:
+                nonlocal mine
+                for batch in slices(batches):
+                    mine = column(batch, "shard")[0].as_py() if batch.num_rows else mine
+                    for x in column(batch, "codes").to_pylist():
+                        yield np.frombuffer(x, np.uint32)
+
+            trainer = Trainer(given.value, Layout(vocabulary.value), 17 + k)
+            if trainer.train(documents()):
+                yield from _pieces(trainer, mine)
+
+        mine = rows.where("not held_out").where(F.pmod(F.xxhash64(F.lit(2), "deal"), F.lit(of)) == k % of)
+        dealt = mine.select(shard.alias("shard"), order.alias("order"), "codes").repartitionById(shards, F.col("shard")).sortWithinPartitions("order")
+        made, parts = dealt.mapInArrow(fit, PIECES), shards
+        while True:
+            made = made.groupBy("block", F.floor(F.col("part") / FAN).alias("fan")).applyInArrow(_averaged, PIECES)
+            parts = -(-parts // FAN)
+            if parts == 1:
+                break
+        found = made.toArrow()  # as many rows as the model has
         given.unpersist()
-        if mean:
-            flat = np.array([[r[f"v{j}"] / r["w"] for j in range(width)] for r in mean], np.float32)
-            parts, at = [], 0
-            for p in model.parts():
-                parts.append(np.ascontiguousarray(flat[at : at + len(p), : p.shape[1]]))
-                at += len(p)
-            model = LogBilinear(parts[0], parts[1], parts[2][:, 0].copy(), parts[3], parts[4])
+        parts, sums = [p.copy() for p in model.parts()], [s.copy() for s in model.sums]
+        at = np.concatenate([np.frombuffer(x, np.int64) for x in found["places"].to_pylist()] or [np.empty(0, np.int64)])
+        new = np.concatenate([np.frombuffer(x, np.float32) for x in found["rows"].to_pylist()] or [np.empty(0, np.float32)]).reshape(len(at), -1)
+        start = 0
+        for p, s in zip(parts, sums, strict=True):
+            inside = (at >= start) & (at < start + len(p))
+            p[at[inside] - start], s[at[inside] - start] = new[inside, : p.shape[1]], new[inside, -1]
+            start += len(p)
+        model = LogBilinear(*parts, sums)
     return model
 
 
-_NORMALISERS: dict = {}
+_LAYOUTS: dict = {}
 
 
-def class_scores(rows: DataFrame, model, vocabulary) -> DataFrame:
-    """row, and the log10 probability of its classes less the log10 weights of the shared ones."""
+def _layout(v: Vocabulary) -> Layout:
+    if v.name not in _LAYOUTS:
+        _LAYOUTS.clear()
+        _LAYOUTS[v.name] = Layout(v)
+    return _LAYOUTS[v.name]
+
+
+def code_scores(rows: DataFrame, model, vocabulary) -> DataFrame:
+    """row, and the log10 probability of its codes."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, weights = model.value, vocabulary.value.shared
-        if m.name not in _NORMALISERS:
-            _NORMALISERS.clear()
-            _NORMALISERS[m.name] = np.full((CLASSES + 1) ** 2, np.nan, np.float32)
-        kept, ln10 = _NORMALISERS[m.name], np.log(10)
-        a, b = m.context @ m.first, m.context @ m.second
-        share = np.concatenate([np.zeros(SHORT), np.log10(weights)])
-        for batch in slices(batches, 64):
-            seqs = [np.frombuffer(x, np.uint16) for x in column(batch, "classes").to_pylist()]
+        m, layout, run = model.value, _layout(vocabulary.value), 65_536
+        for batch in slices(batches):
+            seqs = [np.frombuffer(x, np.uint32) for x in column(batch, "codes").to_pylist()]
             if not seqs:
                 continue
-            target, one, two = contexts(seqs)
-            code = one * (CLASSES + 1) + two
-            new = np.unique(code[np.isnan(kept[code])])
-            for at in range(0, len(new), 4096):
-                c = new[at : at + 4096]
-                kept[c] = m.log_normalisers(c // (CLASSES + 1), c % (CLASSES + 1))
-            got = ((a[one] + b[two]) * m.target[target]).sum(1) + m.bias[target] - kept[code]
-            each = got.astype(np.float64) / ln10 - share[target]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in seqs])[:-1]])
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(np.add.reduceat(each, starts))], names=["row", "nn"])
+            codes, lengths = np.concatenate(seqs).astype(np.int64), np.fromiter(map(len, seqs), np.int64, len(seqs))
+            first = np.cumsum(lengths) - lengths
+            starts, each = np.repeat(first, lengths), np.empty(len(codes))
+            for at in range(0, len(codes), run):
+                low = max(0, at - WINDOW)  # what stands before the run only as context
+                part = slice(low, at + run)
+                each[at : at + run] = m.log_probabilities(codes[part], np.maximum(starts[part] - low, 0), layout)[at - low :]
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(np.add.reduceat(each, first) / np.log(10))], names=["row", "nn"])
 
-    return rows.select("row", "classes").mapInArrow(score, "row long, nn double")
+    return rows.select("row", "codes").mapInArrow(score, "row long, nn double")
 
 
-def score_documents(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+@scoped
+def score_documents(docs: DataFrame, head: int | None = None, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -312,13 +500,15 @@ def score_documents(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS) ->
     fitted = fit_vocabulary(counts, head)
     vocabulary = spark.sparkContext.broadcast(fitted)
     rows = staged(encoded(docs, vocabulary), "encoded")
-    model = spark.sparkContext.broadcast(fit_model(rows, fitted.noise(), rounds))
     tail = rows.select("row", F.explode("tail").alias("t")).select("row", "t.token", "t.tf").join(counts, "token", "left")
     tail = tail.groupBy("row").agg(F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("tail_log"), F.sum(F.when(F.col("c") > 0, F.col("tf"))).alias("tail_known"))
-    whole = rows.drop("classes", "tail").join(class_scores(rows, model, vocabulary), "row").join(tail, "row", "left")
-    rare = F.coalesce("tail_log", F.lit(0.0))
-    base = F.col("head_log") + rare - F.col("n_tokens") * float(np.log10(fitted.weight))
-    score = F.col("nn") + F.col("head_log") - F.col("short_log") + rare if fitted.total else base
+    whole = rows.drop("codes", "tail").join(tail, "row", "left")
+    base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(fitted.weight))
+    score = base
+    if fitted.total:
+        model = spark.sparkContext.broadcast(fit_model(rows, vocabulary, rounds))
+        whole = whole.join(code_scores(rows, model, vocabulary), "row")
+        score = F.col("nn") + F.col("head_log") - F.col("own_log") + F.coalesce("tail_log", F.lit(0.0)) - F.col("rest_log")
     return whole.select("doc_id", "held_out", "n_tokens", (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(fitted.total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"))
 
 
