@@ -8,9 +8,12 @@ a kd-tree of its own in a worker. A query first searches its own cell, whose k-t
 the cells that the test does not rule out; in each, leaves are taken in the order of projected distance, their vectors
 that pass the test are verified by exact distance in double precision, and the search stops by the same test.
 
-Every row is indexed. Of equal vectors the k + 1 smallest ids take part, which is all that an answer can hold. Vectors that
+Every row is indexed. Of equal vectors the k + 1 smallest ids take part, which is all that an answer can hold; they are told by 128 bits of hash. Vectors that
 are null, zero, of another size than most, or hold null or non-finite components take no part, nor do rows without an
-id. Ties go to the smaller id. Cells that outgrow their block are dealt into several, so no group grows with the data.
+id. Ties go to the smaller id. Extra columns are ignored. Cells grow in number with the vectors up to a bound and then in
+size; only a cell with more vectors than a task should hold is dealt into several blocks, all of which its queries meet,
+and only a cell that very many queries meet is written more than once, so that no group grows with the data and what
+is written stays near the number of vectors.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import scoped, staged
 
 #: Projected dimensions (even), chance that the test keeps a true neighbour, vectors of a block, of a leaf.
 DIMENSIONS, CHANCE, BLOCK, LEAF = 8, 0.995, 1_024, 32
-#: Projections that the cells are fitted on at most, cells at most, queries that meet a block at once.
-SAMPLE, CELLS, QUERIES = 20_000, 4_096, 20_000
+#: Projections that the cells are fitted on at most, cells at most; vectors that a task holds, queries that meet them at once.
+SAMPLE, CELLS, ROWS, QUERIES = 20_000, 4_096, 65_536, 50_000
+#: Tables up to so many rows of 24 bytes are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def chi2_quantile(p: float, degrees: int) -> float:
@@ -125,7 +130,7 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def _search(blocks: DataFrame, wanted: DataFrame, project: np.ndarray, k: int, quantile: float) -> DataFrame:
-    """blocks: block, id, v; wanted: block, id, v, bound. Returns query_id, vec_id, score, and full: whether k were found."""
+    """blocks: block, id, v; wanted: block, id, v, bound. Returns query_id, vec_id, score."""
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -134,25 +139,48 @@ def _search(blocks: DataFrame, wanted: DataFrame, project: np.ndarray, k: int, q
             queries = np.stack(right["v"])
             for own, q, p, bound in zip(right["id"].to_numpy(), queries, queries @ project, right["bound"].to_numpy(), strict=True):
                 ids, found = block.search(own, q, p, k, bound, quantile)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": found, "full": len(ids) == k}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "full": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "full": "bool"})
-
-    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(search, "query_id long, vec_id long, score double, full boolean")
-
-
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": found}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(search, "query_id long, vec_id long, score double")
+
+
+def without_copies(rows: DataFrame, k: int) -> DataFrame:
+    """Of each group of equal vectors the k with the smallest ids. Only hashes and ids are shuffled to find the k-th of large groups."""
+    hashed = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    order = W.partitionBy("h1", "h2").orderBy("id")
+    large = hashed.select("h1", "h2", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select("h1", "h2", F.col("id").alias("last"))
+    large = staged(large, "copies")
+    if large.isEmpty():
+        return rows
+    small = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    return hashed.join(small, ["h1", "h2"], "left").where("last is null or id <= last").select("id", "v")
+
+
+def _dealt(vectors: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a block: crowded cells are dealt by id, and their queries meet all parts; where very many queries meet
+    a cell they are dealt, and the cell's vectors are written for each part. One row for each cell is counted and broadcast."""
+    full, met = vectors.groupBy("cell").agg(F.count("*").alias("rows")), wanted.groupBy("cell").agg(F.count("*").alias("met"))
+    plan = full.join(met, "cell").select("cell", F.ceil(F.col("rows") / ROWS).alias("salts"), F.ceil(F.col("met") / QUERIES).alias("parts"))
+    plan = F.broadcast(staged(plan, "cells"))  # proven bound: CELLS rows
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    block = F.struct("cell", "salt", "part").alias("block")
+    left = vectors.join(plan, "cell").withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).withColumn("part", every("parts"))
+    right = wanted.join(plan, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts")).withColumn("salt", every("salts"))
+    return left.select(block, "id", "v"), right.select(block, "id", "v", "bound")
+
+
+@scoped
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, dimensions: int = DIMENSIONS, chance: float = CHANCE, block: int = BLOCK, seed: int = 3) -> DataFrame:
     """The k nearest rows (id, v) of each query (id, v) other than itself: query_id, rank, vec_id, score."""
-    same = W.partitionBy("v").orderBy("id")
-    rows = staged(rows.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n"), "vectors")
-    queries = staged(queries, "queries")
-    n, n_queries = rows.count(), queries.count()
+    rows = staged(without_copies(rows.select("id", "v"), k + 1), "vectors")
+    queries = staged(queries.select("id", "v"), "queries")
+    n = rows.count()
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
-    if not sample or not n_queries:
+    if not sample or queries.isEmpty():
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     project, quantile = projection(len(sample[0]), dimensions, seed), chi2_quantile(chance, dimensions)
     cells, _ = kd_cells(np.array(sample) @ project, min(CELLS, 1 << max(0, int(np.ceil(np.log2(n / block))))))
-    salts = max(1, -(-n // (len(cells.low) * block * 2)))
-    parts = max(1, -(-n_queries // QUERIES))
 
     @F.pandas_udf("int")
     def home(v: pd.Series) -> pd.Series:
@@ -165,16 +193,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, dimensions: int =
         far[np.arange(len(own)), own] = np.inf
         return pd.Series([np.flatnonzero((f < np.inf) & (f <= quantile * b * b)).astype("int32") for f, b in zip(far, bound, strict=True)])
 
-    salt, part = F.pmod(F.xxhash64("id"), F.lit(salts)), F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    placed = staged(rows.withColumn("cell", home("v")).withColumn("salt", salt).withColumn("part", spread(parts)).select(F.struct("cell", "salt", "part").alias("block"), "id", "v"), "blocks")
-    asked = queries.withColumn("cell", home("v")).withColumn("part", part).withColumn("salt", spread(salts))
-    block_of = F.struct("cell", "salt", "part")
-    first = staged(_search(placed, asked.select(block_of.alias("block"), "id", "v", F.lit(float("inf")).alias("bound")), project, k, quantile), "first")
-    bounds = first.where("full").groupBy("query_id", "full").agg(F.max("score").alias("bound")) if salts == 1 else _kth(first, k)
-    known = queries.join(bounds.select(F.col("query_id").alias("id"), "bound"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    wider = known.withColumn("cell", F.explode(others("v", "bound"))).withColumn("part", part).withColumn("salt", spread(salts))
-    second = _search(placed, wider.select(block_of.alias("block"), "id", "v", "bound"), project, k, quantile)
+    placed = staged(rows.select("id", "v", home("v").alias("cell")), "placed")
+    own = queries.select("id", "v", home("v").alias("cell"), F.lit(float("inf")).alias("bound"))
+    first = staged(_search(*_dealt(placed, own), project, k, quantile), "first")
+    known = queries.join(_kth(first, k).withColumnRenamed("query_id", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    wider = staged(known.select("id", "v", F.explode(others("v", "bound")).alias("cell"), "bound"), "wider")
+    second = _search(*_dealt(placed, wider), project, k, quantile)
     order = W.partitionBy("query_id").orderBy("score", "vec_id")
     return first.union(second).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
