@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORDS, column, documents, mix64, slices, staged, text_bytes, windows
+from ._common import WORD, WORDS, column, documents, mix64, scoped, slices, staged, text_bytes, windows
 
 BINS, BANDS, ROWS = 256, 42, 6
 #: Up to so many 8-byte ids are broadcast to fetch texts (2 MB); beyond it the ids are joined by a shuffle.
@@ -163,6 +163,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+@scoped
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """For each row of docs(doc_id, text): doc_id, hash (of the text), n_shingles, group (the component's key), component_id, kept."""
     signed = staged(signatures(docs, n), "signed")
@@ -201,10 +202,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return out.select("doc_id", "hash", "n_shingles", F.coalesce("label", "key").alias("group"), F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@scoped
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, less all but one of each group: the one with the smallest doc_id, nulls last.
 
-    Rows alike in doc_id and text are one document.
+    Rows alike in doc_id and text are one document, but for blank ones, which are linked with nothing and all stay.
     """
     found = staged(near_duplicates(docs, n, percent), "groups")
     row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")
@@ -215,8 +217,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         lost = F.broadcast(lost)
     rows = docs.withColumn("__loom_hash", F.xxhash64("text"))
     kept = rows.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_hash") == F.col("__loom_lost")), "left_anti")
-    if not found.groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__loom_hash"])
+    if not found.where("n_shingles > 0").groupBy("doc_id", "hash").count().where("count > 1").isEmpty():
+        worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+        kept = kept.where(worded).dropDuplicates(["doc_id", "__loom_hash"]).union(kept.where(~worded))
     return kept.drop("__loom_hash")
 
 

@@ -23,6 +23,8 @@ HOSTILE = [
     (None, "a row without an id that has several words in it", "en", "c"), (None, None, None, None), (5, LONG, "en", "a"),
     (6, "Ünïcödé — 日本 ▁ \x1c tab\tline\r\nend \U0001f600 <|endoftext|>", "xx", "\U0001f600"), (7, "one two three four five six seven eight nine ten", "en", "b"),
 ]
+#: Texts with the added token of the byte-level tokenizer: alone, doubled, beside spaces and inside words.
+SPECIAL = ["<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> b", " <|endoftext|>\n\n <|endoftext|>", "x<|endoftext|>y  z<|endoftext", "é <|endoftext|>\t日本  <|endoftext|>", "<|endoftext<|endoftext|>|>"]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -153,6 +155,53 @@ def test_neighbours_in_many_blocks(spark):
     assert hits >= 0.9 * 60
 
 
+def test_recall_on_a_larger_table(spark):
+    path = "/root/testdata/sf0.01"
+    rows = queries.QUERIES["op2_nearest_neighbours"](spark, path).collect()
+    given = [(r.vec_id, np.array(r.embedding, float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
+    ids, vectors = np.array([g[0] for g in given]), np.stack([g[1] for g in given])
+    mine, hits, total = defaultdict(set), 0, 0
+    for r in rows:
+        mine[r.query_id].add(r.vec_id)
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((vectors - vectors[ids == q][0]) ** 2).sum(1))
+        best = {int(ids[i]) for i in np.lexsort((ids, d))[:11] if ids[i] != q}
+        hits, total = hits + len(mine[q] & best), total + 10
+    assert hits / total >= 0.9
+
+
+def test_little_is_written_twice(spark, monkeypatch):
+    """Crowded cells are dealt and much met ones written again, and the rest of the vectors stays as it is."""
+    draw = np.random.default_rng(2)
+    vectors = np.concatenate([draw.normal(size=(900, 6)), 0.01 * draw.normal(size=(300, 6))])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>")
+    monkeypatch.setattr(ann, "ROWS", 100)
+    monkeypatch.setattr(ann, "QUERIES", 30)
+    written, real = [], ann._dealt
+
+    def dealt(*sides):
+        out = real(*sides)
+        written.append((out[0].count(), out[1].count()))
+        return out
+
+    monkeypatch.setattr(ann, "_dealt", dealt)
+    got = defaultdict(set)
+    for r in ann.nearest(frame, frame.where("id % 20 = 0"), k=5, block=32).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(a <= 3 * 1200 and b <= 60 * 64 for a, b in written), written
+    hits = 0
+    for q in range(0, 1200, 20):
+        d = np.sqrt(((vectors - vectors[q]) ** 2).sum(1))
+        hits += len({int(i) for i in np.lexsort((np.arange(1200), d))[:6] if i != q} & got[q])
+    assert hits >= 0.9 * 300
+
+
+def test_clashing_columns_of_vectors(spark):
+    rows = spark.createDataFrame([(i, [float(i + 1), 1.0], 0, 0, 0, 0, 0, 0) for i in range(30)], "vec_id long, embedding array<double>, id int, v int, cell int, block int, h1 int, rank int")
+    usable = ann.usable(rows, "vec_id", "embedding")
+    assert [(r.rank, r.vec_id) for r in ann.nearest(usable, usable.where("id = 0"), k=2).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
 def test_vectors_that_take_no_part(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [2.0, 0.0]), (8, [2.0, 0.0]), (100, [1.0, 0.0])]
     usable = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
@@ -171,16 +220,18 @@ def test_chi_square():
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, hostile, rule):
     path = tokenizer_path("byte_bpe_50k.json")
-    enc = encoder(path)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
     cuts = lambda text: np.array(sorted({0, *range(3, len(text), 7)}))
-    rows = spark.createDataFrame([(i, (t or "")[:4000]) for i, (_, t, *_) in enumerate(HOSTILE)], "doc_id long, text string")
+    given = [(t or "")[:4000] for _, t, *_ in HOSTILE] + SPECIAL
+    rows = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
     got = {(r.doc_id, r.section): r for r in token_counts.count_tokens(rows, path, rule, cuts).collect()}
-    for i, (_, t, *_) in enumerate(HOSTILE):
-        text = (t or "")[:4000]
+    for i, text in enumerate(given):
         starts = cuts(text).tolist()
         want, crossing = Counter(), Counter()
         section = lambda x, s=starts: max(k for k, a in enumerate(s) if a <= x)
-        for a, b in enc.tokenizer.encode(text, add_special_tokens=False).offsets:
+        for a, b in plain.encode(text, add_special_tokens=False).offsets:
             share = Counter(section(x) for x in range(a, max(b, a + 1)))
             owner = {"start": min(share), "end": max(share), "most": min(share, key=lambda k: (-share[k], k))}[rule]
             want[owner] += 1
@@ -284,26 +335,82 @@ def test_base_scores(hostile, head):
     got = lm_scoring.score_documents(hostile, head=head, rounds=1).collect()
     key = lambda x: (str(x[0]), x[2], round(x[5], 6))
     for a, b in zip(sorted(map(tuple, got), key=key), sorted(brute_base(HOSTILE), key=key), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and math.isfinite(a[6]) and a[6] < 0
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and math.isfinite(a[6]) and a[6] < 1e-6
+
+
+def plain_score(v, layout, m, text, counts):
+    """A text's score by a plain softmax over all classes and then over all members of the class, token by token."""
+    ids, total, before = {t: i for i, t in enumerate(v.tokens[: v.own])}, 0.0, []
+    soft = lambda rows, q: (lambda s: s - np.log(np.exp(s - s.max()).sum()) - s.max())(rows[:, :-1].astype(float) @ q + rows[:, -1])
+    first, second, mean = m.matrices().astype(float)
+    for w in [*(text.translate(LOWER).encode().split()), b"\n"]:
+        code = ids.get(w, v.own + lm_scoring.spelled(w, layout.groups))
+        back = lambda k, before=before: m.context[before[-k] if len(before) >= k else layout.begin].astype(float)
+        window = [m.context[c].astype(float) for c in before[-lm_scoring.WINDOW :]]
+        q = back(1) @ first + back(2) @ second + (np.mean(window, 0) @ mean if window else 0)
+        total += soft(m.target, q)[layout.class_of[code]]
+        if layout.member_of[code] >= 0:
+            group = layout.class_of[code] - layout.single
+            a, b = layout.first[group], layout.first[group + 1]
+            total += soft(m.member[a:b], q)[layout.member_of[code] - a]
+            if w not in ids:
+                total += math.log((counts.get(w, 0) + 0.5) / v.rest[group])
+        before.append(code)
+    return total / math.log(10)
 
 
-def test_model_is_normalised_and_beats_the_base(spark, docs):
+@pytest.fixture(scope="module")
+def trained(spark, docs):
     counts = lm_scoring.token_counts(docs.select("doc_id", "text"))
-    v = lm_scoring.fit_vocabulary(counts)
-    noise = v.noise()
-    m = lm_scoring.LogBilinear.start(noise)
-    one, two = np.array([0, 5, lm_scoring.BEGIN]), np.array([1, lm_scoring.BEGIN, lm_scoring.BEGIN])
-    q = m.context[one] @ m.first + m.context[two] @ m.second
-    p = np.exp(q @ m.target.T + m.bias - m.log_normalisers(one, two)[:, None])
-    assert p.sum(1) == pytest.approx(1, abs=1e-4)
-    whole = {bytes(r.token): r.c for r in counts.collect()}
-    share = Counter({k: 0.5 / v.shared[k] for k in range(lm_scoring.SHARED)})
-    for t, c in whole.items():
-        if t not in v.tokens[: lm_scoring.SHORT]:
-            k = lm_scoring.shared_class(t) - lm_scoring.SHORT
-            share[k] += (c + 0.5) / v.shared[k]
+    v = lm_scoring.fit_vocabulary(counts, 3_000)
+    vocabulary = spark.sparkContext.broadcast(v)
+    model = lm_scoring.fit_model(lm_scoring.encoded(docs, vocabulary), vocabulary)
+    return v, lm_scoring.Layout(v), model, {bytes(r.token): r.c for r in counts.collect()}
+
+
+def test_trained_model_is_normalised(trained):
+    v, layout, m, counts = trained
+    assert 0 < v.own <= 3_000 and layout.members > layout.groups
+    codes = np.array([5, layout.single + 3, layout.begin - 1, 0, 7])
+    q, _ = m.predicted(lm_scoring.Contexts(codes, np.zeros(5, np.int64), layout.begin))
+    soft = lambda s: np.exp(s - s.max(1, keepdims=True)) / np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)
+    classes = soft(q @ m.target[:, :-1].T + m.target[:, -1])
+    assert classes.sum(1) == pytest.approx(1, abs=1e-4)
+    share = Counter({k: 0.5 / v.rest[k] for k in range(layout.groups)})  # the unknown slots
+    for t, c in counts.items():
+        if t not in set(v.tokens[: v.own]):
+            k = lm_scoring.spelled(t, layout.groups)
+            share[k] += (c + 0.5) / v.rest[k]
     assert all(x == pytest.approx(1) for x in share.values())
-    r = lm_scoring.score_documents(docs).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    # what the scorer gives each code adds up to one over all codes: a run of one token after the same context, again and again
+    every = np.arange(layout.begin)
+    logs = m.log_probabilities(every, every, layout)  # each token a document of its own
+    assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_scores_equal_a_plain_softmax(spark, docs, trained):
+    v, layout, m, counts = trained
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(12).collect()]
+    got = lm_scoring.score_documents(docs, head=3_000).orderBy("doc_id").limit(12).collect()
+    for r, t in zip(got, texts, strict=True):
+        if len(t) < 20_000:
+            assert r.score == pytest.approx(plain_score(v, layout, m, t, counts), rel=1e-4)
+
+
+def test_scores_do_not_hang_on_partitions(docs):
+    one, seven = ({(r.doc_id, r.n_tokens): r.score for r in lm_scoring.score_documents(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == seven.keys() and all(one[k] == pytest.approx(seven[k], rel=1e-5) for k in one)
+
+
+def test_held_out_gain_over_the_base(spark):
+    r = lm_scoring.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r.s - r.b) / r.n > 0.3
+
+
+def test_shards_are_averaged_in_a_tree(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 1)
+    monkeypatch.setattr(lm_scoring, "FAN", 2)
+    r = lm_scoring.score_documents(docs, head=2_000).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r.s > r.b
 
 
@@ -516,7 +623,7 @@ def test_token_files(spark, hostile, empty, tmp_path):
 
     path = tokenizer_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    hostile = hostile.unionByName(spark.createDataFrame([(8 + k, t, "en", "a") for k, t in enumerate(SPECIAL)], SCHEMA), allowMissingColumns=True)
     folder = f"file://{tmp_path}/seq"
     manifest = token_output.write_sequences(hostile, folder, path, length=16)
     rows = sorted(token_output.read_sequences(manifest, folder).collect(), key=lambda r: r.start)
@@ -524,8 +631,9 @@ def test_token_files(spark, hostile, empty, tmp_path):
     for r in rows:
         assert r.start == at and r.n_tokens * 4 == len(r.ids)
         at += r.n_tokens
-    assert [r.doc_id for r in rows] == [None, None, 1, 1, 1, 2, 3, 4, 5, 6, 7]
-    want = Counter((d, tuple([*plain.encode(t or "", add_special_tokens=False).ids, 2])) for d, t, *_ in HOSTILE)
+    assert [r.doc_id for r in rows] == [None, None, 1, 1, 1, 2, 3, 4, 5, 6, 7, *range(8, 8 + len(SPECIAL))]
+    given = [(d, t) for d, t, *_ in HOSTILE] + [(8 + k, t) for k, t in enumerate(SPECIAL)]
+    want = Counter((d, tuple([*plain.encode(t or "", add_special_tokens=False).ids, 2])) for d, t in given)
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in rows) == want
     from pyarrow import fs
 
@@ -539,10 +647,14 @@ def test_token_files(spark, hostile, empty, tmp_path):
 
 
 def test_pretokens_equal_the_tokenizer(docs):
-    enc = encoder(tokenizer_path("byte_bpe_50k.json"))
-    texts = [r.text for r in docs.collect()] + ["it's  we'll\n\n x\t", "½²³ a b", "日本語 テスト", "\x85\x00\x7f", "   "]
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    enc, plain, draw = encoder(path), Tokenizer.from_file(path), random.Random(6)
+    texts = [r.text for r in docs.collect()] + ["it's  we'll\n\n x\t", "½²³ a b", "日本語 テスト", "\x85\x00\x7f", "   ", *SPECIAL]
+    texts += ["".join(draw.choice(["a", " ", "\n", "é", "日", "'s", "1", "<|endoftext|>", "|>", "\x1c", "\u2028", "!"]) for _ in range(draw.randint(0, 12))) for _ in range(3_000)]
     for t, ids in zip(texts, enc.encode(texts), strict=True):
-        assert np.frombuffer(ids, enc.dtype).tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, enc.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
 # ---------------------------------------------------------------- near duplicates
@@ -626,6 +738,8 @@ def test_keep_one(hostile, empty):
     got = Counter((r.doc_id, (r.text or "")[:20]) for r in out.collect())
     assert got == Counter([(1, "one two three four f"), (1, "another text under t"), (2, ""), (3, ""), (4, " \n\t "), (None, "a row without an id "), (None, ""), (5, LONG[:20]), (6, HOSTILE[9][1][:20])])
     assert minhash.keep_one(empty).count() == 0
+    blank = hostile.sparkSession.createDataFrame([(5, "", "d"), (5, "", "e"), (None, None, "f"), (None, None, "g"), (6, "a b", "h"), (6, "a b", "i")], "doc_id long, text string, source string")
+    assert sorted(r.source[0] for r in minhash.keep_one(blank).collect())[:4] == ["d", "e", "f", "g"] and minhash.keep_one(blank).count() == 5
 
 
 def test_signature_estimates_similarity():
