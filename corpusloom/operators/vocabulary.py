@@ -181,9 +181,9 @@ def tokenize_items(
         made = rows.join(pieces, "item", "left")
     else:
         place = F.concat_ws("/", F.col(key).cast("string"), F.col("pos").cast("string"))
-        words = rows.select(F.struct(key, "pos").alias("at"), place.alias("id"), F.col("item").alias("word"))
-        pieces = segment_softmax(words, vocabulary, seed, alpha, beta, temperature, epsilon, strict, keep=("at",))
-        made = rows.withColumn("at", F.struct(key, "pos")).join(pieces.select("at", "pieces"), "at", "left").drop("at")
+        words = rows.select(F.struct(key, "pos").alias("_place"), place.alias("id"), F.col("item").alias("word"))
+        pieces = segment_softmax(words, vocabulary, seed, alpha, beta, temperature, epsilon, strict, keep=("_place",))
+        made = rows.withColumn("_place", F.struct(key, "pos")).join(pieces.select("_place", "pieces"), "_place", "left").drop("_place")
     return made.join(known, "item", "left").withColumn("pieces", F.coalesce("pieces", other)).drop("known")
 
 

@@ -96,8 +96,8 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
     held = F.expr("from_json(value, 'map<string,variant>', map('mode', 'FAILFAST'))")
     texts = F.expr("transform(filter(map_entries(held), e -> schema_of_variant(e.value) = 'STRING'), e -> struct(e.key AS key, CAST(e.value AS string) AS value))")
     rows = lines.select(held.alias("held")).select(F.filter(texts, lambda e: ~T.is_blank(e["value"])).alias("found"))
-    named = [F.element_at(F.filter("found", lambda e, c=c: e["key"] == c), 1)["value"] for c in TEXT_FIELDS]
-    text = F.coalesce(*named, F.element_at("found", 1)["value"])
+    named = lambda c: F.get(F.filter("found", lambda e: e["key"] == c), F.lit(0))["value"]
+    text = F.coalesce(*map(named, TEXT_FIELDS), F.get("found", F.lit(0))["value"])
     return rows.where(F.size("found") > 0).select(F.regexp_replace(text, r"(?U)^\s+|\s+$", "").alias("text"))
 
 
