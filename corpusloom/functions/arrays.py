@@ -100,6 +100,6 @@ def framed(ids: Column, bos: int | None, eos: int | None, pair: Column | None =
 
 def spread_offsets(n: Column, length: Column) -> Column:
     """Spans of n tokens spread evenly over a text of a length."""
-    at, many = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.greatest(n, F.lit(1))
+    at, many, length = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.greatest(n, F.lit(1)), length.cast("long")
     spans = F.transform(at, lambda i: F.struct(F.floor(i * length / many).cast("int").alias("start"), F.ceil((i + 1) * length / many).cast("int").alias("end")))
     return F.when(n > 0, spans).otherwise(F.slice(spans, 1, 0))

@@ -155,7 +155,7 @@ def item_class(item: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Pieces between Unicode white space, none of them empty."""
-    return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
+    return F.regexp_extract_all(text, F.lit(r"(?U)(\S+)"), F.lit(1))
 
 
 def is_blank(text: Column) -> Column:

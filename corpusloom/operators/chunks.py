@@ -17,18 +17,19 @@ def check_chunk_arguments(block: int, stride: int) -> None:
         raise ValueError("stride must be from 1 to block")
 
 
-def prefix_offsets(df: DataFrame, length: Column, *order: str) -> DataFrame:
-    """Adds offset, the sum of the lengths of all rows before, in the order.
+def prefix_offsets(df: DataFrame, length: Column, *order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds offset, the sum of the lengths of all rows before, in the order; by: of rows that agree in these columns.
 
-    Rows are dealt by ranges of the order; only the sum of each range meets in one place, and the running sums are taken
-    within the ranges.
+    Rows are dealt by ranges of the order, so that one value of `by` may lie in many ranges; only the sum of each range meets
+    in one place, and the running sums are taken within the ranges.
     """
-    dealt = stage(df.withColumn("_n", length.cast("long")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
-    sums = dealt.groupBy("_range").agg(F.sum("_n").alias("_sum"))
-    before = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    own = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return dealt.join(bases, "_range").withColumn("offset", F.col("_base") + F.coalesce(F.sum("_n").over(own), F.lit(0))).drop("_n", "_range", "_base")
+    dealt = stage(df.withColumn("_n", length.cast("long")).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = dealt.groupBy(*by, "_range").agg(F.sum("_n").alias("_sum"))
+    before = W.partitionBy(*(by or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(F.struct("_range", *by).alias("_at"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    own = W.partitionBy("_range", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    placed = dealt.join(bases, F.struct("_range", *by).eqNullSafe(F.col("_at"))) if by else dealt.join(bases.select("_at._range", "_base"), "_range")
+    return placed.withColumn("offset", F.col("_base") + F.coalesce(F.sum("_n").over(own), F.lit(0))).drop("_n", "_range", "_at", "_base")
 
 
 def with_eos(ids: Column, eos: int) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .chunks import prefix_offsets
+
 # 1M to 10M by 1M, then 20M to 100M by 10M.
 CHECKPOINT_TARGETS = [k * 1_000_000 for k in (*range(1, 11), *range(20, 101, 10))]
 
@@ -29,9 +31,8 @@ def throughput(df: DataFrame, tokens: str, ts: str, *partition: str) -> DataFram
 
 def checkpoints(steps: DataFrame, tokens: str, step: str, *partition: str, targets: list[int] | None = None) -> DataFrame:
     """A row for each target that a step is the first to reach, with its name; several may fall on one step."""
-    run = W.partitionBy(*partition).orderBy(step)
-    seen = steps.withColumn("seen", F.sum(tokens).over(run.rowsBetween(W.unboundedPreceding, 0)))
-    seen = seen.withColumn("before", F.col("seen") - F.col(tokens))
+    seen = prefix_offsets(steps, F.col(tokens), step, by=partition).withColumnRenamed("offset", "before")
+    seen = seen.withColumn("seen", F.col("before") + F.col(tokens))
     goals = F.array(*[F.lit(t).cast("long") for t in targets or CHECKPOINT_TARGETS])
     hit = F.filter(goals, lambda t: (t <= F.col("seen")) & (t > F.col("before")))
     rows = seen.select(*partition, step, "seen", F.explode(hit).alias("target"))
@@ -45,8 +46,7 @@ def pending(targets: DataFrame, saved: DataFrame) -> DataFrame:
 
 def accumulation_groups(df: DataFrame, size: int, order: str, *partition: str) -> DataFrame:
     """Adds step, the group of `size` batches in order, and weight, one over the group's own number of batches."""
-    n = F.row_number().over(W.partitionBy(*partition).orderBy(order))
-    made = df.withColumn("step", F.floor((n - 1) / size) + 1)
+    made = prefix_offsets(df, F.lit(1), order, by=partition).withColumn("step", F.floor(F.col("offset") / size) + 1).drop("offset")
     return made.withColumn("weight", F.lit(1.0) / F.count("*").over(W.partitionBy(*partition, "step")))
 
 

@@ -92,12 +92,20 @@ class Tokenizer:
         spans: list[Column] = []
         for n in range(len(sides)):
             spans += [F.array(nowhere)] * (bos is not None) + [A.spread_offsets(F.size(f"ids{n}"), F.col(f"length{n}"))] + [F.array(nowhere)] * (eos is not None)
-        cut = (lambda x: F.slice(x, 1, most)) if most is not None else (lambda x: x)
+        cut = (lambda x: A.truncate(x, most)) if most is not None else (lambda x: x)
         return rows.select(
             key, cut(framed["ids"]).alias("input_ids"), cut(framed["special"]).alias("special_tokens_mask"), cut(F.transform(framed["ids"], lambda _: F.lit(0))).alias("token_type_ids"),
             cut(F.transform(framed["ids"], lambda _: F.lit(1))).alias("attention_mask"), cut(F.concat(*spans)).alias("offsets"),
         )
 
+    def inspect(self, df: DataFrame, n: int = 5, text: str = "text", key: str = "doc_id", raw: bool = True) -> DataFrame:
+        """key, text, tokens and ids of the first n rows."""
+        few = df.select(key, text).orderBy(key).limit(n)
+        tokens = self.tokens(few, text, key, raw).withColumnRenamed(key, "_k")
+        ids = self.ids(few, text, key, raw).withColumnRenamed(key, "_j")
+        joined = few.join(tokens, few[key].eqNullSafe(tokens["_k"])).join(ids, few[key].eqNullSafe(ids["_j"]))
+        return joined.select(key, text, "tokens", "ids").orderBy(key)
+
     def decode(self, df: DataFrame, ids: str = "ids", key: str = "doc_id", skip_special: bool = True) -> DataFrame:
         """key, text: tokens joined again, neighbouring atoms without a space unless readable."""
         rows = vocabulary.to_tokens(df.select(key, F.posexplode_outer(ids).alias("pos", "token_id")), self.vocabulary)

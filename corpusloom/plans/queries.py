@@ -649,11 +649,11 @@ def prompt_split(spark, sf_dir):
     return preferences.prompt_and_chosen(preferences.long_enough(rows), 9, "doc_id").drop("ids")
 
 
-@query(rf"""WITH d AS (SELECT doc_id, length(text) AS l, {_TEXT_IDS.format("text")}[1:16] AS ids FROM documents WHERE regexp_matches(text, '\S')), f AS (SELECT *, len(ids) AS n FROM d)
+@query(rf"""WITH d AS (SELECT doc_id, length(text) AS l, {_TEXT_IDS.format("text")} AS ids FROM documents WHERE regexp_matches(text, '\S')), f AS (SELECT *, len(ids) AS n FROM d)
 SELECT doc_id, list_concat([2], ids, [3]) AS ids, list_concat([1], list_transform(ids, lambda x: 0), [1]) AS special, list_transform(ids, lambda x: CASE WHEN x < 4 THEN -100 ELSE x END) AS labels,
   array_to_string(list_transform(range(n), lambda i: CAST(i * l // n AS VARCHAR) || '-' || CAST(CAST(ceil((i + 1) * l / n) AS BIGINT) AS VARCHAR)), ' ') AS offsets FROM f""")
 def framed_ids(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", F.length("text").alias("l"), A.truncate(F.transform(T.words(F.col("text")), F.length), 16).alias("raw"))
+    rows = table(spark, sf_dir, "documents").where(~T.is_blank(F.col("text"))).select("doc_id", F.length("text").alias("l"), F.transform(T.words(F.col("text")), F.length).alias("raw"))
     framed = A.framed(F.col("raw"), 2, 3)
     masked = A.masked_labels(F.col("raw"), F.transform("raw", lambda x: F.when(x < 4, 0).otherwise(1)))
     spans = F.transform(A.spread_offsets(F.size("raw"), F.col("l")), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
@@ -687,10 +687,10 @@ def checkpoint_targets(spark, sf_dir):
     return metrics.checkpoints(steps(spark, sf_dir), "tokens", "event_id", "event_type")
 
 
-@query(f"""WITH {_EVENTS}, s AS (SELECT event_type, tokens, sum(tokens) OVER (PARTITION BY event_type ORDER BY event_id) AS seen FROM e WHERE event_type = 'click'), t AS (SELECT unnest([{", ".join(map(str, metrics.CHECKPOINT_TARGETS))}]) AS target)
+@query(f"""WITH {_EVENTS}, s AS (SELECT tokens, sum(tokens) OVER (ORDER BY event_id) AS seen FROM e), t AS (SELECT unnest([{", ".join(map(str, metrics.CHECKPOINT_TARGETS))}]) AS target)
 SELECT target FROM t WHERE target NOT IN (SELECT target FROM s JOIN t ON target <= seen AND target > seen - tokens)""")
 def pending_targets(spark, sf_dir):
-    saved = metrics.checkpoints(steps(spark, sf_dir).where("event_type = 'click'"), "tokens", "event_id", "event_type").select("target").distinct()
+    saved = metrics.checkpoints(steps(spark, sf_dir), "tokens", "event_id").select("target").distinct()
     goals = spark.createDataFrame([(t,) for t in metrics.CHECKPOINT_TARGETS], "target long")
     return metrics.pending(goals, saved)
 
@@ -706,9 +706,9 @@ def learning_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(rate, 9).alias("rate"))
 
 
-@query("SELECT round(coalesce(avg(value), 0), 6) AS mean, count(value) AS batches FROM events WHERE event_type = 'click'")
+@query("SELECT round(coalesce(avg(value), 0), 6) AS mean, count(value) AS batches FROM events")
 def validation_mean(spark, sf_dir):
-    made = metrics.mean_or_zero(table(spark, sf_dir, "events").where("event_type = 'click'"), "value")
+    made = metrics.mean_or_zero(table(spark, sf_dir, "events"), "value")
     return made.select(F.round("mean", 6).alias("mean"), "batches")
 
 

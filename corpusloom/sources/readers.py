@@ -28,6 +28,22 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str = RAW) ->
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def read_split(spark: SparkSession, folder: str, split: str = "train", schema: str = RAW) -> DataFrame:
+    """One split of a dataset's folder: its Parquet files, or else its JSON lines, named by the split or in a folder of that name."""
+    for kind, read in (("parquet", spark.read.schema(schema).parquet), ("jsonl", lambda *p: read_jsonl(spark, list(p), schema))):
+        found = [p for p in (f"{folder}/{split}", *(f"{folder}/{split}*.{kind}",)) if matches(spark, p if p.endswith(kind) else f"{p}/*.{kind}")]
+        if found:
+            return read(*(p if p.endswith(kind) else f"{p}/*.{kind}" for p in found))
+    raise ValueError(f"{folder} has no files of the split {split!r}")
+
+
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path with wildcards names anything."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A file that is one JSON value."""
     reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")

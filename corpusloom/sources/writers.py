@@ -9,10 +9,10 @@ from dataclasses import fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.chunks import prefix_offsets
+from ..operators.chunks import packing_statistics, prefix_offsets
 from ..operators.tokenizer import Tokenizer
 from ..plans.staging import arrow_uri
 
@@ -78,6 +78,23 @@ def write_cases(cases: DataFrame, path: str) -> None:
     write_lines(cases.withColumn("_line", F.to_json(F.struct(*cases.columns))), path, "_line", *order)
 
 
+def write_packed(df: DataFrame, path: str, lines: Column, packed: Column, *order: str, dry_run: bool = False) -> dict:
+    """Packed lines in order, and their statistics; a dry run gives the statistics alone."""
+    if not dry_run:
+        write_lines(df.select(*order, F.posexplode(packed).alias("_n", "_line")), path, "_line", *order, "_n")
+    return packing_statistics(df, lines, packed).first().asDict()
+
+
+def write_chunks(chunks: DataFrame, path: str, block: int, stride: int, kind: str = "jsonl", **settings) -> None:
+    """Chunks as JSON lines or in binary form, as kind says."""
+    if kind not in ("jsonl", "bin"):
+        raise ValueError(f"kind must be jsonl or bin, not {kind!r}")
+    if kind == "bin":
+        write_binary_chunks(chunks, path, block, stride, **settings)
+    else:
+        write_jsonl(chunks, path)
+
+
 def write_binary_chunks(chunks: DataFrame, path: str, block: int, stride: int, **settings) -> dict:
     """chunk_id, input_ids as .bin files named by their first chunk, in row-major little-endian int32, and meta.json.
 

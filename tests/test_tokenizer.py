@@ -214,3 +214,46 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         staging.shared_dir(Session())
+
+
+def test_splits_of_a_folder(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/train-0.jsonl").write_text('{"doc-id": "1", "text": "x"}\n')
+    spark.createDataFrame([("2", "y")], "`doc-id` string, text string").write.parquet(f"file://{tmp_path}/d/test")
+    got = [[(r["doc-id"], r.text) for r in readers.read_split(spark, f"file://{tmp_path}/d", s).collect()] for s in ("train", "test")]
+    assert got == [[("1", "x")], [("2", "y")]]
+    with pytest.raises(ValueError, match="split"):
+        readers.read_split(spark, f"file://{tmp_path}/d", "dev")
+
+
+def test_packed_lines_and_dry_runs(spark, tmp_path):
+    from corpusloom.functions import arrays as A
+    from corpusloom.functions import text as T
+
+    df = texts(spark, "aa bb cc", "d", " ")
+    packed = A.packed(F.col("text"), T.words(F.col("text")), 5)
+    dry = writers.write_packed(df, f"file://{tmp_path}/p", F.col("text"), packed, "doc_id", dry_run=True)
+    assert not (tmp_path / "p").exists() and dry["output_lines"] == 3 and dry["split_lines"] == 1
+    assert writers.write_packed(df, f"file://{tmp_path}/p", F.col("text"), packed, "doc_id") == dry
+    assert [x for p in sorted((tmp_path / "p").glob("part-*")) for x in p.read_text().splitlines()] == ["aa bb", "cc", "d"]
+
+
+def test_chunk_kinds_and_detection(spark, tmp_path):
+    made = chunks.chunk_stream(spark.createDataFrame([(1, [1, 2, 3, 4])], "doc_id long, ids array<int>"), 2)
+    for kind in ("jsonl", "bin"):
+        writers.write_chunks(made, f"file://{tmp_path}/{kind}", 2, 2, kind)
+        assert sorted(r.input_ids for r in readers.read_token_dataset(spark, f"file://{tmp_path}/{kind}").collect()) == [[1, 2], [3, 4]]
+    with pytest.raises(ValueError):
+        writers.write_chunks(made, "x", 2, 2, "csv")
+
+
+def test_inspection(spark, tokenizer):
+    rows = tokenizer.inspect(texts(spark, "W6M7 hello", "zzz", "b"), 2, raw=False).collect()
+    assert [r.tokens for r in rows] == [["W6M7", "hello"], ["<unk>"]] and rows[1].ids == [1]
+
+
+def test_offsets_of_long_texts_do_not_overflow(spark):
+    from corpusloom.functions import arrays as A
+
+    spans = spark.range(1).select(A.spread_offsets(F.lit(30_000), F.lit(200_000)).alias("s")).first().s
+    assert tuple(spans[-1]) == (199_993, 200_000)
