@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from ._common import column, documents, scoped, slices, staged, text_bytes
 
 #: At least so many tokens' counts are sent to the workers; classes of one token.
-HEAD, SINGLE = 150_000, 256
-#: Vector size, tokens before that are averaged, batch size, noise classes per batch, noise members per token, weight of the noise, rate.
-SIZE, WINDOW, BATCH, NOISE, MEMBERS, RATIO, RATE = 32, 8, 4_096, 32, 4, 8, 0.1
+HEAD, SINGLE = 150_000, 128
+#: Vector size, tokens before that are averaged (a power of two), batch size, noise classes per batch, noise members per token, weight of the noise, rate.
+SIZE, WINDOW, BATCH, NOISE, MEMBERS, RATIO, RATE = 24, 8, 4_096, 32, 2, 8, 0.1
 #: A shard has so many training tokens for each token with a vector; small corpora are gone through up to PASSES times, while under ENOUGH tokens.
 SHARD, PASSES, ENOUGH = 64, 4, 1_200_000
 #: Rows of parameters sent together; shards averaged together.
@@ -54,7 +54,7 @@ def is_held_out(doc_id: int | None) -> bool:
 
 def own_tokens(total: int) -> int:
     """How many tokens have vectors of their own, at most, in a corpus of so many."""
-    return int(20_000 + 30 * total**0.4)
+    return int(10_000 + 15 * total**0.4)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -212,16 +212,27 @@ def encoded(docs: DataFrame, vocabulary) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text").mapInArrow(encode, ENCODED)
 
 
-class Contexts:
-    """What stands before each token of a run of documents: the codes one and two places back, and where the window starts."""
+def stream_of(sequences: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of documents one after another, WINDOW times `begin` before each, and where each one's own start."""
+    lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
+    starts = np.cumsum(lengths + WINDOW) - lengths
+    out = np.full(int((lengths + WINDOW).sum()), begin, np.int64)
+    for at, codes in zip(starts.tolist(), sequences, strict=True):
+        out[at : at + len(codes)] = codes
+    return out, starts
 
-    def __init__(self, codes: np.ndarray, starts: np.ndarray, begin: int):
-        place = np.arange(len(codes))
-        self.codes, self.place = codes, place
-        self.one = np.where(place - 1 >= starts, np.roll(codes, 1), begin)
-        self.two = np.where(place - 2 >= starts, np.roll(codes, 2), begin)
-        self.low = np.maximum(starts, place - WINDOW)
-        self.many = np.maximum(1, place - self.low).astype(np.float32)[:, None]
+
+def _window_sums(x: np.ndarray, back: bool = False) -> np.ndarray:
+    """For each row the sum of it and the WINDOW - 1 rows before (or behind), by doubling."""
+    x, k = x.copy(), 1
+    while k < WINDOW:
+        y = x.copy()
+        if back:
+            y[:-k] += x[k:]
+        else:
+            y[k:] += x[:-k]
+        x, k = y, 2 * k
+    return x
 
 
 def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +240,7 @@ def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(at, kind="stable")
     placed = at[order]
     first = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
-    return placed[first], np.add.reduceat(rows[order], first)
+    return placed[first], np.add.reduceat(rows.take(order, axis=0), first)
 
 
 @dataclass
@@ -259,41 +270,49 @@ class LogBilinear:
     def matrices(self) -> np.ndarray:
         return self.mix.reshape(3, -1, self.mix.shape[1])
 
-    def predicted(self, c: Contexts) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The predicted vector of each place, and the three that it is made of."""
-        run = np.zeros((len(c.codes) + 1, self.mix.shape[1]))
-        np.cumsum(self.context[c.codes], axis=0, dtype=np.float64, out=run[1:])
-        made = [self.context[c.one], self.context[c.two], ((run[c.place] - run[c.low]) / c.many).astype(np.float32)]
-        return sum(x @ m for x, m in zip(made, self.matrices(), strict=True)), made
-
-    def log_probabilities(self, codes: np.ndarray, starts: np.ndarray, layout: Layout) -> np.ndarray:
-        """Natural logarithms for each place; those of a shared member are of the member as a whole."""
+    def predicted(self, stream: np.ndarray, begin: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Places of tokens in a stream, less the first `lead`, their predicted vectors, the three parts that these are made
+        of, and how many tokens each one's window holds."""
+        x, real = self.context.take(stream, axis=0), stream != begin
+        at = np.flatnonzero(real[lead:]) + lead
+        many = np.maximum(1, _window_sums(real.astype(np.float32)))[at - 1, None]
+        made = [x.take(at - 1, axis=0), x.take(at - 2, axis=0), _window_sums(x * real[:, None]).take(at - 1, axis=0) / many]
+        return at, sum(y @ m for y, m in zip(made, self.matrices(), strict=True)), made, many
+
+    def log_probabilities(self, stream: np.ndarray, layout: Layout, lead: int = 0) -> np.ndarray:
+        """Natural logarithms for each token of a stream, less the first `lead` places; those of a shared member are of the member as a whole."""
         size = self.mix.shape[1]
-        q, _ = self.predicted(Contexts(codes, starts, layout.begin))
-        classes, members = layout.class_of[codes], layout.member_of[codes]
+        at, q, _, _ = self.predicted(stream, layout.begin, lead)
+        classes, members = layout.class_of[stream[at]], layout.member_of[stream[at]]
         out, across, bias = np.empty(len(q)), np.ascontiguousarray(self.target[:, :size].T), self.target[:, size]
-        for at in range(0, len(q), 1024):
-            s = q[at : at + 1024] @ across
-            s += bias
-            out[at : at + 1024] = _normalised(s, classes[at : at + 1024])
+        for a in range(0, len(q), 512):
+            out[a : a + 512] = _normalised(q[a : a + 512] @ across, bias, classes[a : a + 512])
         within = np.flatnonzero(members >= 0)
         within = within[np.argsort(classes[within], kind="stable")]
         group = classes[within] - layout.single
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
-            first, last, at = layout.first[group[a]], layout.first[group[a] + 1], within[a:b]
-            s = q[at] @ self.member[first:last, :size].T
-            s += self.member[first:last, size]
-            out[at] += _normalised(s, members[at] - first)
+            first, last = layout.first[group[a]], layout.first[group[a] + 1]
+            rows = self.member[first:last]
+            for part in range(a, b, 512):
+                these = within[part : min(b, part + 512)]
+                out[these] += _normalised(q[these] @ rows[:, :size].T, rows[:, size], members[these] - first)
         return out
 
 
-def _normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row of s at one column; s is overwritten."""
-    own, top = s[np.arange(len(s)), at], s.max(1)
-    s -= top[:, None]
-    np.exp(s, out=s)
-    return own - top - np.log(s.sum(1))
+def _normalised(s: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row of s + bias at one column; s is overwritten. Rows whose sums leave the range of 32 bits are
+    shifted by their greatest first."""
+    s += bias
+    own = s[np.arange(len(s)), at]
+    with np.errstate(over="ignore"):
+        sums = np.exp(s) @ np.ones(s.shape[1], np.float32)
+    out = own - np.log(np.clip(sums, 1e-30, 1e30))
+    far = (sums < 1e-25) | ~(sums < 1e25)
+    if far.any():
+        top = s[far].max(1)
+        out[far] = own[far] - top - np.log(np.exp(s[far] - top[:, None]).sum(1))
+    return out
 
 
 class Trainer:
@@ -315,16 +334,18 @@ class Trainer:
         self.model.parts()[part][at] -= np.float32(rate) * g / np.sqrt(s + np.float32(1e-8))
         self.touched[part][at] += 1
 
-    def step(self, codes: np.ndarray, starts: np.ndarray) -> None:
-        m, lay, n = self.model, self.layout, len(codes)
+    def step(self, stream: np.ndarray, lead: int) -> None:
+        """One step on the tokens of a stream, less the first `lead` places, which are context only."""
+        m, lay = self.model, self.layout
         size = m.mix.shape[1]
-        c = Contexts(codes, starts, lay.begin)
-        q, made = m.predicted(c)
-        q = np.column_stack([q, np.ones(n, np.float32)])
-        classes, members = lay.class_of[codes], lay.member_of[codes]
+        places, q, made, many = m.predicted(stream, lay.begin, lead)
+        if not len(places):
+            return
+        q = np.column_stack([q, np.ones(len(q), np.float32)])
+        classes, members = lay.class_of[stream[places]], lay.member_of[stream[places]]
         # classes against noise classes that the batch shares
         noise = np.searchsorted(self.class_places, self.draw.random(NOISE)).clip(0, lay.classes - 1)
-        own, other = m.target[classes], m.target[noise]
+        own, other = m.target.take(classes, axis=0), m.target[noise]
         good = -1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - self.class_level[classes]))
         bad = RATIO / NOISE / (1 + np.exp(self.class_level[noise] - q @ other.T))
         dq = good[:, None] * own + bad @ other
@@ -332,29 +353,31 @@ class Trainer:
         # members against noise members of the same class
         at = np.flatnonzero(members >= 0)
         if len(at):
-            right, x = members[at], q[at]
+            right, x = members[at], q.take(at, axis=0)
             noise = np.searchsorted(self.member_places, (classes[at] - lay.single)[:, None] + self.draw.random((len(at), MEMBERS))).clip(0, lay.members - 1)
-            own, other = m.member[right], m.member[noise]
+            own, found = m.member.take(right, axis=0), [right]
             good = -1 / (1 + np.exp(np.einsum("ij,ij->i", x, own) - self.member_level[right]))
-            bad = RATIO / MEMBERS / (1 + np.exp(self.member_level[noise] - np.matmul(other, x[:, :, None])[:, :, 0]))
-            dq[at] += good[:, None] * own + np.matmul(bad[:, None, :], other)[:, 0]
-            rows = np.concatenate([good[:, None] * x, (bad[:, :, None] * x[:, None, :]).reshape(-1, size + 1)])
-            member = _scatter(np.concatenate([right, noise.ravel()]), rows)
-        dq = dq[:, :size]
+            dx, rows = good[:, None] * own, [good[:, None] * x]
+            for k in range(MEMBERS):
+                wrong = noise[:, k]
+                other = m.member.take(wrong, axis=0)
+                bad = RATIO / MEMBERS / (1 + np.exp(self.member_level[wrong] - np.einsum("ij,ij->i", x, other)))
+                dx += bad[:, None] * other
+                found.append(wrong)
+                rows.append(bad[:, None] * x)
+            dq[at] += dx
+            member = _scatter(np.concatenate(found), np.concatenate(rows))
+        dq = np.ascontiguousarray(dq[:, :size])
         first, second, mean = m.matrices()
         mix = np.concatenate([x.T @ dq for x in made])
         # each code's vector stands one and two places back of the next ones, and in their windows
-        one, two, window = dq @ first.T, dq @ second.T, dq @ mean.T / c.many
-        begin = one[c.one == lay.begin].sum(0) + two[c.two == lay.begin].sum(0)
-        one[c.one == lay.begin] = 0
-        two[c.two == lay.begin] = 0
-        edge = -window
-        lows = np.flatnonzero(np.append(True, c.low[1:] != c.low[:-1]))
-        edge[c.low[lows]] += np.add.reduceat(window, lows)
-        dx = np.cumsum(edge, axis=0)
-        dx[:-1] += one[1:]
-        dx[:-2] += two[2:]
-        self._change(0, *_scatter(np.append(codes, lay.begin), np.concatenate([dx, begin[None]])))
+        dx = np.zeros((len(stream), size), np.float32)
+        dx[places - 1] = dq @ mean.T / many
+        dx = _window_sums(dx, back=True)
+        dx[stream == lay.begin] = 0
+        dx[places - 1] += dq @ first.T
+        dx[places - 2] += dq @ second.T
+        self._change(0, *_scatter(stream, dx))
         self._change(1, *target)
         if len(at):
             self._change(2, *member)
@@ -362,26 +385,24 @@ class Trainer:
 
     def train(self, documents: Iterator[np.ndarray]) -> int:
         """Batches of one size over all documents one after another, and the rest; returns the tokens."""
-        held, starts, n, total = [], [], 0, 0
+        held, n, total = [], 0, 0
+        before = np.full(WINDOW, self.layout.begin)
 
-        def run(least: int) -> None:
-            nonlocal held, starts, n
-            codes, begins, at = np.concatenate(held).astype(np.int64), np.concatenate(starts), 0
-            while n - at >= least:
-                part = slice(at, at + BATCH)
-                self.step(codes[part], np.maximum(begins[part] - at, 0))
-                at = min(n, at + BATCH)
-            held, starts, n = [codes[at:]], [np.maximum(begins[at:] - at, 0)], n - at
+        def run() -> None:
+            nonlocal held, n, before
+            stream = np.concatenate([before, stream_of(held, self.layout.begin)[0]])
+            for at in range(WINDOW, len(stream), BATCH):
+                self.step(stream[at - WINDOW : at + BATCH], WINDOW)
+            held, n, before = [], 0, stream[-WINDOW:]
 
         for codes in documents:
             held.append(codes)
-            starts.append(np.full(len(codes), n))
             n += len(codes)
             total += len(codes)
             if n >= 16 * BATCH:
-                run(BATCH)
+                run()
         if n:
-            run(1)
+            run()
         return total
 
 
@@ -479,14 +500,12 @@ def code_scores(rows: DataFrame, model, vocabulary) -> DataFrame:
             seqs = [np.frombuffer(x, np.uint32) for x in column(batch, "codes").to_pylist()]
             if not seqs:
                 continue
-            codes, lengths = np.concatenate(seqs).astype(np.int64), np.fromiter(map(len, seqs), np.int64, len(seqs))
-            first = np.cumsum(lengths) - lengths
-            starts, each = np.repeat(first, lengths), np.empty(len(codes))
-            for at in range(0, len(codes), run):
-                low = max(0, at - WINDOW)  # what stands before the run only as context
-                part = slice(low, at + run)
-                each[at : at + run] = m.log_probabilities(codes[part], np.maximum(starts[part] - low, 0), layout)[at - low :]
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(np.add.reduceat(each, first) / np.log(10))], names=["row", "nn"])
+            stream, starts = stream_of(seqs, layout.begin)
+            each = np.zeros(len(stream))
+            for at in range(WINDOW, len(stream), run):
+                part = stream[at - WINDOW : at + run]  # the first places only as context
+                each[np.flatnonzero(part[WINDOW:] != layout.begin) + at] = m.log_probabilities(part, layout, WINDOW)
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), pa.array(np.add.reduceat(each, starts - WINDOW) / np.log(10))], names=["row", "nn"])
 
     return rows.select("row", "codes").mapInArrow(score, "row long, nn double")
 
