@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, staged
+from ._common import documents, scoped, staged
 
 EDITS, MIN_CHARS = 1, 20
 LINES, DROPPED = "__loom_lines", "__loom_dropped"
@@ -122,6 +122,7 @@ def dropped_lines(docs: DataFrame, crowd: int = CROWD, limit: int | None = None)
     return per.select("did", "hash", "n_dropped", F.expr("transform(sequence(0, last), w -> coalesce(words[w], 0L))").alias("drop"))
 
 
+@scoped
 def dedup_lines(docs: DataFrame, crowd: int = CROWD, limit: int | None = None) -> DataFrame:
     """The documents with their text less the dropped lines, and two more columns: LINES with a word, DROPPED of them."""
     drops = dropped_lines(docs.select("doc_id", "text"), crowd, limit).select(*(F.col(c).alias(f"__loom_{c}") for c in ("did", "hash", "n_dropped", "drop")))

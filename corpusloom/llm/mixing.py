@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import WORD, documents, staged
+from ._common import WORD, documents, scoped, staged
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Expected units of a block.
@@ -83,6 +83,7 @@ def _settled() -> Column:
     return F.expr(f"if(f.w IS NULL, f.done, element_at(transform(array(named_struct('a', {way(0)}, 'b', {way(1)})), x -> if(x.a.rest <= x.b.rest, x.a.out, x.b.out)), 1))")
 
 
+@scoped
 def plan_copies(rows: DataFrame, seed: int = 7, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
     """From rows (doc_id, source, size) one row for each unit: these, rows (how many it stands for), source_size, target, copies."""
     units = staged(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "units")
@@ -123,6 +124,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__loom_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
 
 
+@scoped
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row of docs as often as it is taken, with its own columns."""
     rows = sized(docs)

@@ -7,7 +7,8 @@ constraints: a split that would raise the score with such a feature isn't taken,
 their side of the split's middle, so that the constraint holds for whole trees.
 
 Null or blank texts have no words, fail the rules and are rejected. Without labels of both kinds the rules decide alone.
-Rows are judged one by one, so repeated rows get equal verdicts; extra columns are passed through by filter_quality.
+Rows are judged one by one, so repeated rows get equal verdicts; of labelled rows that share a doc_id the one whose text has the least
+hash is fitted on. An empty table gives no rows. Extra columns are passed through by filter_quality.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def fit_trees(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = 80,
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = [statistics(x)[1] for x in text_bytes(batch)]
-        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "hash"), column(batch, "y"), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "hash", "y", "x"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | None:
@@ -150,8 +151,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tre
     small_batches(docs.sparkSession)
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # proven bound: 16 bytes a row of the sample
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    made = rows.mapInArrow(_features, "doc_id long, y double, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), "y", "text")
+    # of rows that share a doc_id the one whose text has the least hash
+    made = rows.mapInArrow(_features, "doc_id long, hash long, y double, x array<double>").groupBy("doc_id").agg(F.min("y").alias("y"), F.min_by("x", "hash").alias("x")).orderBy("doc_id").toArrow()
     y = made["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return None

@@ -9,7 +9,8 @@ decoding has more; a logistic regression over a document's evidence gives the sc
 
 Labels are learned from rows whose crc32(doc_id as text) mod 5 is not 0 and from at most `sample` of them, those with the
 smallest hash of doc_id; the character counts cover all such documents. Only texts enter a score. Null and empty
-texts have no evidence and get the score of none. A null doc_id counts as held out. Without labels of both kinds every
+texts have no evidence and get the score of none. Words are read as Latin letters, accents left out: other scripts have no
+spelling here and give no evidence. The sum of a document's evidence counts up to 50. A null doc_id counts as held out. Without labels of both kinds every
 score is 0. Rows that share a doc_id are scored each by itself; extra columns are ignored.
 """
 
@@ -41,6 +42,7 @@ GAPS = frozenset(".-_*~'’·,/\\^")
 N = 27
 SUMMARY = 5
 _SINGLES = re.compile(r"(?:^|\s)\S\s\S\s\S(?:\s|$)")
+_WIDE = re.compile(r"\s{2,}|\n")
 _REPEAT = re.compile(r"(.)\1+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _EDGES = re.compile(r"^(?:[^\w@$!|+(*#]|([^\w\s])\1+)+|(?:[^\w@$|+*#]|([^\w\s])\2+|[!.,;:?])+$")
@@ -112,8 +114,11 @@ def viterbi(word: str, model: np.ndarray) -> str:
 
 
 def hidden(word: str) -> bool:
-    """Whether a word's characters or repeats may hide its spelling."""
-    return any(map(str.isalpha, word)) and (not word.isalpha() or bool(_TRIPLE.search(word)))
+    """Whether a word's characters or repeats may hide its spelling: letters beside other characters, letters three times in a row,
+    or look-alikes alone, symbols among them. Numbers are taken as numbers, and a star needs letters beside it."""
+    if any(map(str.isalpha, word)):
+        return not word.isalpha() or bool(_TRIPLE.search(word))
+    return "*" not in word and sum(c in LOOKS for c in word) > 1 and any(c in LOOKS and not c.isdigit() for c in word)
 
 
 def plain(word: str) -> str:
@@ -121,19 +126,20 @@ def plain(word: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    """The lower-case words; runs of three and more single characters are also put together."""
+    """The lower-case words; runs of three and more single characters are also put together. A wider gap or a new line ends a run."""
     text = text.lower()
     words = text.split()
     if _SINGLES.search(text):
-        run: list[str] = []
-        for w in [*words, ""]:
-            if len(w) == 1:
-                run.append(w)
-                continue
-            if len(run) >= 3:
-                whole = "".join(run)
-                words += [whole, whole[1:], whole[:-1]]  # a word of one letter may stand beside
-            run = []
+        for stretch in _WIDE.split(text):
+            run: list[str] = []
+            for w in [*stretch.split(), ""]:
+                if len(w) == 1:
+                    run.append(w)
+                    continue
+                if len(run) >= 3:
+                    whole = "".join(run)
+                    words += [whole, whole[1:], whole[:-1]]  # a word of one letter may stand beside
+                run = []
     return words
 
 
@@ -229,7 +235,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("y"))
     known = known.where("crc32(cast(doc_id as string)) % 5 <> 0")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # proven bound: 16 bytes a row of the sample
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.xxhash64("text").alias("hash"), F.col("y").cast("int").alias("y"), "text")
     decoder = Decoder(log_model(character_counts(docs)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,9 +276,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> To
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = [decoder.summary(t) for t in _texts(batch)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "hash"), column(batch, "y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "hash", "y", "x"])
 
-    made = rows.mapInArrow(summarise, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    # of rows that share a doc_id the one whose text has the least hash
+    made = rows.mapInArrow(summarise, "doc_id long, hash long, y int, x array<double>").groupBy("doc_id").agg(F.max("y").alias("y"), F.min_by("x", "hash").alias("x")).orderBy("doc_id").toArrow()
     x = np.array(made["x"].to_pylist()).reshape(-1, SUMMARY)
     return Toxicity(decoder, *fit_logistic(x, (made["y"].to_numpy() > 0).astype(float)))
 

@@ -371,8 +371,10 @@ def trained(spark, docs):
 def test_trained_model_is_normalised(trained):
     v, layout, m, counts = trained
     assert 0 < v.own <= 3_000 and layout.members > layout.groups
-    codes = np.array([5, layout.single + 3, layout.begin - 1, 0, 7])
-    q, _ = m.predicted(lm_scoring.Contexts(codes, np.zeros(5, np.int64), layout.begin))
+    stream, starts = lm_scoring.stream_of([np.array([5, layout.single + 3, layout.begin - 1, 0, 7]), np.array([], np.uint32), np.array([1])], layout.begin)
+    assert (starts - lm_scoring.WINDOW).tolist() == [0, 5 + lm_scoring.WINDOW, 5 + 2 * lm_scoring.WINDOW]
+    at, q, _, many = m.predicted(stream, layout.begin)
+    assert stream[at].tolist() == [5, layout.single + 3, layout.begin - 1, 0, 7, 1] and many[:, 0].tolist() == [1, 1, 2, 3, 4, 1]
     soft = lambda s: np.exp(s - s.max(1, keepdims=True)) / np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)
     classes = soft(q @ m.target[:, :-1].T + m.target[:, -1])
     assert classes.sum(1) == pytest.approx(1, abs=1e-4)
@@ -382,9 +384,10 @@ def test_trained_model_is_normalised(trained):
             k = lm_scoring.spelled(t, layout.groups)
             share[k] += (c + 0.5) / v.rest[k]
     assert all(x == pytest.approx(1) for x in share.values())
-    # what the scorer gives each code adds up to one over all codes: a run of one token after the same context, again and again
-    every = np.arange(layout.begin)
-    logs = m.log_probabilities(every, every, layout)  # each token a document of its own
+    # what the scorer gives each code after the same context adds up to one over all codes, also where logits leave the range of 32 bits
+    assert lm_scoring._normalised(np.array([[200.0, 199.0], [-200.0, -201.0]], np.float32), np.zeros(2, np.float32), np.array([0, 1])) == pytest.approx([-0.3133, -1.3133], abs=1e-3)
+    each = lm_scoring.stream_of(list(np.arange(layout.begin)[:, None]), layout.begin)[0]  # each token a document of its own
+    logs = m.log_probabilities(each, layout)
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -587,9 +590,94 @@ def test_trees_are_monotonic_and_accurate():
     assert (np.diff(model.score(grid).reshape(50, 40), axis=1) <= 1e-9).all()
 
 
+def walked(model, x):
+    """One row down every tree, node by node."""
+    total = model.bias
+    for feature, threshold, value in zip(model.feature, model.threshold, model.value, strict=True):
+        at = 0
+        while feature[at] >= 0:
+            at = 2 * at + (2 if x[feature[at]] > threshold[at] else 1)
+        total += value[at]
+    return total
+
+
+def test_flat_trees_equal_a_walk(spark, sf_dir, docs):
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in quality.quality_verdicts(docs, model).collect():
+        counts, shape = quality.statistics(texts[r.doc_id])
+        margin = walked(model, shape)
+        assert r.good == pytest.approx(1 / (1 + math.exp(-margin)))
+        assert r.kept == (not r.base_failed and r.good >= 0.5)
+
+
+def test_fitting_takes_one_of_rows_that_share_an_id(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    twice = docs.select("doc_id", "text").union(docs.selectExpr("doc_id", "concat('other ', text, ' ', doc_id) as text"))
+    a, b = (quality.fit_quality(twice.orderBy(F.rand(seed)).repartition(n), labels) for seed, n in ((1, 3), (2, 5)))
+    assert all(np.array_equal(getattr(a, f), getattr(b, f)) for f in ("feature", "threshold", "value"))
+
+
 # ---------------------------------------------------------------- toxicity
 
 
+def all_paths(word, model):
+    """The likeliest spelling by going through every path of the lattice."""
+    best = None
+    for path in itertools.product(*toxicity.lattice(word)):
+        x, y, total = toxicity.N, 0, 0.0
+        for text, q in path:
+            total += q
+            for c in text:
+                k = ord(c) - 96
+                total += model[x, y, k]
+                x, y = (0 if x == toxicity.N else y), k
+        total += model[x, y, 0]
+        spelled = "".join(text for text, _ in path)
+        if best is None or total > best[0] + 1e-12:
+            best = (total, spelled)
+    return best
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    draw = np.random.default_rng(4)
+    counts = draw.poisson(0.3, toxicity.N**3) + toxicity.trigram_counts(["idiot stupid moron loser bloody the other"] * 40)
+    model = toxicity.log_model(counts)
+    for word in ("1d10t", "m.0.r0n", "$tup1d", "l00oser", "b!0|dy", "i-d--i", "aa", "4$5", "|!1", "m0*n"):
+        want, spelled = all_paths(word, model)
+        got = toxicity.viterbi(word, model)
+        assert got == spelled or max(p for p in [score_of(word, got, model)]) == pytest.approx(want), word
+
+
+def score_of(word, spelled, model):
+    return max(t for t, s in ((total_of(path, model), "".join(x for x, _ in path)) for path in itertools.product(*toxicity.lattice(word))) if s == spelled)
+
+
+def total_of(path, model):
+    x, y, total = toxicity.N, 0, 0.0
+    for text, q in path:
+        total += q
+        for c in text:
+            k = ord(c) - 96
+            total += model[x, y, k]
+            x, y = (0 if x == toxicity.N else y), k
+    return total + model[x, y, 0]
+
+
+def test_toxicity_of_the_table(spark):
+    path = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect() if r.toxic is not None}
+    rows = [r for r in queries.QUERIES["op8_toxicity"](spark, path).collect() if r.held_out and r.doc_id in labels]
+    wrong = [r for r in rows if r.predicted and not labels[r.doc_id]]
+    assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.93 * len(rows) and len(wrong) <= 0.02 * len(rows)
+
+
+def test_what_may_be_hidden():
+    assert all(map(toxicity.hidden, ("1d10t", "@$$", "$#!7", "looool", "a.b")))
+    assert not any(map(toxicity.hidden, ("455", "10", "word", "***", "-", "#", "book")))
+    assert {"you", "idiot"} <= set(toxicity.words_of("y o u  i d i o t")) and "youidiot" not in toxicity.words_of("y o u  i d i o t")
+
+
 def test_toxicity(spark):
     draw = random.Random(2)
     vocabulary = ["".join(draw.choice("abcdeilmnorstu") for _ in range(draw.randint(3, 8))) for _ in range(400)]
