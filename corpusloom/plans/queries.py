@@ -381,9 +381,18 @@ def segment_greedy(spark, sf_dir):
     return vocabulary.segment_greedy(encoded(spark, sf_dir), vocab).select("word", F.array_join("pieces", " ").alias("pieces"))
 
 
-@query()
+_DRAW = "CAST(('0x' || substring(md5('{seed}:' || {key}), 1, 8)) AS UBIGINT) / 4294967296.0"
+
+
+@query(f"""WITH RECURSIVE {ENCODED}, {SELECTED}, {VOCAB}, {CANDIDATES}, scored AS (SELECT word, start, length, 0.5 * ln(frequency + 1e-8) AS score FROM found),
+z AS (SELECT *, exp((score - max(score) OVER (PARTITION BY word, start)) / 5.0) AS z FROM scored),
+cum AS (SELECT word, start, length, sum(z) OVER (PARTITION BY word, start ORDER BY length) / sum(z) OVER (PARTITION BY word, start) AS upto, length = max(length) OVER (PARTITION BY word, start) AS last FROM z),
+walk AS (SELECT l_orderkey AS id, word, 0 AS k, 0 AS at, CAST(NULL AS VARCHAR) AS piece FROM encoded
+  UNION ALL SELECT id, word, k + 1, at + len, substring(word, 2 * at + 1, 2 * len) FROM (SELECT w.id, w.word, w.k, w.at, min(c.length) AS len FROM walk w JOIN cum c ON c.word = w.word AND c.start = w.at
+    WHERE {_DRAW.format(seed=1, key="w.id || ':' || w.at")} < c.upto OR c.last GROUP BY 1, 2, 3, 4))
+SELECT id, word, string_agg(piece, ' ' ORDER BY k) AS pieces FROM walk WHERE k > 0 GROUP BY 1, 2""")
 def segment_softmax(spark, sf_dir):
-    """Drawn segmentations: held to their distribution and to determinism by tests."""
+    """Drawn segmentations."""
     rows = encoded(spark, sf_dir).select(F.col("l_orderkey").alias("id"), "word")
     return vocabulary.segment_softmax(rows, word_vocabulary(spark, sf_dir), seed=1, alpha=0.5, temperature=5.0).select("id", "word", F.array_join("pieces", " ").alias("pieces"))
 
@@ -467,9 +476,11 @@ def next_token_probabilities(spark, sf_dir):
     return sampling.softmax(logits(spark, sf_dir), 0.7, 8).select("step", "token", F.round("p", 6).alias("p"))
 
 
-@query()
+@query(f"""WITH {_LOGITS}, t AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY step ORDER BY logit DESC) AS r FROM logits) WHERE r <= 8), z AS (SELECT *, exp((logit - max(logit) OVER (PARTITION BY step)) / 0.7) AS z FROM t),
+cum AS (SELECT step, token, sum(z) OVER (PARTITION BY step ORDER BY token) / sum(z) OVER (PARTITION BY step) AS upto, token = max(token) OVER (PARTITION BY step) AS last FROM z)
+SELECT step, min(token) AS token FROM cum WHERE upto > {_DRAW.format(seed=2, key="step")} OR last GROUP BY 1""")
 def sampled_next_token(spark, sf_dir):
-    """Draws by probability: held to their distribution by tests."""
+    """Draws by probability."""
     return sampling.choose(logits(spark, sf_dir), 0.7, 8, seed=2).select("step", "token")
 
 
@@ -491,9 +502,6 @@ def dataset_profile(spark, sf_dir):
     return chunks.dataset_profile(chunks.chunk_stream(document_ids(spark, sf_dir), BLOCK, STRIDE, labels=True))
 
 
-_DRAW = "CAST(('0x' || substring(md5('{seed}:' || {key}), 1, 8)) AS UBIGINT) / 4294967296.0"
-
-
 @query(f"SELECT doc_id, CASE WHEN {_DRAW.format(seed=0, key='doc_id')} < 0.05 THEN 'validation' ELSE 'train' END AS split FROM documents")
 def bernoulli_split(spark, sf_dir):
     return chunks.bernoulli_split(table(spark, sf_dir, "documents").select("doc_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.chunks import prefix_offsets
 from ..operators.pieces import PieceTokenizer
 from ..operators.tokenizer import Tokenizer
 
@@ -56,14 +57,15 @@ def null_text(df: DataFrame, rule: str = "none_literal", column: str = "text") -
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, line_number (from 1) and value of every line of text files, in an order that other runs agree with.
+    """path, line_number (from 1) and value of every line of text files; a byte order mark is left out.
 
-    Lines carry their byte order through the file's blocks: a file is read by one task here, since a line's number
-    needs all lines before it; many files are read in parallel.
+    Large files are read by many tasks: a block's lines are counted, and a line's number is its place in its block after the
+    lines of the file's blocks before.
     """
-    rows = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("whole"))
-    lines = rows.select("path", F.posexplode(F.split(F.regexp_replace("whole", "\r?\n$", ""), "\r?\n", -1)).alias("n", "value"))
-    return lines.select("path", (F.col("n") + 1).alias("line_number"), "value")
+    at = (F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    rows = prefix_offsets(spark.read.text(paths).select(*at, "value"), F.lit(1), "block", "n", by=("path",))
+    value = F.when(F.col("offset") == 0, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value"))
+    return rows.select("path", (F.col("offset") + 1).alias("line_number"), value.alias("value"))
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:

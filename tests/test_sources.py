@@ -75,3 +75,16 @@ def test_preferences_are_checked(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"prompt": "a", "chosen": "b", "rejected": " b "}\n')
     with pytest.raises(ValueError, match="equals"):
         readers.read_preferences(spark, str(tmp_path / "p.jsonl"))
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    for n, name in ((5_000, "big.txt"), (3, "small.txt"), (0, "empty.txt")):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" + ("\n" if i % 7 == 0 else "") for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = readers.read_lines(spark, f"file://{tmp_path}/*.txt").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("big.txt", "small.txt", "empty.txt"):
+        got = [r.value for r in sorted((r for r in rows if r.path.endswith(name)), key=lambda r: r.line_number)]
+        assert got == (tmp_path / name).read_text().split("\n")[:-1] and {r.line_number for r in rows if r.path.endswith(name)} == set(range(1, len(got) + 1))

@@ -257,3 +257,31 @@ def test_offsets_of_long_texts_do_not_overflow(spark):
 
     spans = spark.range(1).select(A.spread_offsets(F.lit(30_000), F.lit(200_000)).alias("s")).first().s
     assert tuple(spans[-1]) == (199_993, 200_000)
+
+
+def test_invalid_items_are_named(spark):
+    from corpusloom.operators.vocabulary import require_valid
+
+    rows = spark.createDataFrame([("valid", "a", 1, 1, 0), ("invalid", "\x01", 2, 3, 4)], "class string, item string, cnt long, first_doc long, first_pos int")
+    require_valid(rows.where("class = 'valid'"))
+    with pytest.raises(ValueError, match="document 3, position 4"):
+        require_valid(rows)
+
+
+def test_running_sums_of_a_hot_key(spark):
+    rows = spark.range(2_000).selectExpr("id as step", "if(id % 10 = 0, null, 'hot') as run", "id % 7 as tokens").repartition(5)
+    got = {(r.run, r.step): r.offset for r in chunks.prefix_offsets(rows, F.col("tokens"), "step", by=("run",)).collect()}
+    seen = {}
+    for i in range(2_000):
+        run = None if i % 10 == 0 else "hot"
+        assert got[run, i] == seen.get(run, 0)
+        seen[run] = seen.get(run, 0) + i % 7
+    groups = metrics.accumulation_groups(rows, 7, "step", "run").where("run = 'hot'").groupBy("step").count()
+    assert groups.agg(F.max("count")).first()[0] == 7
+
+
+def test_vocabulary_joins_leave_broadcasts_to_measured_sizes(spark, tokenizer):
+    from corpusloom.operators import vocabulary
+
+    rows = spark.createDataFrame([("W6M7",), ("zzz",)], "item string")
+    assert "ResolvedHint" not in vocabulary.to_ids(rows, tokenizer.vocabulary)._jdf.queryExecution().analyzed().toString()
