@@ -40,7 +40,7 @@ from ._common import column, documents, scoped, slices, staged, text_bytes
 #: At least so many tokens' counts are sent to the workers; classes of one token.
 HEAD, SINGLE = 150_000, 128
 #: Vector size, tokens before that are averaged (a power of two), batch size, noise classes per batch, noise members per token, weight of the noise, rate.
-SIZE, WINDOW, BATCH, NOISE, MEMBERS, RATIO, RATE = 24, 8, 4_096, 32, 2, 8, 0.1
+SIZE, WINDOW, BATCH, NOISE, MEMBERS, RATIO, RATE = 20, 8, 4_096, 32, 2, 8, 0.1
 #: A shard has so many training tokens for each token with a vector; small corpora are gone through up to PASSES times, while under ENOUGH tokens.
 SHARD, PASSES, ENOUGH = 64, 4, 1_200_000
 #: Rows of parameters sent together; shards averaged together.
@@ -281,29 +281,27 @@ class LogBilinear:
 
     def log_probabilities(self, stream: np.ndarray, layout: Layout, lead: int = 0) -> np.ndarray:
         """Natural logarithms for each token of a stream, less the first `lead` places; those of a shared member are of the member as a whole."""
-        size = self.mix.shape[1]
         at, q, _, _ = self.predicted(stream, layout.begin, lead)
+        q = np.column_stack([q, np.ones(len(q), np.float32)])  # for the biases
         classes, members = layout.class_of[stream[at]], layout.member_of[stream[at]]
-        out, across, bias = np.empty(len(q)), np.ascontiguousarray(self.target[:, :size].T), self.target[:, size]
+        out, across = np.empty(len(q)), np.ascontiguousarray(self.target.T)
         for a in range(0, len(q), 512):
-            out[a : a + 512] = _normalised(q[a : a + 512] @ across, bias, classes[a : a + 512])
+            out[a : a + 512] = _normalised(q[a : a + 512] @ across, classes[a : a + 512])
         within = np.flatnonzero(members >= 0)
         within = within[np.argsort(classes[within], kind="stable")]
         group = classes[within] - layout.single
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             first, last = layout.first[group[a]], layout.first[group[a] + 1]
-            rows = self.member[first:last]
             for part in range(a, b, 512):
                 these = within[part : min(b, part + 512)]
-                out[these] += _normalised(q[these] @ rows[:, :size].T, rows[:, size], members[these] - first)
+                out[these] += _normalised(q.take(these, axis=0) @ self.member[first:last].T, members[these] - first)
         return out
 
 
-def _normalised(s: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row of s + bias at one column; s is overwritten. Rows whose sums leave the range of 32 bits are
-    shifted by their greatest first."""
-    s += bias
+def _normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row of s at one column. Rows whose sums leave the range of 32 bits are shifted by their
+    greatest first."""
     own = s[np.arange(len(s)), at]
     with np.errstate(over="ignore"):
         sums = np.exp(s) @ np.ones(s.shape[1], np.float32)

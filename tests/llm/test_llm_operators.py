@@ -385,7 +385,7 @@ def test_trained_model_is_normalised(trained):
             share[k] += (c + 0.5) / v.rest[k]
     assert all(x == pytest.approx(1) for x in share.values())
     # what the scorer gives each code after the same context adds up to one over all codes, also where logits leave the range of 32 bits
-    assert lm_scoring._normalised(np.array([[200.0, 199.0], [-200.0, -201.0]], np.float32), np.zeros(2, np.float32), np.array([0, 1])) == pytest.approx([-0.3133, -1.3133], abs=1e-3)
+    assert lm_scoring._normalised(np.array([[200.0, 199.0], [-200.0, -201.0]], np.float32), np.array([0, 1])) == pytest.approx([-0.3133, -1.3133], abs=1e-3)
     each = lm_scoring.stream_of(list(np.arange(layout.begin)[:, None]), layout.begin)[0]  # each token a document of its own
     logs = m.log_probabilities(each, layout)
     assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-3)
