@@ -5,12 +5,12 @@ their projections over d^2 follows the chi-square distribution, so once the next
 d_k * sqrt(quantile), with d_k the k-th best distance so far, a nearer vector is left unseen with a known small chance, and
 the search stops. A kd-tree over a bounded sample of projections cuts the space into cells; each cell's block of vectors gets
 a kd-tree of its own in a worker. A query first searches its own cell, whose k-th distance bounds the answer, and then
-the cells that the test does not rule out; in each, leaves are taken in the order of projected distance, their vectors
-that pass the test are verified by exact distance in double precision, and the search stops by the same test.
+the cells that the test does not rule out; in these leaves are taken from the nearest on, their vectors that pass the test are
+verified, in the end by exact distance in double precision, and the search stops once the test rules the next leaf out.
 
-Every row is indexed. Of equal vectors the k + 1 smallest ids take part, which is all that an answer can hold; they are told by 128 bits of hash. Vectors that
-are null, zero, of another size than most, or hold null or non-finite components take no part, nor do rows without an
-id. Ties go to the smaller id. Extra columns are ignored. Cells grow in number with the vectors up to a bound and then in
+Every row is indexed. Of equal vectors the k + 1 smallest ids take part, which is all that an answer can hold; they are told by 128 bits
+of hash. Vectors that are null, zero, of another size than most, or hold null or non-finite components take no part, nor do
+rows without an id. Ties go to the smaller id. Extra columns are ignored. Cells grow in number with the vectors up to a bound and then in
 size; only a cell with more vectors than a task should hold is dealt into several blocks, all of which its queries meet,
 and only a cell that very many queries meet is written more than once, so that no group grows with the data and what
 is written stays near the number of vectors.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from ._common import scoped, staged
 
 #: Projected dimensions (even), chance that the test keeps a true neighbour, vectors of a block, of a leaf.
-DIMENSIONS, CHANCE, BLOCK, LEAF = 8, 0.995, 1_024, 32
+DIMENSIONS, CHANCE, BLOCK, LEAF = 8, 0.995, 1_024, 1_024
+#: Queries that search a block together.
+TOGETHER = 256
 #: Projections that the cells are fitted on at most, cells at most; vectors that a task holds, queries that meet them at once.
 SAMPLE, CELLS, ROWS, QUERIES = 20_000, 4_096, 65_536, 50_000
 #: Tables up to so many rows of 24 bytes are broadcast.
@@ -97,27 +99,47 @@ class Block:
     """The vectors of one block under a kd-tree of their projections."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, project: np.ndarray):
-        self.ids, self.vectors, self.points = ids, vectors, vectors @ project
+        self.ids, self.vectors, self.points, self.squares = ids, vectors, vectors @ project, (vectors**2).sum(1)
         _, self.leaves = kd_cells(self.points, 1 << max(0, int(np.ceil(np.log2(max(1, len(ids) / LEAF))))))
         self.boxes = Cells(np.array([self.points[r].min(0) for r in self.leaves]), np.array([self.points[r].max(0) for r in self.leaves]))
 
-    def search(self, own: int, query: np.ndarray, point: np.ndarray, k: int, bound: float, quantile: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the nearest vectors found that are within bound, ties to the smaller id."""
-        ids, found = np.empty(0, np.int64), np.empty(0)
-        far = self.boxes.distances(point[None])[0]
-        for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > quantile * bound * bound:
-                break
-            rows = self.leaves[leaf]
-            near = ((self.points[rows] - point) ** 2).sum(1) <= quantile * bound * bound
-            rows = rows[near & (self.ids[rows] != own)]
-            if len(rows):
-                ids = np.concatenate([ids, self.ids[rows]])
-                found = np.concatenate([found, np.sqrt(((self.vectors[rows] - query) ** 2).sum(1))])
-                best = np.lexsort((ids, found))[:k]
-                ids, found = ids[best], found[best]
-                if len(ids) == k:
-                    bound = min(bound, found[-1])
+    def search(self, own: np.ndarray, queries: np.ndarray, points: np.ndarray, k: int, bound: np.ndarray, quantile: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the ids and distances of the nearest vectors found, ties to the smaller id; infinite where fewer are found.
+
+        Leaves are taken from the nearest on. The projected neighbours in a leaf that the test leaves are compared by one
+        product of matrices; those that may be among the k nearest, with room for its rounding, are then verified by exact
+        distance, and the k-th of these is the bound for the next leaf.
+        """
+        bound, squares = bound.copy(), (queries**2).sum(1)
+        ids, found = np.full((len(own), k), np.iinfo(np.int64).max), np.full((len(own), k), np.inf)
+        far = self.boxes.distances(points)
+        for leaf in np.argsort(far.min(0), kind="stable"):
+            rows, active = self.leaves[leaf], np.flatnonzero(far[:, leaf] <= quantile * bound**2)
+            if not len(active):
+                continue
+            most, p, x = bound[active, None] ** 2, points[active], self.points[rows]
+            near = (p**2).sum(1)[:, None] + (x**2).sum(1) - 2 * p @ x.T
+            sums = squares[active, None] + self.squares[rows]
+            close = sums - 2 * queries[active] @ self.vectors[rows].T
+            close[(near > quantile * most) | (self.ids[rows] == own[active, None])] = np.inf
+            if len(rows) > k:
+                most = np.minimum(most, np.partition(close, k - 1, axis=1)[:, k - 1 : k])
+            q, at = np.nonzero((close <= most + 1e-9 * sums) & (close < np.inf))
+            if not len(q):
+                continue
+            gap = self.vectors[rows[at]] - queries[active[q]]
+            old = np.repeat(np.unique(q), k)
+            # what is found so far and what is new, by query, distance and id
+            query = np.concatenate([old, q])
+            score = np.concatenate([found[active[old[::k]]].ravel(), np.sqrt(np.einsum("ij,ij->i", gap, gap))])
+            name = np.concatenate([ids[active[old[::k]]].ravel(), self.ids[rows[at]]])
+            order = np.lexsort((name, score, query))
+            query, score, name = query[order], score[order], name[order]
+            first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            place = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+            best = place < k
+            found[active[query[best]], place[best]], ids[active[query[best]], place[best]] = score[best], name[best]
+            bound = np.minimum(bound, found[:, -1])
         return ids, found
 
 
@@ -136,10 +158,12 @@ def _search(blocks: DataFrame, wanted: DataFrame, project: np.ndarray, k: int, q
         out = []
         if len(left) and len(right):
             block = Block(left["id"].to_numpy(), np.stack(left["v"]), project)
-            queries = np.stack(right["v"])
-            for own, q, p, bound in zip(right["id"].to_numpy(), queries, queries @ project, right["bound"].to_numpy(), strict=True):
-                ids, found = block.search(own, q, p, k, bound, quantile)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": found}))
+            for at in range(0, len(right), TOGETHER):
+                part = right.iloc[at : at + TOGETHER]
+                queries, own = np.stack(part["v"]), part["id"].to_numpy()
+                ids, found = block.search(own, queries, queries @ project, k, part["bound"].to_numpy(), quantile)
+                row, column = np.nonzero(np.isfinite(found))
+                out.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[row, column], "score": found[row, column]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInPandas(search, "query_id long, vec_id long, score double")
