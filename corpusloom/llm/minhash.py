@@ -10,6 +10,9 @@ only the edges from the centre to the others are checked, on full sets. So the p
 the other members of a bucket then lie in different components, which is where groups are loose, a prefix-filtered join
 over the sets of those members finds every link that is left between the components. No link that shares a bucket is lost.
 
+A bucket or component may hold a third of all documents: what is grouped by these is pre-aggregated, and in joins with one row for
+each of them the many stand on the left, where adaptive execution splits a skewed partition.
+
 Null or blank texts have the empty set and are linked with nothing. Rows that share a doc_id are documents of their own;
 a group's id is the smallest doc_id in it, nulls left out. Extra columns are ignored; an empty table gives no rows.
 """
