@@ -25,10 +25,11 @@ from __future__ import annotations
 
 import math
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ END = b"\n"
 
 
 def is_held_out(doc_id: int | None) -> bool:
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
+    return doc_id is not None and crc32(str(doc_id).encode()) % 5 == 1
 
 
 def own_tokens(total: int) -> int:
@@ -95,7 +96,7 @@ class Vocabulary:
 
 
 def spelled(token: bytes, groups: int) -> int:
-    return zlib.crc32(token[-3:]) % groups
+    return crc32(token[-3:]) % groups
 
 
 def fit_vocabulary(counts: DataFrame, head: int | None = None) -> Vocabulary:
@@ -186,28 +187,36 @@ def encoded(docs: DataFrame, vocabulary) -> DataFrame:
         from pyspark import TaskContext
 
         v, row = _ready(vocabulary), TaskContext.get().partitionId() << 33
-        logs, get, own, groups, rest = np.log10(v.counts + 0.5), v.ids.get, v.own, len(v.rest), np.log10(v.rest)
-        codes = np.array([i if i < own else own + spelled(t, groups) for i, t in enumerate(v.tokens)], np.uint32)
-        for batch in slices(batches):
-            out: dict[str, list] = {k.split()[0]: [] for k in ENCODED.split(", ")[:10]}
-            tails = []
-            for doc_id, deal, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "deal").to_pylist(), text_bytes(batch), strict=True):
-                words = text.lower().split()
+        get, own, groups = v.ids.get, v.own, len(v.rest)
+        # by place in the head, and one more for tokens beyond it
+        codes = np.array([*(i if i < own else own + spelled(t, groups) for i, t in enumerate(v.tokens)), 0], np.uint32)
+        logs = np.append(np.log10(v.counts + 0.5), 0.0)
+        own_logs, rest = np.where(np.arange(len(logs)) < own, logs, 0.0), np.concatenate([np.zeros(own), np.log10(v.rest)])
+        for batch in slices(batches, 64):
+            texts = [x.lower().split() for x in text_bytes(batch)]
+            for words in texts:
                 words.append(END)
-                ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-                known, tail = ids[ids >= 0], np.flatnonzero(ids < 0)
-                of = np.empty(len(ids), np.uint32)
-                of[ids >= 0] = codes[known]
-                unknown = [words[i] for i in tail.tolist()]
-                of[tail] = [own + spelled(w, groups) for w in unknown]
-                shared = rest[of[of >= own].astype(np.int64) - own].sum()
-                for k, x in zip(out, (row, doc_id, deal, is_held_out(doc_id), len(ids), len(known), float(logs[known].sum()), float(logs[known[known < own]].sum()), float(shared), of.tobytes()), strict=True):
-                    out[k].append(x)
-                tails.append([{"token": t, "tf": n} for t, n in Counter(unknown).items()])
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.binary()]
-            arrays = [pa.array(x, t) for x, t in zip(out.values(), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails, pa.list_(pa.struct([("token", pa.binary()), ("tf", pa.int64())])))], names=[*out, "tail"])
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            ends = np.cumsum(lengths)
+            starts, flat = ends - lengths, list(chain.from_iterable(texts))
+            ids = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+            of, beyond = codes[ids], np.flatnonzero(ids < 0)
+            tokens = [flat[i] for i in beyond.tolist()]
+            of[beyond] = [own + crc32(t[-3:]) % groups for t in tokens]
+            cut = np.searchsorted(beyond, np.append(starts, len(flat))).tolist()
+            tails = [Counter(tokens[a:b]) for a, b in zip(cut, cut[1:])]  # noqa: B905
+            sums = [np.add.reduceat(x, starts) if len(starts) else np.empty(0) for x in (logs[ids], own_logs[ids], rest[of])]
+            raw, edges = of.tobytes(), (ends * of.itemsize).tolist()
+            each = [raw[a:b] for a, b in zip([0, *edges], edges)]  # noqa: B905
+            held, doc_ids = [is_held_out(x) for x in column(batch, "doc_id").to_pylist()], column(batch, "doc_id")
+            inner = pa.StructArray.from_arrays([pa.array(chain.from_iterable(tails), pa.binary()), pa.array(chain.from_iterable(c.values() for c in tails), pa.int64())], names=["token", "tf"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.fromiter(map(len, tails), np.int64, len(tails)))]), pa.int32())
+            arrays = [
+                pa.array(np.arange(row, row + len(texts)), pa.int64()), doc_ids, column(batch, "deal"), pa.array(held, pa.bool_()), pa.array(lengths), pa.array(lengths - np.diff(cut)),
+                *(pa.array(x, pa.float64()) for x in sums), pa.array(each, pa.binary()), pa.ListArray.from_arrays(offsets, inner),
+            ]
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in ENCODED.split(", ")[:10]] + ["tail"])
 
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("deal"), "text").mapInArrow(encode, ENCODED)
 
