@@ -665,11 +665,12 @@ def total_of(path, model):
 
 
 def test_toxicity_of_the_table(spark):
-    path = "/root/testdata/sf0.01"
+    """Held-out rows of the table that is large enough to learn from."""
+    path = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{path}/labels.parquet").collect() if r.toxic is not None}
     rows = [r for r in queries.QUERIES["op8_toxicity"](spark, path).collect() if r.held_out and r.doc_id in labels]
-    wrong = [r for r in rows if r.predicted and not labels[r.doc_id]]
-    assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.93 * len(rows) and len(wrong) <= 0.02 * len(rows)
+    toxic, clean = ([r.predicted for r in rows if labels[r.doc_id] == y] for y in (1, 0))
+    assert sum(toxic) >= 0.9 * len(toxic) > 50 and sum(clean) <= 0.005 * len(clean)
 
 
 def test_what_may_be_hidden():
