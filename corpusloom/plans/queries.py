@@ -388,7 +388,7 @@ _DRAW = "CAST(('0x' || substring(md5('{seed}:' || {key}), 1, 8)) AS UBIGINT) / 4
 z AS (SELECT *, exp((score - max(score) OVER (PARTITION BY word, start)) / 5.0) AS z FROM scored),
 cum AS (SELECT word, start, length, sum(z) OVER (PARTITION BY word, start ORDER BY length) / sum(z) OVER (PARTITION BY word, start) AS upto, length = max(length) OVER (PARTITION BY word, start) AS last FROM z),
 walk AS (SELECT l_orderkey AS id, word, 0 AS k, 0 AS at, CAST(NULL AS VARCHAR) AS piece FROM encoded
-  UNION ALL SELECT id, word, k + 1, at + len, substring(word, 2 * at + 1, 2 * len) FROM (SELECT w.id, w.word, w.k, w.at, min(c.length) AS len FROM walk w JOIN cum c ON c.word = w.word AND c.start = w.at
+  UNION ALL SELECT id, word, k + 1, place + len, substring(word, 2 * place + 1, 2 * len) FROM (SELECT w.id, w.word, w.k, w.at AS place, min(c.length) AS len FROM walk w JOIN cum c ON c.word = w.word AND c.start = w.at
     WHERE {_DRAW.format(seed=1, key="w.id || ':' || w.at")} < c.upto OR c.last GROUP BY 1, 2, 3, 4))
 SELECT id, word, string_agg(piece, ' ' ORDER BY k) AS pieces FROM walk WHERE k > 0 GROUP BY 1, 2""")
 def segment_softmax(spark, sf_dir):
