@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt to all cores where they come in few pieces: a small table is one row group, which one task would lex alone. A
+    table of more splits than a few for each core is left as it is."""
+    df, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 4 * cores else df
+
+
 # ---------------------------------------------------------------- pieces of SQL
 
 WORDS = r"words AS (SELECT doc_id, unnest(range(len(w))) AS pos, unnest(w) AS item FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents))"
@@ -114,12 +121,12 @@ def readings(spark: SparkSession) -> DataFrame:
 
 
 def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.items(table(spark, sf_dir, "documents"), T.words(F.col("text")))
+    return counting.items(texts(spark, sf_dir).select("doc_id", "text"), T.words(F.col("text")))
 
 
 def lexed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All lexed tokens as they stand."""
-    return counting.items(table(spark, sf_dir, "documents"), T.lex(F.col("text")))
+    return counting.items(texts(spark, sf_dir).select("doc_id", "text"), T.lex(F.col("text")))
 
 
 def lexed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +245,7 @@ def process_documents(spark, sf_dir):
 def lex_and_route(spark, sf_dir):
     kept = F.filter(F.transform(T.lex(F.col("text")), lambda t: T.route(t)), lambda x: x.isNotNull())
     # made by a generator, so that the filter isn't pushed below it and the tokens are made once
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.array_join(kept, " "))).alias("tokens")).where("tokens <> ''")
+    return texts(spark, sf_dir).select("doc_id", F.explode(F.array(F.array_join(kept, " "))).alias("tokens")).where("tokens <> ''")
 
 
 @query(rf"SELECT conv_id, turn, CASE WHEN length({flat('text')}) > 180 THEN substring({flat('text')}, 1, 177) || '...' ELSE {flat('text')} END AS clipped FROM conversations")
