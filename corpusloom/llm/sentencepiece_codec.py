@@ -44,27 +44,27 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _KEPT: dict = {}
 
 
-def _slot(pair: np.ndarray, odd: int) -> np.ndarray:
+def _slot(pair: np.ndarray, odd: int, bits: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (pair.view(np.uint64) * np.uint64(odd) >> np.uint64(44)).view(np.int64)
+        return (pair.view(np.uint64) * np.uint64(odd) >> np.uint64(64 - bits)).view(np.int64)
 
 
-def _hashed(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Tables by hash, each a multiplier, keys and values: the first holds all keys that come first to their slot, the next what is left.
+def _hashed(keys: np.ndarray, values: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Tables by hash, each a multiplier, bits of a slot, keys and values, with some 16 slots for each key: the first holds all keys that come first to their slot, the next what is left.
 
     The multiplier of a table is the one of a few that leaves the fewest keys."""
     tables, draw = [], np.random.default_rng(1)
     while len(keys):
-        tried = []
+        tried, bits = [], min(20, len(keys).bit_length() + 4)
         for _ in range(40 if tables else 4):
             odd = int(draw.integers(2**63, 2**64, dtype=np.uint64)) | 1
-            tried.append((len(keys) - len(np.unique(_slot(keys, odd))), odd))
+            tried.append((len(keys) - len(np.unique(_slot(keys, odd, bits))), odd))
         odd = min(tried)[1]
-        at = _slot(keys, odd)
+        at = _slot(keys, odd, bits)
         _, first = np.unique(at, return_index=True)
-        table, value = np.full(2**20, -2, np.int64), np.zeros(2**20, np.int32)
+        table, value = np.full(2**bits, -2, np.int64), np.zeros(2**bits, np.int32)
         table[at[first]], value[at[first]] = keys[first], values[first]
-        tables.append((odd, table, value))
+        tables.append((odd, bits, table, value))
         left = np.ones(len(keys), bool)
         left[first] = False
         keys, values = keys[left], values[left]
@@ -88,7 +88,7 @@ class Trees:
     are taken; a child, by node * DEEP + number, skips one more. New nodes are listed until they are merged."""
 
     def __init__(self):
-        self.roots, self.children = Roots(self.add), {}
+        self.roots, self.children = Roots(self.add), {}  # a cycle: see clear
         self.words: list[str] = []
         self.skips: list[tuple[int, ...]] = []
         self.ids: list[bytes] = []
@@ -103,6 +103,12 @@ class Trees:
         self.new.append(node)
         return node
 
+    def clear(self) -> None:
+        """Forgets all nodes in place: dropped as a whole, trees would stay in memory until cycles are collected."""
+        for x in (self.roots, self.children, self.words, self.skips, self.ids, self.new):
+            x.clear()
+        self.taken, self.long = np.zeros(1024, np.int64), np.zeros(1024, bool)
+
     def room(self) -> None:
         while len(self.taken) < len(self.words):
             self.taken, self.long = np.append(self.taken, np.zeros_like(self.taken)), np.append(self.long, np.zeros_like(self.long))
@@ -162,8 +168,8 @@ class Codec:
     def _found(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces that pairs merge into, and whether they do."""
         p, fits = np.zeros(len(pair), np.int64), np.zeros(len(pair), bool)
-        for odd, keys, merged in self.pairs:
-            at = _slot(pair, odd)
+        for odd, bits, keys, merged in self.pairs:
+            at = _slot(pair, odd, bits)
             hit = keys[at] == pair
             p += merged[at] * hit
             fits |= hit
@@ -345,7 +351,7 @@ class Codec:
 
     def _encode(self, texts: list[str], keys: list) -> list[np.ndarray]:
         if len(self.trees.words) > self.limit:
-            self.trees = Trees()
+            self.trees.clear()
         trees, occurrences, places, cut = self.trees, [], [], []
         root = trees.roots.__getitem__
         for text, key in zip(texts, keys, strict=True):
@@ -409,8 +415,8 @@ def encode_documents(docs: DataFrame, path: str, rate: float = RATE, seed: int =
     """The documents with one more column, ids; copy: a column that numbers copies from 0, which then have skips of their own."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, rate, seed)
-        for batch in slices(batches):
+        c = codec(path, rate, seed, 100_000)  # beside the JVM's buffers for whole rows there and back a worker's trees stay small
+        for batch in slices(batches, 128):
             keys = column(batch, "doc_id").to_pylist()
             if copy is not None:
                 keys = [f"{k}/{n}" if n else k for k, n in zip(keys, column(batch, copy).to_pylist(), strict=True)]

@@ -526,6 +526,24 @@ def test_batches_equal_single_words():
         assert (np.frombuffer(codec.trees.ids[node], np.uint16).tolist(), codec.trees.taken[node]) == naive_merges(codec, word, skips)
 
 
+def test_trees_are_freed_when_full():
+    """The trees of a worker are bounded: cleared ones don't wait for a collection of cycles, and what they hold changes no result."""
+    import gc
+
+    path, texts = tokenizer_path("piece_bpe_32k.model"), [" ".join(f"word{i * k} some{k}" for i in range(40)) for k in range(1, 30)]
+    small, large = sentencepiece_codec.Codec(path, limit=50), sentencepiece_codec.Codec(path)
+    gc.collect()
+    gc.disable()
+    try:
+        got = [small.encode(t, k).tolist() for k, t in enumerate(texts)]
+        held = sum(len(x) for x in gc.get_objects() if isinstance(x, sentencepiece_codec.Roots) and x is not large.trees.roots)
+    finally:
+        gc.enable()
+    assert held <= 50 + 2 * 80
+    assert got == [large.encode(t, k).tolist() for k, t in enumerate(texts)]
+    assert sum(x[-1].nbytes + x[-2].nbytes for x in large.pairs) <= 13 * 2**20
+
+
 def test_copies_have_skips_of_their_own(spark):
     import corpus_pipeline
 
