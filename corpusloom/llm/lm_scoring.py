@@ -244,12 +244,29 @@ def _window_sums(x: np.ndarray, back: bool = False) -> np.ndarray:
     return x
 
 
+def _order(at: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on, by 16 bits at a time, which numpy sorts by their digits."""
+    order, at = np.argsort(at.astype(np.uint16), kind="stable"), at >> 16
+    while at.any():
+        order, at = order.take(np.argsort(at.take(order).astype(np.uint16), kind="stable")), at >> 16
+    return order
+
+
 def _scatter(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different places among `at`, and the sums of the rows of each."""
-    order = np.argsort(at, kind="stable")
-    placed = at[order]
-    first = np.flatnonzero(np.append(True, placed[1:] != placed[:-1]))
-    return placed[first], np.add.reduceat(rows.take(order, axis=0), first)
+    order = _order(at)
+    placed = at.take(order)
+    new = np.append(True, placed[1:] != placed[:-1])
+    first = np.flatnonzero(new)
+    if 2 * len(first) < len(at):
+        return placed.take(first), np.add.reduceat(rows.take(order, axis=0), first)
+    # most places have one row, which is its own sum
+    out, alone = rows.take(order.take(first), axis=0), new & np.append(new[1:], True)
+    many = np.flatnonzero(~alone.take(first))
+    if len(many):
+        left = np.flatnonzero(~alone)
+        out[many] = np.add.reduceat(rows.take(order.take(left), axis=0), np.flatnonzero(new.take(left)))
+    return placed.take(first), out
 
 
 @dataclass
@@ -297,7 +314,7 @@ class LogBilinear:
         for a in range(0, len(q), 512):
             out[a : a + 512] = _normalised(q[a : a + 512] @ across, classes[a : a + 512])
         within = np.flatnonzero(members >= 0)
-        within = within[np.argsort(classes[within], kind="stable")]
+        within = within[_order(classes[within])]
         group = classes[within] - layout.single
         cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
         for a, b in zip(cut[:-1], cut[1:], strict=True):
@@ -311,14 +328,15 @@ class LogBilinear:
 def _normalised(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The logarithm of the softmax of each row of s at one column. Rows whose sums leave the range of 32 bits are shifted by their
     greatest first."""
-    own = s[np.arange(len(s)), at]
+    own = s.take(np.arange(0, s.size, s.shape[1]) + at)
     with np.errstate(over="ignore"):
         sums = np.exp(s) @ np.ones(s.shape[1], np.float32)
+    if 1e-25 <= sums.min() and sums.max() < 1e25:
+        return own - np.log(sums)
     out = own - np.log(np.clip(sums, 1e-30, 1e30))
     far = (sums < 1e-25) | ~(sums < 1e25)
-    if far.any():
-        top = s[far].max(1)
-        out[far] = own[far] - top - np.log(np.exp(s[far] - top[:, None]).sum(1))
+    top = s[far].max(1)
+    out[far] = own[far] - top - np.log(np.exp(s[far] - top[:, None]).sum(1))
     return out
 
 
@@ -335,10 +353,13 @@ class Trainer:
         self.class_places, self.member_places = np.cumsum(layout.class_share), layout.places()
 
     def _change(self, part: int, at: np.ndarray, g: np.ndarray, rate: float = RATE) -> None:
-        s = self.state[part][at]
+        s, p = self.state[part].take(at, axis=0), self.model.parts()[part]
         s += g * g
         self.state[part][at] = s
-        self.model.parts()[part][at] -= np.float32(rate) * g / np.sqrt(s + np.float32(1e-8))
+        s += np.float32(1e-8)
+        change = np.float32(rate) * g
+        change /= np.sqrt(s, out=s)
+        p[at] = np.subtract(p.take(at, axis=0), change, out=change)
         self.touched[part][at] += 1
 
     def step(self, stream: np.ndarray, lead: int) -> None:
@@ -462,7 +483,7 @@ def fit_model(rows: DataFrame, vocabulary, rounds: int | None = None) -> LogBili
                     for x in column(batch, "codes").to_pylist():
                         yield np.frombuffer(x, np.uint32)
 
-            trainer = Trainer(given.value, Layout(vocabulary.value), 17 + k)
+            trainer = Trainer(given.value, _layout(vocabulary.value), 17 + k)
             if trainer.train(documents()):
                 yield from _pieces(trainer, mine)
 

@@ -526,6 +526,18 @@ def test_batches_equal_single_words():
         assert (np.frombuffer(codec.trees.ids[node], np.uint16).tolist(), codec.trees.taken[node]) == naive_merges(codec, word, skips)
 
 
+def test_rows_are_summed_by_place_as_one_by_one():
+    """Places beyond 16 bits, mostly alone and mostly repeated: the order is stable and the sums are those of numpy's, bit by bit."""
+    draw = np.random.default_rng(3)
+    for at in (draw.integers(0, 2**34, 500), draw.integers(0, 70_000, 5_000), draw.integers(65_530, 65_540, 300), np.arange(9)[::-1], np.array([7])):
+        rows = draw.normal(size=(len(at), 5)).astype(np.float32)
+        order = np.argsort(at, kind="stable")
+        assert lm_scoring._order(at).tolist() == order.tolist()
+        places, first = np.unique(at[order], return_index=True)
+        got = lm_scoring._scatter(at, rows)
+        assert got[0].tolist() == places.tolist() and np.array_equal(got[1], np.add.reduceat(rows[order], first))
+
+
 def test_trees_are_freed_when_full():
     """The trees of a worker are bounded: cleared ones don't wait for a collection of cycles, and what they hold changes no result."""
     import gc
