@@ -219,7 +219,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, dimensions: int =
 
     placed = staged(rows.select("id", "v", home("v").alias("cell")), "placed")
     own = queries.select("id", "v", home("v").alias("cell"), F.lit(float("inf")).alias("bound"))
-    first = staged(_search(*_dealt(placed, own), project, k, quantile), "first")
+    first = staged(_search(*_dealt(placed, own), project, k, quantile), "nearest")
     known = queries.join(_kth(first, k).withColumnRenamed("query_id", "id"), "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
     wider = staged(known.select("id", "v", F.explode(others("v", "bound")).alias("cell"), "bound"), "wider")
     second = _search(*_dealt(placed, wider), project, k, quantile)
