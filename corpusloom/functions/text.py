@@ -25,6 +25,8 @@ LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\
 # By rule: digits as the isdigit of Python strings has them, the decimal ones and those of other kinds such as superscripts.
 OTHER_DIGITS = "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and unicodedata.category(c) != "Nd")
 NUMBER = f"[\\p{{Nd}}{OTHER_DIGITS}]+"
+# What route drops. Java tries a class from its last part inwards, so the many digits stand apart.
+DROPPED = f"(?U)[�[^ -~{HANZI}\\p{{L}}\\p{{P}}\\p{{S}}\\p{{Nd}}\\s]](?<![{OTHER_DIGITS}])"
 
 
 def _nfkc(text: pd.Series) -> pd.Series:
@@ -87,8 +89,14 @@ def normalize(text: Column, *steps: str) -> Column:
     return text
 
 
-def lex(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1))
+def lex(text: Column, single: bool = False) -> Column:
+    """The tokens of a text; single: each of the Hanzi is a token of its own."""
+    return F.regexp_extract_all(text, F.lit(TOKEN.replace(f"[{HANZI}]+", f"[{HANZI}]") if single else TOKEN), F.lit(1))
+
+
+def blank_dropped(text: Column) -> Column:
+    """The text with spaces for all characters that route drops. They are tokens by themselves, so the others stay the same."""
+    return F.regexp_replace(text, DROPPED, " ")
 
 
 def is_latin_word(token: Column) -> Column:
@@ -143,6 +151,12 @@ def route(token: Column, hanzi: Column | None = None) -> Column:
     )
 
 
+def route_lexed(token: Column) -> Column:
+    """route of a token that lex made with single: one of several characters is a marker or a Latin word. The commonest kinds need no pattern."""
+    several = F.when(token.startswith("<"), token).otherwise(F.lower(token))
+    return F.when(F.length(token) > 1, several).when(token.between("e", "z") | is_punctuation(token), token).otherwise(route(token))
+
+
 def process(text: Column) -> Column:
     """Normalised, lexed and routed tokens of a text."""
     return F.filter(F.transform(lex(normalize(text)), lambda t: route(t)), lambda x: x.isNotNull())

@@ -1,12 +1,14 @@
 """Hanzi to codes, by a caller's table of readings.
 
 Each character is a word of its own (there is no dictionary of words), and its reading comes from a table
-(character, syllable), the syllable with a digit for its tone. What a run becomes hangs on its spelling alone, so only different
-runs are split and joined with the readings, and the result is joined back.
+(character, syllable), the syllable with a digit for its tone. There are no more codes than Hanzi, so their table is broadcast, and
+texts are encoded row by row: what becomes nothing is blanked before they are lexed, so that a token's place is its position.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ from .counting import items
 
 #: What one syllable becomes in each mode; the reading of tones is for display.
 MODES = {"pinyin-code": T.syllable_atom, "pinyin-initial": T.syllable_initial, "hanzi": None, "tone-marks": T.tone_marked}
+#: All Hanzi in one string.
+EVERY = "".join(chr(c) for first, last in re.findall("(.)-(.)", T.HANZI) for c in range(ord(first), ord(last) + 1))
+
+
+def _check_mode(mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {tuple(MODES)}")
+
+
+def character_codes(readings: DataFrame, mode: str = "pinyin-code") -> DataFrame:
+    """character, code: what each of the Hanzi becomes that has a reading. Of several readings the least one counts; empty codes are left out."""
+    one = readings.where(F.col("character").rlike(f"^[{T.HANZI}]\\z")).groupBy("character").agg(F.min("syllable").alias("syllable"))
+    return one.select("character", MODES[mode](F.col("syllable")).alias("code")).where("code <> ''")
 
 
 def run_codes(runs: DataFrame, readings: DataFrame, mode: str = "pinyin-code") -> DataFrame:
@@ -22,16 +37,11 @@ def run_codes(runs: DataFrame, readings: DataFrame, mode: str = "pinyin-code") -
 
     Characters without a reading are left out, as are empty codes; of several readings of a character the least one counts.
     """
-    if mode not in MODES:
-        raise ValueError(f"mode must be one of {tuple(MODES)}")
+    _check_mode(mode)
     parts = runs.select("run", F.posexplode(F.split("run", "")).alias("n", "character"))
-    if MODES[mode] is None:
-        coded = parts.withColumn("code", F.col("character"))
-    else:
-        one = readings.groupBy("character").agg(F.min("syllable").alias("syllable"))
-        coded = parts.join(one, "character").withColumn("code", MODES[mode](F.col("syllable")))
+    coded = parts.join(character_codes(readings, mode), "character") if MODES[mode] else parts.withColumn("code", F.col("character"))
     in_order = F.sort_array(F.collect_list(F.struct("n", "code")))
-    return coded.where("code <> ''").groupBy("run").agg(F.transform(in_order, lambda x: x["code"]).alias("codes"))
+    return coded.groupBy("run").agg(F.transform(in_order, lambda x: x["code"]).alias("codes"))
 
 
 def encode(df: DataFrame, readings: DataFrame, text: str = "text", key: str = "doc_id", mode: str = "pinyin-code", normal: bool = True) -> DataFrame:
@@ -39,15 +49,20 @@ def encode(df: DataFrame, readings: DataFrame, text: str = "text", key: str = "d
 
     normal: texts are normalised first. key tells rows apart.
     """
+    _check_mode(mode)
     given = T.normalize(F.col(text)) if normal else F.col(text)
-    lexed = items(df, T.lex(given), key).withColumnRenamed("pos", "n")
+    if MODES[mode]:
+        codes = character_codes(readings, mode).select(F.col("character").alias("_character"), F.col("code").alias("_code"))
+        every = df.sparkSession.range(1).select(F.explode(F.split(F.lit(EVERY), "")).alias("_character"))
+        silent = every.join(codes, "_character", "left_anti").agg(F.array_join(F.sort_array(F.collect_list("_character")), ""))
+        given = F.call_function("translate", given, silent.scalar(), F.lit(" " * len(EVERY)))
+    tokens = items(df.select(key, T.blank_dropped(given).alias("_kept")), T.lex(F.col("_kept"), single=True), key)
     token = F.col("item")
-    runs = run_codes(lexed.where(T.is_hanzi(token)).select(token.alias("run")).distinct(), readings, mode)
-    routed = lexed.join(runs, lexed["item"] == runs["run"], "left")
-    made = F.when(T.is_hanzi(token), F.coalesce("codes", F.array().cast("array<string>"))).otherwise(F.filter(F.array(T.route(token)), lambda x: x.isNotNull()))
-    rows = routed.select(key, "n", made.alias("made")).where(F.size("made") > 0)
-    joined = rows.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("n", "made"))), lambda x: x["made"])).alias("all"))
-    return joined.select(key, F.posexplode("all").alias("pos", "item"))
+    if not MODES[mode]:
+        return tokens.select(key, "pos", T.route_lexed(token).alias("item"))
+    # ASCII is not looked up
+    coded = tokens.join(F.broadcast(codes), F.when(token > "~", token) == codes["_character"], "left")
+    return coded.select(key, "pos", F.coalesce("_code", T.route_lexed(token)).alias("item"))
 
 
 def encode_once(df: DataFrame, readings: DataFrame, text: str = "text", key: str = "doc_id", mode: str = "pinyin-code") -> DataFrame:

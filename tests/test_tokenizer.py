@@ -1,10 +1,12 @@
 """The tokenizer's calls, Hanzi by readings, directories and steps that are taken up again."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as T
 from corpusloom.operators import chunks, counting, hanzi, metrics, tones
 from corpusloom.operators.pieces import PieceTokenizer
 from corpusloom.operators.tokenizer import Tokenizer
@@ -51,6 +53,29 @@ def test_hanzi_codes(spark, readings):
     assert cases == {("我", "wo3", "3", 2), ("们", "men5", "blank", 4), ("爱", "ai4", "4", 2), ("中", "zhong1", "1", 5), ("国", "guo2", "2", 3)}
 
 
+@pytest.mark.parametrize("mode", hanzi.MODES)
+def test_hanzi_need_no_shuffle_of_tokens(spark, readings, mode):
+    plan = hanzi.encode(texts(spark, "我们"), readings, mode=mode)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((doc_id|item|run)|SortMergeJoin \[(doc_id|item)", plan)
+
+
+def test_odd_hanzi(spark):
+    readings = spark.createDataFrame([("一", "yi1"), ("一", "er4"), ("国", None), ("四", ""), ("鿿", "ba1"), ("x", "xi1"), ("二三", "er4")], "character string, syllable string")
+    df = texts(spark, "一国x鿿�a\u0301二三b四<A�B>É E 一\x00一", "国", None)
+    got = {r.pos: r.item for r in hanzi.encode(df, readings, normal=False).collect() if r.doc_id == 0}
+    assert [got[k] for k in range(len(got))] == ["e6", "x", "B1", "A", "B", "<", "A", "B", ">", "é", "e", "e6", "e6"]
+    assert hanzi.encode(df, readings, normal=False).where("doc_id > 0").count() == 0
+
+
+def test_characters_alone(spark):
+    every = spark.createDataFrame([(chr(c),) for c in range(0x110000) if not 0xD800 <= c < 0xE000], "c string")
+    c, token = F.col("c"), F.element_at(T.lex(F.col("c"), single=True), 1)
+    rows = every.where(F.size(T.lex(c)) > 0).select("c", T.route(c).alias("whole"), T.blank_dropped(c).alias("kept"), T.route_lexed(token).alias("fast"))
+    assert rows.where("(whole is null) <> (kept = ' ') or kept not in (c, ' ') or whole <> fast").count() == 0
+    assert every.where(F.size(T.lex(c)) == 0).where(T.blank_dropped(c) != c).count() == 0
+
+
+
 def grouped(rows):
     out = {}
     for r in rows.orderBy("doc_id", "pos").collect():
