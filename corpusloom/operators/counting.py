@@ -69,9 +69,14 @@ def classified_counts(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     return _classified(counted)
 
 
+def _made(x: Column) -> Column:
+    """x, made by a generator: filters on it stay above, where else they would be pushed below the counting and make it for each token."""
+    return F.explode(F.array(x))
+
+
 def _classified(counted: DataFrame) -> DataFrame:
     doc, pos = first_place("first")
-    return counted.select(T.item_class(F.col("item")).alias("class"), "item", "cnt", doc.alias("first_doc"), pos.alias("first_pos"))
+    return counted.select(_made(T.item_class(F.col("item"))).alias("class"), "item", "cnt", doc.alias("first_doc"), pos.alias("first_pos"))
 
 
 def routed_counts(raw: DataFrame, order: str = "doc_id") -> DataFrame:
@@ -81,7 +86,7 @@ def routed_counts(raw: DataFrame, order: str = "doc_id") -> DataFrame:
     routed and classified. first_pos is the place among all lexed tokens, which orders items as the place among the kept ones does.
     """
     counted = raw.groupBy("item").agg(F.count("*").alias("cnt"), F.min(place(order)).alias("first"))
-    routed = counted.select(T.route(F.col("item")).alias("item"), "cnt", "first").where("item is not null")
+    routed = counted.select(_made(T.route(F.col("item"))).alias("item"), "cnt", "first").where("item is not null")
     return _classified(routed.groupBy("item").agg(F.sum("cnt").alias("cnt"), F.min("first").alias("first")))
 
 

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import chunks, metrics, preferences, tones, vocabulary
+from corpusloom.functions import text as T
+from corpusloom.operators import chunks, counting, metrics, preferences, tones, vocabulary
 from corpusloom.plans.pipeline import Pipeline, mode_of, run_matrix
 
 
@@ -161,3 +162,12 @@ def test_piece_round_trip(spark, sf_dir):
     from corpusloom.plans import queries
 
     assert queries.QUERIES["piece_round_trip"](spark, sf_dir).where("not same").count() == 0
+
+
+@pytest.mark.parametrize("kept", ["class <> 'invalid'"])
+def test_filters_on_classes_stay_above_the_count(spark, kept):
+    docs = spark.createDataFrame([(1, "A b <URL> 3")], "doc_id long, text string")
+    counts = counting.routed_counts(counting.items(docs, T.lex(F.col("text")))).where(kept).select("item", "cnt", "first_pos")
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE" not in plan[plan.rindex("Aggregate [item") :]
+    assert {(r.item, r.cnt, r.first_pos) for r in counts.collect()} == {("A", 1, 0), ("B", 1, 1)} | ({("<URL>", 1, 2), ("<NUM>", 1, 3)} if "invalid" in kept else set())
