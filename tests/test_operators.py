@@ -164,10 +164,23 @@ def test_piece_round_trip(spark, sf_dir):
     assert queries.QUERIES["piece_round_trip"](spark, sf_dir).where("not same").count() == 0
 
 
-@pytest.mark.parametrize("kept", ["class <> 'invalid'"])
+@pytest.mark.parametrize("kept", ["class <> 'invalid'", "class = 'preserved'"])
 def test_filters_on_classes_stay_above_the_count(spark, kept):
     docs = spark.createDataFrame([(1, "A b <URL> 3")], "doc_id long, text string")
     counts = counting.routed_counts(counting.items(docs, T.lex(F.col("text")))).where(kept).select("item", "cnt", "first_pos")
     plan = counts._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and "RLIKE" not in plan[plan.rindex("Aggregate [item") :]
     assert {(r.item, r.cnt, r.first_pos) for r in counts.collect()} == {("A", 1, 0), ("B", 1, 1)} | ({("<URL>", 1, 2), ("<NUM>", 1, 3)} if "invalid" in kept else set())
+
+
+def test_first_places_of_any_order(spark):
+    docs = [(2**62, "a"), (-5, "x b a"), (-5, "b x"), (2**31, "c d"), (2**31 - 1, "x d"), (-(2**31), "f"), (-(2**31) - 1, "x f"), (-(2**63), "g"), (0, "h"), (None, "g i")]
+    rows = counting.items(spark.createDataFrame(docs, "doc_id long, text string"), T.words(F.col("text")))
+    got = {r.item: (r.cnt, r.first_doc, r.first_pos) for r in counting.classified_counts(rows).collect()}
+    want = {}
+    for d, text in docs:
+        for k, w in enumerate(text.split()):
+            cnt, at = want.get(w, (0, None))
+            want[w] = (cnt + 1, at if d is None else min(at or (d, k), (d, k)))
+    assert got == {w: (cnt, *(at or (None, None))) for w, (cnt, at) in want.items()}
+    assert [r.item for r in counting.most_common(counting.classified_counts(rows.where("item in ('f', 'g', 'h')")), 3).collect()] == ["g", "f", "h"]
